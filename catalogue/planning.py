@@ -122,6 +122,17 @@ def decentral_sum(spark, folder):
     return decentral.sum_rates(stats, table(spark, folder, "orders"), 0.0001, 0.0001).select(*RATE_COLUMNS, "worst")
 
 
+@query(
+    "n05_decentral_sum_rate_signed_measure",
+    _dec_sum_sql(q.stats("lineitem", "l_partkey", "(l_quantity - 25)"), "lineitem", 0.0002, 0.0001),
+    digits=(*RATE_COLUMNS, "worst"),
+)
+def decentral_sum_signed(spark, folder):
+    rows = table(spark, folder, "lineitem").select("l_partkey", (F.col("l_quantity") - 25).alias("centred"))
+    stats = keystats.key_stats(rows, "l_partkey", "centred")
+    return decentral.sum_rates(stats, rows, 0.0002, 0.0001).select(*RATE_COLUMNS, "worst")
+
+
 @query(
     "n06_sketched_avg_rate",
     q.ctes(**sketch_ctes()) + f"SELECT val1, val2, p FROM ({q.rates('m', 'avg', 0.01, 0.01)})",

@@ -44,10 +44,14 @@ def frequency_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key:
     return shared.groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("n_keys"))
 
 
-def _grid_totals(pairs: DataFrame, grid: Column) -> DataFrame:
+def _grid_totals(pairs: DataFrame, offsets: list[float], start: Column) -> DataFrame:
+    """``sum sqrt(X Y)`` at ``start + offset`` for a literal list of offsets, in one aggregate."""
+    step = F.lit(1.0 / GRID / GRID)
+    steps = F.array(*[F.lit(o) for o in offsets])
+    fanned = pairs.select("a", "b", "n_keys", F.explode(steps).alias("offset"))
+    known = fanned.withColumn("q", F.least(F.lit(1.0), F.greatest(step, start + F.col("offset"))))
     q = F.col("q")
-    fanned = pairs.select("a", "b", "n_keys", F.explode(grid).alias("q"))
-    return fanned.groupBy("q").agg(F.sum(F.col("n_keys") * F.sqrt(spread(q) * cost(q))).alias("total"))
+    return known.groupBy("offset", "q").agg(F.sum(F.col("n_keys") * F.sqrt(spread(q) * cost(q))).alias("total"))
 
 
 def row_rate(pairs: DataFrame, left_rows: DataFrame, budget: float) -> DataFrame:
@@ -56,13 +60,10 @@ def row_rate(pairs: DataFrame, left_rows: DataFrame, budget: float) -> DataFrame
     ``c`` makes the expected sample ``budget`` times the left table's rows; the relation is linear.
     """
     step = 1.0 / GRID
-    coarse = _grid_totals(pairs, F.array(*[F.lit((i + 1) * step) for i in range(GRID)]))
+    coarse = _grid_totals(pairs, [(i + 1) * step for i in range(GRID)], F.lit(0.0))
     near = coarse.agg(F.min_by("q", F.struct("total", "q")).alias("q")).scalar()
-    offsets = [(i - GRID + 0.5) * step / GRID for i in range(2 * GRID)]
-    fine_grid = F.transform(
-        F.array(*[F.lit(o) for o in offsets]), lambda o: F.least(F.lit(1.0), F.greatest(F.lit(step / GRID), near + o))
-    )
-    fine = _grid_totals(pairs, F.array_distinct(F.concat(F.array(near), fine_grid)))
+    around = [(i - GRID + 0.5) * step / GRID for i in range(2 * GRID)]
+    fine = _grid_totals(pairs, [0.0, *around], near)
     best = fine.agg(
         F.min_by("q", F.struct("total", "q")).alias("q"),
         F.min("total").alias("total"),
