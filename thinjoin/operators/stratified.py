@@ -54,7 +54,7 @@ def universe_strata_pair(
     present = left.table.where(F.col(left.key).isNotNull())
     fanned, draw = draws.attach(present)
     rates = parameters.select(F.col("grp").alias("_grp"), F.col("p1").alias("_p1"), F.col("q1").alias("_q1"))
-    with_rates = fanned.join(rates, fanned[group].eqNullSafe(F.col("_grp")))
+    with_rates = fanned.join(rates, F.col(group).eqNullSafe(F.col("_grp")))
     key_hash = polynomial_hash(hash_parts(present, [left.key]), lambda i: draw(f"key_{i}"))
     kept_left = with_rates.where(
         hash_below(present, [left.key], "key", draw, F.col("_p1"))
@@ -99,7 +99,7 @@ def fixed_size_strata_pair(
 
     fanned, draw = draws.attach(left.table)
     marks = strata.select(F.col("grp").alias("_grp"), F.col("is_low").alias("_low"))
-    marked = fanned.join(marks, fanned[group].eqNullSafe(F.col("_grp")))
+    marked = fanned.join(marks, F.col(group).eqNullSafe(F.col("_grp")))
     high = marked.where(~F.col("_low") & hash_below(left.table, left.row_id, "left", draw, F.lit(q)))
     ranked = marked.where("_low").withColumn(
         "_rank", polynomial_hash(hash_parts(left.table, left.row_id), lambda i: draw(f"rank_{i}"))
@@ -124,8 +124,8 @@ def _group_totals(sample: GroupedSample, measure: str, matches: Column) -> DataF
     right = sample.right.groupBy(*DRAW_KEY, F.col(sample.right_key).alias("key")).agg(*counts)
     shared = left.join(right, [*DRAW_KEY, "key"])
     if flags:
-        major = sample.parameters.select("grp", "is_major")
-        shared = shared.join(major, shared["grp"].eqNullSafe(major["grp"])).drop(major["grp"])
+        classes = sample.parameters.select(F.col("grp").alias("_grp"), "is_major")
+        shared = shared.join(classes, F.col("grp").eqNullSafe(F.col("_grp")))
     shared = shared.withColumn("b", matches).where("b > 0")
     return shared.groupBy(*DRAW_KEY, "grp").agg(
         F.sum(F.col("a") * F.col("b")).alias("n_join"),
@@ -138,8 +138,8 @@ def _every_group(sample: GroupedSample, totals: DataFrame, scale: Column, column
     """Estimates of every group in every draw: a group the sample missed is reported with 0 and ``seen`` false."""
     every = sample.parameters.select("grp", *columns, F.inline(sample.draws.identities()).alias(*DRAW_KEY))
     found = totals.withColumnRenamed("grp", "_grp").withColumnsRenamed({k: f"_{k}" for k in DRAW_KEY})
-    same = [every[k] == found[f"_{k}"] for k in DRAW_KEY]
-    joined = every.join(found, [every["grp"].eqNullSafe(found["_grp"]), *same], "left")
+    same = [F.col(k) == F.col(f"_{k}") for k in DRAW_KEY]
+    joined = every.join(found, [F.col("grp").eqNullSafe(F.col("_grp")), *same], "left")
     zero = F.lit(0.0)
     return joined.select(
         *DRAW_KEY,
