@@ -47,7 +47,8 @@ def truncated_normal(row: Column, seed: int, role: str, mean: Column, sd: Column
     acts on fewer than one row in 10^10.
     """
     draws = [mean + sd * standard_normal(row, seed, f"{role}.{i}") for i in range(TRIES)]
-    inside = [F.when((d >= low) & (d <= high), d) for d in draws]
+    middle, half = (low + high) / 2, (high - low) / 2
+    inside = [F.when(F.abs(d - middle) <= half, d) for d in draws]
     return F.coalesce(*inside, F.least(high, F.greatest(low, draws[-1])))
 
 
