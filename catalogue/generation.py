@@ -35,30 +35,31 @@ def normal(role: str, row: str = ROW, seed: int = SEED) -> str:
     return f"(sqrt(-2*ln(1 - {u(role + '.radius', row, seed)}))*cos({2 * math.pi!r}::DOUBLE*{u(role + '.angle', row, seed)}))"
 
 
-def truncated(role: str, mean: str, sd: str, low: str, high: str) -> str:
-    draws = [f"({mean} + {sd}*{normal(f'{role}.{i}')})" for i in range(v.TRIES)]
+def truncated(role: str, mean: str, sd: str, low: str, high: str, row: str = ROW, seed: int = SEED) -> str:
+    draws = [f"({mean} + {sd}*{normal(f'{role}.{i}', row, seed)})" for i in range(v.TRIES)]
     tries = ", ".join(f"CASE WHEN {d} BETWEEN {low} AND {high} THEN {d} END" for d in draws)
     return f"coalesce({tries}, least({high}, greatest({low}, {draws[-1]})))"
 
 
-def power(role: str, alpha: float, high: str) -> str:
+def power(role: str, alpha: float, high: str, row: str = ROW, seed: int = SEED) -> str:
     k = alpha + 1
-    return f"least(CAST(floor(pow({u(role)}*(pow({high}::DOUBLE, {k!r}::DOUBLE) - 1) + 1, {1 / k!r}::DOUBLE)) AS BIGINT), {high})"
+    return f"least(CAST(floor(pow({u(role, row, seed)}*(pow({high}::DOUBLE, {k!r}::DOUBLE) - 1) + 1, {1 / k!r}::DOUBLE)) AS BIGINT), {high})"
 
 
 def relabelled(value: str, n: str, shift: int = SEED) -> str:
     return f"((({value}) - 1)*{v.RELABEL}::BIGINT + {shift}) % {n} + 1"
 
 
-def key_sql(distribution: str) -> str:
+def key_sql(distribution: str, row: str = ROW, seed: int = SEED) -> str:
     if distribution == "uniform":
-        drawn = f"CAST(floor({u('key')}*{KEYS}) AS BIGINT) + 1"
+        drawn = f"CAST(floor({u('key', row, seed)}*{KEYS}) AS BIGINT) + 1"
     elif distribution in v.NORMAL_SPREADS:
         sd = f"({KEYS}/{v.NORMAL_SPREADS[distribution]}.0::DOUBLE)"
-        drawn = f"CAST(round({truncated('key', f'({KEYS}/2.0::DOUBLE)', sd, '1.0::DOUBLE', f'{KEYS}::DOUBLE')}) AS BIGINT)"
+        value = truncated("key", f"({KEYS}/2.0::DOUBLE)", sd, "1.0::DOUBLE", f"{KEYS}::DOUBLE", row, seed)
+        drawn = f"CAST(round({value}) AS BIGINT)"
     else:
-        drawn = power("key", v.POWER_LAWS[distribution], KEYS)
-    return relabelled(drawn, KEYS)
+        drawn = power("key", v.POWER_LAWS[distribution], KEYS, row, seed)
+    return relabelled(drawn, KEYS, seed)
 
 
 MEASURE = f"{relabelled(power('measure', -1.5, '1000'), '1000')}"
@@ -171,7 +172,17 @@ def payload(spark, folder):
     return made.select(ROW, "col4")
 
 
-@query("g09_stored_grid")
+_GRID = [(d, side) for d in ("uniform", "normal", "powerlaw") for side in (1, 2)]
+
+
+@query(
+    "g09_stored_grid",
+    " UNION ALL ".join(
+        f"SELECT '{d}_{side}' AS table_name, count(*) AS n_rows, max(k) AS max_key, count(DISTINCT k) AS n_keys "
+        f"FROM (SELECT {key_sql(d, 'i', side)} AS k FROM (SELECT i::BIGINT AS i FROM range((SELECT count(*) FROM orders)) t(i)))"
+        for d, side in _GRID
+    ),
+)
 def stored_grid(spark, folder):
     """Both sides of three distributions with as many rows as there are orders; rows and keys of each stored table."""
     rows = table(spark, folder, "orders").count()

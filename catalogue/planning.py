@@ -145,7 +145,23 @@ def sketched_avg_rate(spark, folder):
     return central.sampling_rates(estimated, "avg", 0.01, 0.01).select("val1", "val2", "p")
 
 
-@query("n07_decentral_avg_rate_worst_case")
+def _worst_case_rate_sql() -> str:
+    from catalogue.generation import u
+
+    return (
+        q.ctes(
+            ls=q.stats(q.EVENTS, "user_id", "cents"),
+            h="SELECT key FROM ls ORDER BY a DESC, key LIMIT 1",
+            w=f"SELECT CASE WHEN {u('worst', seed=5)} < 0.75 THEN (SELECT key FROM h) ELSE "
+            f"CAST(floor({u('key', seed=5)}*(SELECT max(user_id) + 1 FROM events)) AS BIGINT) + 1 END AS col1 FROM orders",
+            rc=q.counts("w", "col1"),
+            m=q.moments(),
+        )
+        + f"SELECT 'avg' AS agg, p, q1, q2, 'ok' AS status FROM ({q.rates('m', 'avg', 0.01, 0.01)})"
+    )
+
+
+@query("n07_decentral_avg_rate_worst_case", _worst_case_rate_sql(), digits=RATE_COLUMNS)
 def decentral_avg(spark, folder):
     left, rows = events(spark, folder), table(spark, folder, "orders").select("o_orderkey")
     keys = left.agg((F.max("user_id") + 1).alias("n")).scalar()

@@ -288,8 +288,7 @@ def key_counts(spark, folder):
     digits=("mean", "variance"),
 )
 def key_mean_variance(spark, folder):
-    stats = keystats.key_stats(table(spark, folder, "lineitem"), "l_orderkey", "l_quantity")
-    return keystats.with_mean_variance(stats).select("key", "a", "mean", "variance")
+    return keystats.key_mean_variance(table(spark, folder, "lineitem"), "l_orderkey", "l_quantity")
 
 
 @query(

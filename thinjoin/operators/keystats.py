@@ -50,11 +50,13 @@ def key_stats_two(df: DataFrame, key: str, first: str, second: str) -> DataFrame
     return df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(*named)
 
 
-def with_mean_variance(stats: DataFrame) -> DataFrame:
-    """Mean and sample variance from the sums; a single-row key has variance 0, not NULL."""
-    mean = F.try_divide(F.col("s"), F.col("x"))
-    spread = F.try_divide(F.col("q") - F.try_divide(F.col("s") * F.col("s"), F.col("x")), F.col("x") - 1)
-    return stats.withColumns({"mean": mean, "variance": F.greatest(F.coalesce(spread, F.lit(0.0)), F.lit(0.0))})
+def key_mean_variance(df: DataFrame, key: str, measure: str) -> DataFrame:
+    """Rows, mean and sample variance per key; a single-row key has variance 0, not NULL."""
+    return df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(
+        F.count(F.lit(1)).cast("double").alias("a"),
+        F.avg(measure).alias("mean"),
+        F.coalesce(F.var_samp(measure), F.lit(0.0)).alias("variance"),
+    )
 
 
 def key_means(df: DataFrame, key: str, measure: str) -> DataFrame:
