@@ -292,7 +292,7 @@ def group_sample_append(spark, folder):
 
 def two_level_draws(replicates: int, seed: int) -> Draws:
     roles = {"key": coefficients_needed(1)}
-    for name in ("left", "left_sentry", "right", "right_sentry"):
+    for name in ("left", "left_first", "left_second", "right", "right_first", "right_second"):
         roles[name] = coefficients_needed(1)
     return Draws(seed, tuple(range(1, replicates + 1)), roles)
 
@@ -301,7 +301,7 @@ def two_level_ctes(draws: Draws) -> dict[str, str]:
     def side(source: str, key: str, row: str, role: str) -> str:
         return (
             f"SELECT preset, replicate, {key}, {row}, p AS key_rate, q AS row_rate, rn = 1 AS is_sentry FROM (SELECT *, row_number() OVER "
-            f"(PARTITION BY replicate, {key} ORDER BY {q.hashed([row], role + '_sentry')}, {row}) AS rn FROM {source} "
+            f"(PARTITION BY replicate, {key} ORDER BY {q.hashed([row], role + '_first')}, {q.hashed([row], role + '_second')}) AS rn FROM {source} "
             f"JOIN kk ON {key} = kk.key JOIN draws USING (preset, replicate)) "
             f"WHERE rn = 1 OR {q.below([row], role, 'q')}"
         )

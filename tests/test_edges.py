@@ -280,3 +280,50 @@ def test_hash_values_stay_in_range(spark):
     value = polynomial_hash(hash_parts(table, ["k"]), lambda i: draw(f"key_{i}"))
     row = fanned.agg(F.min(value).alias("low"), F.max(value).alias("high")).first()
     assert 0 <= row["low"] and row["high"] < PRIME
+
+
+def test_skewed_join_matches_a_plain_join(spark):
+    from thinjoin.operators.skew import hot_keys, join_by_key
+    from thinjoin.session import settle
+
+    big = spark.range(9000).select(
+        F.when(F.col("id") % 3 == 0, 5).when(F.col("id") % 3 == 1, F.lit(None)).otherwise(F.col("id") % 4001).alias("k"),
+        F.col("id").alias("row"),
+    )
+    small = settle(
+        spark.range(0, 4001, 5).select(F.col("id").alias("sk"), F.explode(F.array(F.lit(1), F.lit(2))).alias("draw")).unionByName(
+            spark.createDataFrame([(None, 1)], "sk bigint, draw int")
+        ),
+        "small",
+    )
+    assert {r["_hot_key"] for r in hot_keys(big, "k").collect()} == {5, None}
+    plain = big.join(small, big["k"].eqNullSafe(small["sk"]))
+    split = join_by_key(big, "k", small, "sk", broadcast_rows=0)
+    assert plain.count() == split.count()
+    assert plain.exceptAll(split.select(*plain.columns)).count() == 0
+
+
+def test_fixed_size_sample_does_not_depend_on_the_candidate_bound(spark):
+    left = spark.range(3000).select((F.col("id") % 11).alias("k"), F.col("id").alias("row"), F.lit(1.0).alias("x"), (F.col("id") % 3).alias("grp"))
+    right = spark.range(50).select((F.col("id") % 11).alias("k"), F.col("id").alias("row"))
+    sides_ = Side(left, "k", ("row",)), Side(right, "k", ("row",))
+    wide = stratified.fixed_size_strata_pair(*sides_, "grp", 150, 0.01, 2, 3)
+    short = stratified.fixed_size_strata_pair(*sides_, "grp", 150, 0.01, 2, 3, slack=-5.0)
+    assert wide.left.count() == 2 * 3 * 150
+    assert wide.left.exceptAll(short.left).count() == 0 and short.left.count() == 900
+
+
+def test_two_level_sample_with_many_keys_matches_the_broadcast_one(spark, monkeypatch):
+    from thinjoin.operators import skew
+
+    left = spark.range(4000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 300).alias("k"), F.col("id").alias("row"))
+    right = spark.range(1000).select((F.col("id") % 300).alias("k"), F.col("id").alias("row"))
+    one, two = Side(left, "k", ("row",)), Side(right, "k", ("row",))
+    rates = two_level.key_rates(one, two, 0.2)
+    broadcast = two_level.two_level_sample(one, two, rates, 2, 5)
+    monkeypatch.setattr(two_level, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(skew.join_by_key, "__defaults__", (None, 0))
+    split = two_level.two_level_sample(one, two, rates, 2, 5)
+    for name in ("left", "right"):
+        a, b = getattr(broadcast, name), getattr(split, name)
+        assert a.count() == b.count() and a.exceptAll(b).count() == 0

@@ -12,6 +12,7 @@ from thinjoin.functions.hashing import DRAW_KEY, Draws, coefficients_needed, has
 from thinjoin.operators.estimate import sample_key_stats
 from thinjoin.operators.keystats import group_profile
 from thinjoin.operators.sampling import Side, hash_below
+from thinjoin.operators.skew import join_by_key
 from thinjoin.session import settle
 
 
@@ -44,22 +45,21 @@ def universe_strata_pair(
 ) -> GroupedSample:
     """Major groups share a universe rate, minor groups keep every key; all groups and replicates in one job.
 
-    ``parameters`` (``plans.strata.group_parameters``) is written once to the shared folder; its known size decides
+    ``parameters`` (``plans.strata.group_parameters``) is written once to the shared folder; its counted size decides
     between a broadcast and a shuffle join. The right table is read once, each row flagged for the major sample, the
-    minor sample or both.
+    minor sample or both. Left rows carry their group's class and the key's hash value ``pval``.
     """
     parameters = settle(parameters, "group-parameters")
     draws = _draws(left, right, replicates, seed)
 
     present = left.table.where(F.col(left.key).isNotNull())
-    fanned, draw = draws.attach(present)
-    rates = parameters.select(F.col("grp").alias("_grp"), F.col("p1").alias("_p1"), F.col("q1").alias("_q1"))
-    with_rates = fanned.join(rates, F.col(group).eqNullSafe(F.col("_grp")))
+    rates = parameters.select(F.col("grp").alias("_grp"), "is_major", F.col("p1").alias("_p1"), F.col("q1").alias("_q1"))
+    fanned, draw = draws.attach(join_by_key(present, group, rates, "_grp"))
     key_hash = polynomial_hash(hash_parts(present, [left.key]), lambda i: draw(f"key_{i}"))
-    kept_left = with_rates.where(
+    kept_left = fanned.where(
         hash_below(present, [left.key], "key", draw, F.col("_p1"))
         & hash_below(present, left.row_id, "left", draw, F.col("_q1"))
-    ).select(*DRAW_KEY, *left.table.columns, key_hash.alias("pval"))
+    ).select(*DRAW_KEY, *left.table.columns, "is_major", key_hash.alias("pval"))
 
     present = right.table.where(F.col(right.key).isNotNull())
     fanned, draw = draws.attach(present)
@@ -87,27 +87,50 @@ def fixed_size_strata(left: Side, group: str, limit: int, q: float) -> DataFrame
 
 
 def fixed_size_strata_pair(
-    left: Side, right: Side, group: str, limit: int, q: float, replicates: int | Sequence[int] = 1, seed: int = 1
+    left: Side,
+    right: Side,
+    group: str,
+    limit: int,
+    q: float,
+    replicates: int | Sequence[int] = 1,
+    seed: int = 1,
+    slack: float = 6.0,
 ) -> GroupedSample:
     """``limit`` random rows of each low group, Bernoulli rows of the others, Bernoulli rows of the right table.
 
-    The ranking only ever sees low groups, and those hold fewer than ``limit / q`` rows each by definition, so no
-    window partition grows with the table. Large groups take the Bernoulli branch, which needs no shuffle.
+    The ``limit`` rows are those with the smallest hash. They are looked for among the rows below a hash bound that
+    lets through slightly more than ``limit`` rows of a group, so the ranking sees about ``limit`` rows per group
+    and not the group. The candidates are stored and counted; a group with too few of them, which is rare, is ranked
+    over all its rows. ``slack`` sets the surplus, in standard deviations of the number of candidates; the sample is
+    the same for any value.
     """
     strata = settle(fixed_size_strata(left, group, limit, q), "strata")
     draws = _draws(left, right, replicates, seed, "rank")
+    columns = [*DRAW_KEY, *left.table.columns]
 
-    fanned, draw = draws.attach(left.table)
-    marks = strata.select(F.col("grp").alias("_grp"), F.col("is_low").alias("_low"))
-    marked = fanned.join(marks, F.col(group).eqNullSafe(F.col("_grp")))
-    high = marked.where(~F.col("_low") & hash_below(left.table, left.row_id, "left", draw, F.lit(q)))
-    ranked = marked.where("_low").withColumn(
-        "_rank", polynomial_hash(hash_parts(left.table, left.row_id), lambda i: draw(f"rank_{i}"))
-    )
+    bound = F.least(F.lit(1.0), F.lit(limit + slack * limit**0.5 + 5 * slack) / F.col("n_rows"))
+    marks = strata.select(F.col("grp").alias("_grp"), F.col("is_low").alias("_low"), bound.alias("_bound"))
+    fanned, draw = draws.attach(join_by_key(left.table, group, marks, "_grp"))
+    high = fanned.where(~F.col("_low") & hash_below(left.table, left.row_id, "left", draw, F.lit(q)))
+    rank = polynomial_hash(hash_parts(left.table, left.row_id), lambda i: draw(f"rank_{i}"))
+    near = hash_below(left.table, left.row_id, "rank", draw, F.col("_bound"))
+    candidates = settle(fanned.where(F.col("_low") & near).select(*columns, rank.alias("_rank")), "candidates")
+
+    found = candidates.groupBy(*DRAW_KEY, F.col(group).alias("_group")).agg(F.count(F.lit(1)).alias("_found"))
+    low = strata.where("is_low").select("grp", "n_rows", F.inline(draws.identities()).alias("_preset", "_replicate"))
+    same = [F.col("grp").eqNullSafe(F.col("_group"))]
+    same += [F.col(f"_{k}") == F.col(k) for k in DRAW_KEY]
+    wanted = F.least(F.lit(limit), F.col("n_rows"))
+    short = low.join(found, same, "left").where(F.coalesce("_found", F.lit(0)) < wanted)
+    short = settle(short.select(F.col("grp").alias("_short"), "_preset", "_replicate"), "short-groups")
+    if not short.isEmpty():
+        again = [F.col("_grp").eqNullSafe(F.col("_short"))]
+        again += [F.col(f"_{k}") == F.col(k) for k in DRAW_KEY]
+        rest = fanned.where(F.col("_low") & ~near).join(short, again).select(*columns, rank.alias("_rank"))
+        candidates = candidates.unionByName(rest)
     order = Window.partitionBy(*DRAW_KEY, group).orderBy("_rank", *left.row_id)
-    low = ranked.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= limit)
-    columns = [*DRAW_KEY, *left.table.columns]
-    kept_left = high.select(*columns).unionByName(low.select(*columns))
+    ranked = candidates.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= limit)
+    kept_left = high.select(*columns).unionByName(ranked.select(*columns))
 
     fanned, draw = draws.attach(right.table)
     kept_right = fanned.where(hash_below(right.table, right.row_id, "right", draw, F.lit(q)))
@@ -117,15 +140,13 @@ def fixed_size_strata_pair(
 
 def _group_totals(sample: GroupedSample, measure: str, matches: Column) -> DataFrame:
     """Joined rows and sums per (draw, group); ``matches`` is the number of right rows a left row meets."""
-    left = sample_key_stats(sample.left, sample.left_key, measure, [sample.group])
+    classes = [c for c in ("is_major",) if c in sample.left.columns]
+    left = sample_key_stats(sample.left, sample.left_key, measure, [sample.group, *classes])
     left = left.withColumnRenamed(sample.group, "grp").where(F.col("key").isNotNull())
     flags = [c for c in ("in_major", "in_minor") if c in sample.right.columns]
     counts = [F.count(F.lit(1)).cast("double").alias("b_all")] + [F.sum(F.col(c).cast("double")).alias(c) for c in flags]
     right = sample.right.groupBy(*DRAW_KEY, F.col(sample.right_key).alias("key")).agg(*counts)
     shared = left.join(right, [*DRAW_KEY, "key"])
-    if flags:
-        classes = sample.parameters.select(F.col("grp").alias("_grp"), "is_major")
-        shared = shared.join(classes, F.col("grp").eqNullSafe(F.col("_grp")))
     shared = shared.withColumn("b", matches).where("b > 0")
     return shared.groupBy(*DRAW_KEY, "grp").agg(
         F.sum(F.col("a") * F.col("b")).alias("n_join"),

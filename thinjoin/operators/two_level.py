@@ -12,9 +12,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thinjoin.functions.hashing import DRAW_KEY, Draws, coefficients_needed, hash_parts, polynomial_hash
+from thinjoin.functions.hashing import BITS, DRAW_KEY, Draws, coefficients_needed, hash_parts, polynomial_hash
 from thinjoin.operators.keystats import key_counts
 from thinjoin.operators.sampling import Side, hash_below
+from thinjoin.operators.skew import BROADCAST_ROWS, hot_keys, join_by_key
+from thinjoin.session import settle
 
 GRID = 32
 
@@ -40,7 +42,10 @@ def frequency_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key:
 
     The search for ``q`` depends on a key only through (a, b), so it runs on this histogram, not on the keys.
     """
-    shared = key_counts(left, left_key, "a").join(key_counts(right, right_key), "key")
+    return _pair_counts(key_counts(left, left_key, "a").join(key_counts(right, right_key), "key"))
+
+
+def _pair_counts(shared: DataFrame) -> DataFrame:
     return shared.groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("n_keys"))
 
 
@@ -59,6 +64,7 @@ def row_rate(pairs: DataFrame, left_rows: DataFrame, budget: float) -> DataFrame
 
     ``c`` makes the expected sample ``budget`` times the left table's rows; the relation is linear.
     """
+    pairs = settle(pairs, "frequency-pairs")
     step = 1.0 / GRID
     coarse = _grid_totals(pairs, [(i + 1) * step for i in range(GRID)], F.lit(0.0))
     near = coarse.agg(F.min_by("q", F.struct("total", "q")).alias("q")).scalar()
@@ -74,9 +80,9 @@ def row_rate(pairs: DataFrame, left_rows: DataFrame, budget: float) -> DataFrame
 
 def key_rates(left: Side, right: Side, budget: float) -> DataFrame:
     """``p`` and ``q`` of every shared key. A key whose ``p`` would pass 1 gets it as extra rows instead."""
-    pairs = frequency_pairs(left.table, right.table, left.key, right.key)
-    chosen = row_rate(pairs, left.table, budget).select(F.struct("q", "c").alias("r")).scalar()
     shared = key_counts(left.table, left.key, "a").join(key_counts(right.table, right.key), "key")
+    shared = settle(shared, "key-counts")
+    chosen = row_rate(_pair_counts(shared), left.table, budget).select(F.struct("q", "c").alias("r")).scalar()
     known = shared.withColumns({"_q": chosen.getField("q"), "_c": chosen.getField("c")})
     raw = known.withColumn("_p", F.col("_c") * F.sqrt(spread(F.col("_q")) / cost(F.col("_q"))))
     x = F.col("a") + F.col("b") - 2
@@ -106,15 +112,17 @@ class TwoLevelSample:
 
 
 def two_level_sample(left: Side, right: Side, rates: DataFrame, replicates: int = 1, seed: int = 1) -> TwoLevelSample:
-    """Draw both sides. ``rates`` is ``key_rates`` or a stored copy of it."""
+    """Draw both sides. ``rates`` is ``key_rates`` or a stored copy of it. The kept keys are stored, the rows are not."""
     roles = {"key": coefficients_needed(1)}
     for side, name in ((left, "left"), (right, "right")):
         roles[name] = coefficients_needed(len(side.row_id))
-        roles[f"{name}_sentry"] = coefficients_needed(len(side.row_id))
+        roles[f"{name}_first"] = coefficients_needed(len(side.row_id))
+        roles[f"{name}_second"] = coefficients_needed(len(side.row_id))
     draws = Draws(seed, tuple(range(1, replicates + 1)), roles)
     fanned, draw = draws.attach(rates.select("key", "p", "q"))
     kept = fanned.where(hash_below(rates, ["key"], "key", draw, F.col("p")))
     kept_keys = kept.select(*DRAW_KEY, F.col("key").alias("_key"), F.col("p").alias("_p"), F.col("q").alias("_q"))
+    kept_keys = settle(kept_keys, "kept-keys")
     return TwoLevelSample(
         _two_level_side(left, "left", kept_keys, draws),
         _two_level_side(right, "right", kept_keys, draws),
@@ -127,24 +135,28 @@ def two_level_sample(left: Side, right: Side, rates: DataFrame, replicates: int
 def _two_level_side(side: Side, role: str, kept_keys: DataFrame, draws: Draws) -> DataFrame:
     """Rows of the kept keys that are sentries or pass the row rate, flagged ``is_sentry``.
 
-    The sentry is the row with the smallest hash, found by a map-side combined minimum; no key's rows are gathered in
-    one place. Only the thinned rows are then compared with the sentries.
+    The sentry is the row with the smallest 62-bit hash. The minimum per key is combined on the map side, so no key's
+    rows are gathered in one place, and the rows are then compared with it as they are read again.
     """
-    table = side.table
-    in_kept = table.join(kept_keys, table[side.key] == kept_keys["_key"])
-    draw_of = _coefficient_lookup(draws)
-    sentry_hash = polynomial_hash(hash_parts(table, side.row_id), lambda i: draw_of(f"{role}_sentry_{i}"))
-    rows = in_kept.withColumn("_order", F.struct(sentry_hash.alias("h"), *side.row_id))
-    columns = [*DRAW_KEY, *table.columns, "_p", "_q"]
-    sentries = rows.groupBy(*DRAW_KEY, "_key").agg(
-        F.min("_order").alias("_first"), F.min_by(F.struct(*table.columns, "_p", "_q"), "_order").alias("_row")
+    table = side.table.where(F.col(side.key).isNotNull())
+    draw = _coefficient_lookup(draws)
+    parts = hash_parts(table, side.row_id)
+    first, second = (polynomial_hash(parts, lambda i, n=n: draw(f"{role}_{n}_{i}")) for n in ("first", "second"))
+    place = first * F.lit(2**BITS) + second
+    hot = None if kept_keys.count() <= BROADCAST_ROWS else hot_keys(table, side.key)
+    identity = table.select(side.key, *[c for c in side.row_id if c != side.key])
+    members = join_by_key(identity, side.key, kept_keys, "_key", hot)
+    sentries = members.groupBy(*DRAW_KEY, "_key", "_p", "_q").agg(F.min(place).alias("_place"))
+    rows = join_by_key(table, side.key, settle(sentries, f"{role}-sentries"), "_key", hot)
+    is_sentry = place == F.col("_place")
+    kept = rows.where(is_sentry | hash_below(table, side.row_id, role, draw, F.col("_q")))
+    return kept.select(
+        *DRAW_KEY,
+        *table.columns,
+        F.col("_p").alias("key_rate"),
+        F.col("_q").alias("row_rate"),
+        is_sentry.alias("is_sentry"),
     )
-    chosen = sentries.select(*DRAW_KEY, "_row.*", F.lit(True).alias("is_sentry"))
-    thinned = rows.where(hash_below(table, side.row_id, role, draw_of, F.col("_q")))
-    firsts = sentries.select(*DRAW_KEY, "_key", F.col("_first"))
-    others = thinned.join(firsts, [*DRAW_KEY, "_key"]).where(F.col("_order") != F.col("_first"))
-    both = chosen.unionByName(others.select(*columns, F.lit(False).alias("is_sentry")))
-    return both.withColumnsRenamed({"_p": "key_rate", "_q": "row_rate"})
 
 
 def _coefficient_lookup(draws: Draws):
