@@ -38,7 +38,7 @@ from thinjoin.operators.estimate import approx_join_agg, average_from_two_pairs,
 from thinjoin.operators.exact import exact_join_agg
 from thinjoin.operators.keystats import key_counts, key_stats
 from thinjoin.operators.moments import moments
-from thinjoin.operators.sampling import sample_pair
+from thinjoin.operators.sampling import Side, sample_pair
 from thinjoin.plans import central
 
 _ANY = Rates(1.0, 1.0, 1.0)
@@ -288,6 +288,24 @@ def orders_lines_by_status(spark, folder):
     return _with_actual(estimates(sample_pair(left, right, _TPCH, 4, 221), "l_quantity", right_where=where), actual)
 
 
+_PRICE = _line_order_samples(_TPCH, 4, 225, "round(l_extendedprice * 100) AS price")
+_PRICE["t"] = q.totals("s1", "s2", "l_orderkey", "o_orderkey", "price", where="r.o_orderstatus <> 'P'")
+
+
+@query(
+    "e11_average_price_by_status",
+    q.ctes(**_PRICE) + f"SELECT preset, replicate, avg_estimate FROM ({q.estimates('t', _SCALE)})",
+    digits=("avg_estimate",),
+)
+def average_price_by_status(spark, folder):
+    """TPC-H shape: average price in cents over orders that are not pending."""
+    lines = line_side(spark, folder)
+    left = Side(lines.table.withColumn("price", F.round(F.col("l_extendedprice") * 100)), lines.key, lines.row_id)
+    pair = sample_pair(left, order_side(spark, folder, "o_orderkey"), _TPCH, 4, 225)
+    found = estimates(pair, "price", right_where=predicates.compare("o_orderstatus", "<>", "P"))
+    return found.select("preset", "replicate", "avg_estimate")
+
+
 @query(
     "e11_basket_lines_by_position",
     _line_order_sql(_TPCH, 4, 222, "l.l_linenumber <> 1", "l_linenumber <> 1"),

@@ -145,6 +145,22 @@ def sketched_avg_rate(spark, folder):
     return central.sampling_rates(estimated, "avg", 0.01, 0.01).select("val1", "val2", "p")
 
 
+_AVG_RATE = q.rates("m", "avg", 0.01, 0.01)
+
+
+@query(
+    "a16_exact_and_sketched_avg_rate",
+    q.ctes(**sketch_ctes(), em=q.moments(), er=_AVG_RATE.replace("FROM m)", "FROM em)"), sr=_AVG_RATE)
+    + "SELECT er.val1, er.val2, er.p, sr.val1 AS val1_sketched, sr.val2 AS val2_sketched, sr.p AS p_sketched FROM er, sr",
+    digits=("val1", "val2", "p", "val1_sketched", "val2_sketched", "p_sketched"),
+)
+def exact_and_sketched_avg_rate(spark, folder):
+    left = keystats.key_stats(events(spark, folder), "user_id", "cents")
+    right = keystats.key_counts(table(spark, folder, "orders"), "o_custkey")
+    estimated = sketches.sketched_moments(left, right, SKETCHES, seed=3)
+    return central.exact_and_sketched_rates(moments(left, right), estimated, 0.01, 0.01)
+
+
 def _worst_case_rate_sql() -> str:
     from catalogue.generation import u
 

@@ -13,7 +13,7 @@ from thinjoin.operators import sweep
 from thinjoin.operators.estimate import estimates
 from thinjoin.operators.exact import exact_join_agg
 from thinjoin.operators.sampling import sample_pair
-from thinjoin.session import new_path
+from thinjoin.session import new_path, settle
 
 _ANY = Rates(1.0, 1.0, 1.0)
 SETTINGS = [Rates.preset(p, rate) for p, rate in PRESETS["10%"]]
@@ -41,6 +41,11 @@ def result_rows(spark, folder):
     return runs.results(found, actual, "events", "orders", {})
 
 
+def stored_results(spark, folder):
+    """The result rows as a stored table, as a finished run leaves them."""
+    return settle(result_rows(spark, folder), "results")
+
+
 @query("v01_result_rows", q.ctes(**RESULTS) + "SELECT * FROM res", digits=("actual", "estimate"))
 def replicated_runs(spark, folder):
     return result_rows(spark, folder)
@@ -51,14 +56,14 @@ def replicated_runs(spark, folder):
     q.ctes(**RESULTS) + "SELECT query, preset, idx FROM res WHERE idx > 7 OR preset = 5",
 )
 def missing_runs(spark, folder):
-    wanted = result_rows(spark, folder).select("query", "preset", "idx")
+    wanted = stored_results(spark, folder).select("query", "preset", "idx")
     done = wanted.where((F.col("idx") <= 7) & (F.col("preset") != 5))
     return runs.missing_runs(wanted, done, ["query", "preset"])
 
 
 @query("v02_next_index", q.ctes(**RESULTS) + f"SELECT {_GROUP}, max(idx) + 1 AS next_idx FROM res WHERE idx <= 5 + preset GROUP BY {_GROUP}")
 def next_index(spark, folder):
-    return runs.next_index(result_rows(spark, folder).where("idx <= 5 + preset"), CONFIGURATION)
+    return runs.next_index(stored_results(spark, folder).where("idx <= 5 + preset"), CONFIGURATION)
 
 
 @query(
@@ -183,20 +188,20 @@ def variance_matrix(spark, folder):
 @query("v11_merged_results", q.ctes(**RESULTS) + "SELECT query, preset, idx, estimate FROM res", digits=("estimate",))
 def merged_results(spark, folder):
     """An interrupted run's rows overlap the stored ones; the merge has each run once."""
-    rows = result_rows(spark, folder).select("query", "preset", "idx", "estimate")
+    rows = stored_results(spark, folder).select("query", "preset", "idx", "estimate")
     return runs.merged_results(rows.where("idx <= 8"), rows.where("idx >= 4"), ["query", "preset", "idx"])
 
 
 @query("j06_rows_not_stored", q.ctes(**RESULTS) + "SELECT query, preset, idx, estimate FROM res WHERE idx > 8", digits=("estimate",))
 def rows_not_stored(spark, folder):
-    rows = result_rows(spark, folder).select("query", "preset", "idx", "estimate")
+    rows = stored_results(spark, folder).select("query", "preset", "idx", "estimate")
     return runs.not_in(rows.where("idx >= 4"), rows.where("idx <= 8"), ["query", "preset", "idx"])
 
 
 @query("u02_appended_results", q.ctes(**RESULTS) + "SELECT query, preset, idx, actual, estimate FROM res", digits=("actual", "estimate"))
 def appended_results(spark, folder):
     path = new_path(spark, "results")
-    rows = result_rows(spark, folder)
+    rows = stored_results(spark, folder)
     for part in ("idx <= 6", "idx > 6"):
         runs.append_results(rows.where(part), path)
     return spark.read.parquet(path).select("query", "preset", "idx", "actual", "estimate")
@@ -217,5 +222,5 @@ _FIRST = "PARTITION BY query ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND C
     digits=("first_variance", "second_variance", "relative_gap"),
 )
 def convergence(spark, folder):
-    rows = result_rows(spark, folder)
+    rows = stored_results(spark, folder)
     return metrics.convergence(rows.where("preset = 2"), rows.where("preset = 5"), ["query"])

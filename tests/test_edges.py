@@ -327,3 +327,27 @@ def test_two_level_sample_with_many_keys_matches_the_broadcast_one(spark, monkey
     for name in ("left", "right"):
         a, b = getattr(broadcast, name), getattr(split, name)
         assert a.count() == b.count() and a.exceptAll(b).count() == 0
+
+
+def test_text_schemas(spark):
+    from thinjoin.sources import text
+
+    path = new_path(spark, "orders-text")
+    spark.createDataFrame([("1,7,prior,3,2,11,15.5",), ("2,7,train,4,0,1,",)], "value string").write.text(path)
+    rows = text.scan_text(spark, path, text.SCHEMAS["orders"], ",").orderBy("order_id").collect()
+    assert str(rows[0]["days_since_prior"]) == "15.5" and rows[1]["days_since_prior"] is None
+    assert rows[0]["eval_set"] == "prior"
+    for schema in text.SCHEMAS.values():
+        assert text.scan_text(spark, path, schema, ",").columns
+
+
+def test_no_registered_plan_multiplies_rows_or_leaves_the_jvm(spark, folder):
+    """A few of each family; nested-loop joins and Python evaluation have no place in any of them."""
+    import __spark_entry__ as entry
+
+    names = ("a08_moments", "e01_sampled_count", "e05_preset_estimates", "e06_swept_estimates_at_least", "e08_universe_strata_estimates",
+             "e09_fixed_size_strata_estimates", "e10_two_level_count", "n09_predicate_rate_count_at_least_identical", "v08_summary")
+    for name in names:
+        plan = plan_of(entry.queries()[name](spark, folder))
+        for operator in ("BroadcastNestedLoopJoin", "CartesianProduct", "Python"):
+            assert operator not in plan, (name, operator)

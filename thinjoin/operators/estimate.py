@@ -34,16 +34,17 @@ def sample_key_stats(sample: DataFrame, key: str, measure: str | None, by: Seque
     return sample.groupBy(*DRAW_KEY, *by, F.col(key).alias("key")).agg(*stat_columns(measure))
 
 
-def sample_totals(pair: SamplePair, measure: str, by: Sequence[str] = ()) -> DataFrame:
-    """Unscaled joined rows and sums per draw (and per ``by`` value)."""
-    left = sample_key_stats(pair.left, pair.left_key, measure, by)
+def sample_totals(pair: SamplePair, measure: str) -> DataFrame:
+    """Unscaled joined rows and sums of every draw; a draw whose samples do not meet has zeros."""
+    left = sample_key_stats(pair.left, pair.left_key, measure)
     right = sample_key_stats(pair.right, pair.right_key, None).withColumnRenamed("a", "b")
     shared = left.join(right, [*DRAW_KEY, "key"])
-    return shared.groupBy(*DRAW_KEY, *by).agg(
-        F.sum(F.col("a") * F.col("b")).alias("n_join"),
-        F.sum(F.col("x") * F.col("b")).alias("x_join"),
-        F.sum(F.col("s") * F.col("b")).alias("s_join"),
-    )
+    met = shared.select(*DRAW_KEY, *[(F.col(c) * F.col("b")).alias(n) for c, n in _TOTALS.items()])
+    none = pair.draw_table().select(*DRAW_KEY, *[F.lit(0.0).alias(n) for n in _TOTALS.values()])
+    return met.unionByName(none).groupBy(*DRAW_KEY).agg(*[F.sum(n).alias(n) for n in _TOTALS.values()])
+
+
+_TOTALS = {"a": "n_join", "x": "x_join", "s": "s_join"}
 
 
 def estimate_columns(scale: Column) -> dict[str, Column]:
@@ -65,8 +66,7 @@ def estimates(
     """One row per draw. Predicates apply to the stored sample, so one sample serves many filters."""
     filtered = restrict(pair, left_where, right_where)
     totals = sample_totals(filtered, measure)
-    every = pair.draw_table().select(*DRAW_KEY).join(totals, list(DRAW_KEY), "left")
-    return every.select(*DRAW_KEY, *[c.alias(n) for n, c in estimate_columns(scale_factor(pair.rates)).items()])
+    return totals.select(*DRAW_KEY, *[c.alias(n) for n, c in estimate_columns(scale_factor(pair.rates)).items()])
 
 
 def restrict(pair: SamplePair, left_where: Column | None, right_where: Column | None) -> SamplePair:

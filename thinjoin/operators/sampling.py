@@ -94,17 +94,22 @@ def sample_side(side: Side, role: str, rate: str, rates: RateSource, draws: Draw
     return kept.select(*DRAW_KEY, *side.table.columns)
 
 
-def sample_pair(
-    left: Side, right: Side, rates: RateSource | DataFrame, replicates: int | Sequence[int] = 1, seed: int = 1
-) -> SamplePair:
-    """Draw a pair. ``rates`` is literal, a sequence of presets, or a planner's one-row DataFrame."""
-    rates = fixed_rates(rates)
+def pair_draws(left: Side, right: Side, rates: RateSource, replicates: int | Sequence[int], seed: int) -> Draws:
+    """The draws of a pair: one key hash for both sides, one row hash per side."""
     roles = {
         "key": coefficients_needed(1),
         "left": coefficients_needed(len(left.row_id)),
         "right": coefficients_needed(len(right.row_id)),
     }
-    draws = make_draws(rates, replicates, seed, roles)
+    return make_draws(rates, replicates, seed, roles)
+
+
+def sample_pair(
+    left: Side, right: Side, rates: RateSource | DataFrame, replicates: int | Sequence[int] = 1, seed: int = 1
+) -> SamplePair:
+    """Draw a pair. ``rates`` is literal, a sequence of presets, or a planner's one-row DataFrame."""
+    rates = fixed_rates(rates)
+    draws = pair_draws(left, right, rates, replicates, seed)
     return SamplePair(
         sample_side(left, "left", "q1", rates, draws),
         sample_side(right, "right", "q2", rates, draws),

@@ -186,6 +186,6 @@ def two_level_count(sample: TwoLevelSample) -> DataFrame:
     right = per_key(sample.right, sample.right_key, "f2").select(*DRAW_KEY, "key", "f2")
     shared = left.join(right, [*DRAW_KEY, "key"])
     rows = (F.col("f1") / F.col("q_f1") + 1) * (F.col("f2") / F.col("q_f1") + 1) / F.col("p_f1")
-    totals = shared.groupBy(*DRAW_KEY).agg(F.sum(rows).alias("count_estimate"))
-    every = sample.draw_table().select(*DRAW_KEY).join(totals, list(DRAW_KEY), "left")
-    return every.select(*DRAW_KEY, F.coalesce("count_estimate", F.lit(0.0)).alias("count_estimate"))
+    met = shared.select(*DRAW_KEY, rows.alias("rows"))
+    none = sample.draw_table().select(*DRAW_KEY, F.lit(0.0).alias("rows"))
+    return met.unionByName(none).groupBy(*DRAW_KEY).agg(F.sum("rows").alias("count_estimate"))

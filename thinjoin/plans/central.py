@@ -67,6 +67,14 @@ def joint_rates(moments: DataFrame, e1: float, e2: float) -> DataFrame:
     return with_rates(planned, e1, e2)
 
 
+def exact_and_sketched_rates(exact: DataFrame, sketched: DataFrame, e1: float, e2: float) -> DataFrame:
+    """The AVG plan from exact moments beside the one from sketched moments."""
+    other = sampling_rates(sketched, "avg", e1, e2)
+    found = other.select(F.struct("val1", "val2", "p").alias("found")).scalar()
+    planned = sampling_rates(exact, "avg", e1, e2).select("val1", "val2", "p")
+    return planned.withColumns({f"{n}_sketched": found.getField(n) for n in ("val1", "val2", "p")})
+
+
 def pooled_rates(moments: DataFrame, agg: str, e1: float, e2: float, weight: Column | None = None) -> DataFrame:
     """One rate for many predicate values or groups: their objectives added up, optionally weighted.
 

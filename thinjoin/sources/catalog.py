@@ -14,9 +14,18 @@ from pyspark.sql import functions as F
 
 from thinjoin.functions.hashing import DRAW_KEY
 from thinjoin.operators.keystats import key_counts, key_stats
-from thinjoin.operators.sampling import RateSource, SamplePair, Side, rate_columns, sample_pair
+from thinjoin.operators.sampling import (
+    RateSource,
+    SamplePair,
+    Side,
+    fixed_rates,
+    pair_draws,
+    rate_columns,
+    sample_pair,
+)
 from thinjoin.operators.stratified import GroupedSample
 
+REPLICATES_PER_JOB = 100
 META_IDENTITY = ("t1_name", "t2_name", "agg", "t1_join_col", "t2_join_col", "t1_agg_col")
 
 
@@ -60,11 +69,15 @@ def store_pair(
     seed: int = 1,
     overwrite: bool = False,
 ) -> DataFrame:
-    """Draw the replicates that are not stored yet (all with ``overwrite``); return the metadata table."""
+    """Draw the replicates that are not stored yet (all with ``overwrite``); return the metadata table.
+
+    Replicates are drawn ``REPLICATES_PER_JOB`` to a scan, and each such batch is complete once its metadata is there.
+    """
     spark = left.table.sparkSession
+    rates = fixed_rates(rates)
     needed = list(range(1, replicates + 1)) if overwrite else missing_replicates(spark, folder, replicates)
-    if needed:
-        pair = sample_pair(left, right, rates, needed, seed)
+    for start in range(0, len(needed), REPLICATES_PER_JOB):
+        pair = sample_pair(left, right, rates, needed[start : start + REPLICATES_PER_JOB], seed)
         write_sample(pair.left, f"{folder}/left")
         write_sample(pair.right, f"{folder}/right")
         record_sample(pair, f"{folder}/meta", identity)
@@ -92,10 +105,10 @@ def latest_samples(meta: DataFrame, identity: Sequence[str] = META_IDENTITY) ->
 
 def load_pair(left: Side, right: Side, rates: RateSource | DataFrame, folder: str, replicates: int, seed: int = 1) -> SamplePair:
     """A stored pair; ``replicate`` is a partition column, so a filter on it prunes files."""
-    fresh = sample_pair(left, right, rates, replicates, seed)
+    rates = fixed_rates(rates)
     spark = left.table.sparkSession
-    stored = [spark.read.parquet(f"{folder}/{name}") for name in ("left", "right")]
-    return SamplePair(*stored, left.key, right.key, fresh.rates, fresh.draws)
+    stored = [spark.read.parquet(f"{folder}/{name}").where(F.col("replicate") <= replicates) for name in ("left", "right")]
+    return SamplePair(*stored, left.key, right.key, rates, pair_draws(left, right, rates, replicates, seed))
 
 
 def append_group_sample(sample: GroupedSample, path: str) -> None:
