@@ -31,8 +31,12 @@ def u(role: str, row: str = ROW, seed: int = SEED) -> str:
     return f"(({_lane(seed, role + '.high', row)} + {_lane(seed, role + '.low', row)}/{p})/{p})"
 
 
+def coarse(role: str, row: str, seed: int) -> str:
+    return f"({_lane(seed, role, row)}/{float(PRIME)!r}::DOUBLE)"
+
+
 def normal(role: str, row: str = ROW, seed: int = SEED) -> str:
-    return f"(sqrt(-2*ln(1 - {u(role + '.radius', row, seed)}))*cos({2 * math.pi!r}::DOUBLE*{u(role + '.angle', row, seed)}))"
+    return f"(sqrt(-2*ln(1 - {coarse(role + '.radius', row, seed)}))*cos({2 * math.pi!r}::DOUBLE*{coarse(role + '.angle', row, seed)}))"
 
 
 def truncated(role: str, mean: str, sd: str, low: str, high: str, row: str = ROW, seed: int = SEED) -> str:

@@ -349,7 +349,7 @@ def group_profile(spark, folder):
 MN = {"ls": q.stats(q.EVENTS, "user_id", "cents"), "rc": q.counts("orders", "o_custkey")}
 
 
-@query("a08_moments", q.ctes(**MN) + q.moments())
+@query("a08_moments", q.ctes(**MN) + q.moments(), digits=("s2b2",))
 def moment_sums(spark, folder):
     left = keystats.key_stats(events(spark, folder), "user_id", "cents")
     return moments(left, keystats.key_counts(table(spark, folder, "orders"), "o_custkey"))
