@@ -8,15 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Schemas of the known text tables.
+# Schemas of the known text tables. Readers take STRING where a table definition says VARCHAR(n).
 SCHEMAS = {
     "synthetic": "col1 BIGINT, col2 INT, col3 INT, col4 STRING",
-    "orders": "order_id INT, user_id INT, eval_set VARCHAR(10), order_number INT, order_dow INT, "
+    "orders": "order_id INT, user_id INT, eval_set STRING, order_number INT, order_dow INT, "
     "order_hour_of_day INT, days_since_prior DECIMAL(5,1)",
     "order_products": "order_id INT, product_id INT, add_to_cart_order INT, reordered INT",
-    "products": "product_id INT, product_name VARCHAR(500), aisle_id INT, department_id INT",
-    "aisles": "aisle_id INT, aisle VARCHAR(100)",
-    "departments": "department_id INT, department VARCHAR(100)",
+    "products": "product_id INT, product_name STRING, aisle_id INT, department_id INT",
+    "aisles": "aisle_id INT, aisle STRING",
+    "departments": "department_id INT, department STRING",
 }
 
 
