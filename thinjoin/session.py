@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Sub-folder of the shared folder that holds this package's intermediate tables.
+TABLES = "thinjoin"
+
 
 def local_session(cores: str = "*", name: str = "thinjoin", partitions: int = 8) -> SparkSession:
     """Session for tests and the bench; a cluster brings its own."""
@@ -24,17 +26,42 @@ def local_session(cores: str = "*", name: str = "thinjoin", partitions: int = 8)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where none is set (tests)."""
+    """The folder all executors share for intermediate tables.
+
+    ``spark.checkpoint.dir`` of the session, else the folder given to ``SparkContext.setCheckpointDir``. Without either
+    a cluster job stops; only a session whose driver runs the tasks itself (tests) gets a folder under
+    ``spark.sql.warehouse.dir``.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="thinjoin-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = given.get() if given.isDefined() else None
+    if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate"
     return folder.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{TABLES}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_intermediate(spark: SparkSession, name: str | None = None) -> None:
+    """Delete the intermediate tables made under ``name``, or all that this package made in the shared folder.
+
+    For the end of a job: plans that still read such a table fail afterwards.
+    """
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{TABLES}")
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return
+    for entry in files.listStatus(root):
+        if name is None or entry.getPath().getName().startswith(f"{name}-"):
+            files.delete(entry.getPath(), True)
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
