@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -31,7 +32,7 @@ def folded_crc(column: Column, modulus: int) -> Column:
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of ``batch`` with about ``limit`` bytes of ``column`` each; a longer row is a part of its own."""
     at = batch.schema.get_field_index(column)
-    sizes = np.array([0 if v is None else v for v in pa.compute.binary_length(batch.column(at)).to_pylist()], np.int64)
+    sizes = np.array([0 if v is None else v for v in pc.binary_length(batch.column(at)).to_pylist()], np.int64)
     block = np.cumsum(sizes) // limit
     cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(sizes)]
     for start, end in zip(cuts, cuts[1:], strict=False):

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from thinjoin.llm import contamination, line_dedup
+from thinjoin.llm import contamination, language_id, line_dedup, quality_rules
 
 QUERIES = {
+    "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op6_language_id": language_id.op6_language_id,
     "op7_decontamination": contamination.op7_decontamination,
     "op8_line_dedup": line_dedup.op8_line_dedup,
 }
