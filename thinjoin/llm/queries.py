@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from thinjoin.llm import contamination, language_id, line_dedup, quality_rules
+from thinjoin.llm import contamination, language_id, line_dedup, quality_rules, url_filter
 
 QUERIES = {
+    "op1_url_filter": url_filter.op1_url_filter,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op6_language_id": language_id.op6_language_id,
     "op7_decontamination": contamination.op7_decontamination,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_url_filter": url_filter.ORACLE,
     "op7_decontamination": contamination.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
 }
