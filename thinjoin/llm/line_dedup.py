@@ -57,7 +57,8 @@ def drop_bitmaps(docs: DataFrame, min_length: int = MIN_LENGTH) -> DataFrame:
     order = ["h1", "h2", "doc_id", "pos"]
     ordered = hashes.repartitionByRange(*order).sortWithinPartitions(*order)
     first = ordered.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    first = first.where(F.col("last") > F.col("first")).drop("last")
+    # as a table of its own: the join below then stands on two plain exchanges, and Spark splits a line found everywhere
+    first = settle(first.where(F.col("last") > F.col("first")).drop("last"), "first-lines")
     later = ordered.join(first, ["h1", "h2"]).where(F.col("doc_id") > F.col("first"))
     bit = F.expr(f"shiftleft(1L, cast(pos % {WORD} as int))")
     words = later.groupBy("doc_id", "rid", F.expr(f"pos div {WORD}").alias("word")).agg(F.bit_or(bit).alias("bits"))
