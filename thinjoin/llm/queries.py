@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from thinjoin.llm import contamination, language_id, line_dedup, quality_rules, url_filter
+from thinjoin.llm import contamination, language_id, line_dedup, near_dedup, quality_rules, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_language_id": language_id.op6_language_id,
     "op7_decontamination": contamination.op7_decontamination,
     "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op10_near_dedup": near_dedup.op10_near_dedup,
 }
 
 ORACLES = {
