@@ -74,18 +74,32 @@ def map_text(rows: DataFrame, work: Callable[[], Callable[[list], list[pa.Array]
     return mapped.withColumn("text", F.col("text").cast("string"))
 
 
-def shared_sample(df: DataFrame, by: Column, per_group: int) -> DataFrame:
-    """About ``per_group`` rows of each value of ``by``, chosen by a hash of the row's ``doc_id`` and text.
+def shared_sample(df: DataFrame, by: Column, per_group: int, *keys: str) -> DataFrame:
+    """About ``per_group`` rows of each value of ``by``, chosen by a hash of the columns ``keys``; adds ``_group``.
 
     The group sizes are counted first, so that no row is moved: a row stays if its hash falls in the share that leaves
-    ``per_group`` rows. The same rows are chosen whenever the same table is read. Rows come back with ``_group``.
+    ``per_group`` rows. The same rows are chosen whenever the same table is read.
     """
     rows = df.withColumn("_group", by).where(F.col("_group").isNotNull())
     sizes = rows.groupBy("_group").agg(F.count(F.lit(1)).alias("_size"))
-    share = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    share = F.pmod(F.xxhash64(F.lit("sample"), *keys), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return rows.join(sizes, "_group").where(share * F.col("_size") < per_group).drop("_size")
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> list[tuple[int, bytes]]:
+    """(label, text) of about ``per_class`` labelled documents of either class, in a fixed order.
+
+    The sample is taken from the labels, so its size is known before any text is read, and it is small enough to be
+    sent to the scan of the documents whatever their number. A document labelled twice has its larger label.
+    """
+    one = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
+    chosen = shared_sample(one, F.col("label"), per_class, "doc_id").select(F.col("doc_id").alias("id"), "label")
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
+    found = found.join(F.broadcast(chosen), F.col("doc_id") == F.col("id"))
+    rows = found.select("label", "raw", F.xxhash64("doc_id", "raw").alias("order")).collect()
+    return [(int(r["label"] > 0), bytes(r["raw"])) for r in sorted(rows, key=lambda r: (r["order"], r["raw"]))]
+
+
 def identity(docs: DataFrame) -> Column:
     """Tells apart rows of one ``doc_id`` with different texts; rows equal in both share all results."""
     return F.xxhash64(F.col("text"))

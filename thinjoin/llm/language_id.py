@@ -137,7 +137,7 @@ def score_texts(texts: list[bytes | None], languages: list[str], weights: np.nda
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """A model from (text, lang) of ``docs``; rows without either are left out."""
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    found = shared_sample(rows, F.col("lang"), per_language)
+    found = shared_sample(rows, F.col("lang"), per_language, "doc_id", "text")
     order = found.select("_group", F.col("text").cast("binary").alias("raw"), F.xxhash64("doc_id", "text").alias("_order"))
     picked = sorted(order.collect(), key=lambda r: (r["_order"], r["raw"]))
     return fit([(r["_group"], bytes(r["raw"])) for r in picked])

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from thinjoin.llm import contamination, language_id, line_dedup, near_dedup, quality_rules, url_filter
+from thinjoin.llm import contamination, language_id, line_dedup, near_dedup, quality_crf, quality_rules, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op3_quality_crf": quality_crf.op3_quality_crf,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op6_language_id": language_id.op6_language_id,
     "op7_decontamination": contamination.op7_decontamination,
