@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from thinjoin.llm import contamination, language_id, line_dedup, near_dedup, quality_crf, quality_rules, url_filter
+from thinjoin.llm import contamination, language_id, line_dedup, near_dedup, quality_crf, quality_rules, toxicity_gru, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_language_id": language_id.op6_language_id,
     "op7_decontamination": contamination.op7_decontamination,
     "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op9_toxicity_gru": toxicity_gru.op9_toxicity_gru,
     "op10_near_dedup": near_dedup.op10_near_dedup,
 }
 
