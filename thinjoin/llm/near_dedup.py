@@ -242,33 +242,45 @@ def links(found: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
-    """(row, text, class_id, n_links, n_copies) for every row of ``docs``.
+    """(row, text, class_id, n_links, n_copies, first) for every row of ``docs``.
 
     ``class_id`` is the smallest doc_id of the class, ``n_links`` the number of other texts that the row's text was
-    found similar to, ``n_copies`` the number of rows with the same words.
+    found similar to, ``n_copies`` the number of rows with the same words. ``first`` marks the row that stands for the
+    class, and rows equal to it in id and text.
     """
     found = sketches(docs)
     nodes, edges = links(found, docs)
     parts = components(edges)
     counts = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).groupBy("node").count()
     copies = found.where(F.col("node").isNotNull()).groupBy("node").agg(F.count(F.lit(1)).alias("n_copies"))
-    known = nodes.select("node", F.col("rep.doc_id").alias("doc_id")).join(copies, "node").join(parts, "node", "left")
+    known = nodes.select("node", "rep").join(copies, "node").join(parts, "node", "left")
     known = settle(known.join(counts, "node", "left").withColumn("part", F.coalesce("component", "node")), "known")
-    names = settle(known.groupBy("part").agg(F.min("doc_id").alias("class_id")), "names")
-    named = settle(known.join(names, "part").select("node", "class_id", F.coalesce("count", F.lit(0)).alias("n_links"), "n_copies"), "named")
-    per_row = found.select("doc_id", "rid", "node").distinct().join(named, "node")
-    per_row = per_row.select(F.col("doc_id").alias("id"), F.col("rid").alias("of"), "class_id", "n_links", "n_copies")
+    names = settle(known.groupBy("part").agg(F.min("rep").alias("head")), "names")
+    named = known.join(names, "part").select("node", "head", F.coalesce("count", F.lit(0)).alias("n_links"), "n_copies")
+    per_row = found.select("doc_id", "rid", "node").distinct().join(settle(named, "named"), "node")
+    per_row = per_row.select(F.col("doc_id").alias("id"), F.col("rid").alias("of"), "head", "n_links", "n_copies")
     rows = packed(docs).withColumn("rid", identity(docs))
     joined = rows.join(per_row, (F.col("row.doc_id") == F.col("id")) & (F.col("rid") == F.col("of")), "left")
+    own = (F.col("head.doc_id") == F.col("row.doc_id")) & (F.col("head.rid") == F.col("rid"))
     return joined.select(
         "row",
         "text",
-        F.coalesce("class_id", "row.doc_id").alias("class_id"),
+        F.coalesce("head.doc_id", "row.doc_id").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
+        F.coalesce(own, F.lit(True)).alias("first"),
     )
 
 
+def representatives(docs: DataFrame) -> DataFrame:
+    """(row, text): one row of each class, the one with the smallest id.
+
+    Rows equal in id and text are one document. So are rows without an id, or without words, only if all that is equal.
+    """
+    heads = near_classes(docs).where("first").select("row", "text", F.col("row.doc_id").alias("id"), F.xxhash64("text").alias("of"))
+    return heads.dropDuplicates(["id", "of"]).select("row", "text")
+
+
 def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = near_classes(table(spark, folder, "documents").select("doc_id", "text"))
     return found.select("row.doc_id", "class_id", "n_links", "n_copies")

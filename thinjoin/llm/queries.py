@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from thinjoin.llm import contamination, language_id, line_dedup, near_dedup, quality_crf, quality_rules, toxicity_gru, url_filter
+from thinjoin.llm import contamination, language_id, line_dedup, mixing, near_dedup, quality_crf, quality_rules, toxicity_gru, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op3_quality_crf": quality_crf.op3_quality_crf,
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op5_mixing": mixing.op5_mixing,
     "op6_language_id": language_id.op6_language_id,
     "op7_decontamination": contamination.op7_decontamination,
     "op8_line_dedup": line_dedup.op8_line_dedup,
@@ -17,6 +18,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_url_filter": url_filter.ORACLE,
+    "op5_mixing": mixing.ORACLE,
     "op7_decontamination": contamination.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
 }
