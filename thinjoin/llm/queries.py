@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from thinjoin.llm import contamination, language_id, line_dedup, mixing, near_dedup, quality_crf, quality_rules, toxicity_gru, url_filter
+from thinjoin.llm import contamination, language_id, line_dedup, mixing, near_dedup, quality_crf, quality_rules, suffix_dedup, toxicity_gru, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_quality_crf": quality_crf.op3_quality_crf,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_mixing": mixing.op5_mixing,
