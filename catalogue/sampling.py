@@ -380,12 +380,47 @@ def stored_pair(spark, folder):
     path = new_path(spark, "samples")
     for replicates in (2, 4):
         catalog.store_pair(left, right, rates, path, replicates, IDENTITY, seed=101)
-    pair = catalog.load_pair(left, right, rates, path, 4, seed=101)
+    pair = catalog.load_pair(left, right, path, 4, IDENTITY)
     one = pair.left.groupBy("replicate").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("total"))
     two = pair.right.groupBy("replicate").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("total"))
     return one.withColumn("side", F.lit("left")).unionByName(two.withColumn("side", F.lit("right")))
 
 
+@query(
+    "i05_stored_at_two_rates",
+    q.ctes(
+        **pair_sql(literal_rates(Rates(0.9, 0.8, 0.7)), pair_draws(_PRESET, 2, 102)),
+    )
+    + "SELECT CAST(0.9 AS DOUBLE) AS p, CAST(0.8 AS DOUBLE) AS q1, CAST(0.7 AS DOUBLE) AS q2, replicate, count(*) AS n, "
+    "CAST(sum(event_id) AS BIGINT) AS total FROM s1 GROUP BY replicate",
+)
+def stored_at_two_rates(spark, folder):
+    """Another rate in the same folder is drawn, not taken for stored, and opened with its own rates."""
+    left, right = event_side(spark, folder), order_side(spark, folder)
+    path = new_path(spark, "samples")
+    for rates in (Rates(0.5, 0.5, 0.5), Rates(0.9, 0.8, 0.7)):
+        catalog.store_pair(left, right, rates, path, 2, IDENTITY, seed=102)
+    pair = catalog.load_pair(left, right, path, 2, IDENTITY)
+    rates = [F.lit(getattr(pair.rates, n)).alias(n) for n in ("p", "q1", "q2")]
+    found = pair.left.groupBy("replicate").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("total"))
+    return found.select(*rates, "replicate", "n", "total")
+
+
+@query(
+    "i05_overwritten_by_empty_draw",
+    "SELECT 0::BIGINT AS n, (SELECT count(*) FROM events) AS n_first",
+)
+def overwritten_by_empty_draw(spark, folder):
+    """An overwriting draw without a row leaves none of the rows before it."""
+    left, right = event_side(spark, folder), order_side(spark, folder)
+    path, full, nothing = new_path(spark, "samples"), Rates(1.0, 1.0, 1.0), Rates(1e-9, 1.0, 1.0)
+    catalog.store_pair(left, right, full, path, 1, IDENTITY)
+    first = catalog.load_pair(left, right, path, 1, IDENTITY).left.agg(F.count(F.lit(1)).alias("n_first"))
+    catalog.store_pair(left, right, nothing, path, 1, IDENTITY, overwrite=True)
+    second = catalog.load_pair(left, right, path, 1, IDENTITY).left.agg(F.count(F.lit(1)).alias("n"))
+    return second.select("n", first.scalar().alias("n_first"))
+
+
 _META = ", ".join(f"'{v}' AS {k}" for k, v in IDENTITY.items())
 
 
@@ -398,7 +433,7 @@ _META = ", ".join(f"'{v}' AS {k}" for k, v in IDENTITY.items())
     digits=("p", "q1", "q2"),
 )
 def sample_metadata(spark, folder):
-    return _two_plans(spark, folder).drop("ts")
+    return _two_plans(spark, folder).drop("ts", "seed", "path")
 
 
 @query(
@@ -408,7 +443,7 @@ def sample_metadata(spark, folder):
     digits=("p", "q1", "q2"),
 )
 def latest_metadata(spark, folder):
-    return catalog.latest_samples(_two_plans(spark, folder)).drop("ts")
+    return catalog.latest_samples(_two_plans(spark, folder)).drop("ts", "seed", "path")
 
 
 def _two_plans(spark, folder):

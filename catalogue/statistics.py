@@ -70,6 +70,14 @@ def stored_key_stats(spark, folder):
     return stats
 
 
+@query("i10_stored_for_two_measures", q.stats("lineitem", "l_orderkey", "l_linenumber"))
+def stored_for_two_measures(spark, folder):
+    """Statistics of another measure in the same folder are computed, not taken for stored."""
+    path, lines = new_path(spark, "key-stats"), table(spark, folder, "lineitem")
+    catalog.stored_key_stats(lines, "l_orderkey", "l_quantity", path)
+    return catalog.stored_key_stats(lines, "l_orderkey", "l_linenumber", path)
+
+
 @query("i11_stored_group_stats", q.stats(q.EVENTS, "user_id", "cents", ["event_type"]))
 def stored_group_stats(spark, folder):
     path = new_path(spark, "group-stats")

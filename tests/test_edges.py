@@ -228,11 +228,45 @@ def test_filters_hold_for_planning_and_sampling(small):
 def test_stored_pair_resumes(spark, small):
     left, right = small
     path, identity = new_path(spark, "pair"), dict.fromkeys(catalog.META_IDENTITY, "t")
-    catalog.store_pair(left, right, Rates(1.0, 1.0, 1.0), path, 2, identity)
-    assert catalog.missing_replicates(spark, path, 4) == [3, 4]
-    meta = catalog.store_pair(left, right, Rates(1.0, 1.0, 1.0), path, 4, identity)
+    full = Rates(1.0, 1.0, 1.0)
+    catalog.store_pair(left, right, full, path, 2, identity)
+    assert catalog.missing_replicates(spark, path, 4, identity, full) == [3, 4]
+    assert catalog.missing_replicates(spark, path, 2, identity, full, seed=2) == [1, 2]
+    assert catalog.missing_replicates(spark, path, 2, identity, Rates(0.5, 1.0, 1.0)) == [1, 2]
+    assert catalog.missing_replicates(spark, path, 2, identity | {"agg": "other"}, full) == [1, 2]
+    meta = catalog.store_pair(left, right, full, path, 4, identity)
     assert meta.count() == 4
-    assert spark.read.parquet(f"{path}/left").groupBy("replicate").count().count() == 4
+    pair = catalog.load_pair(left, right, path, 4, identity)
+    assert pair.rates == full
+    assert pair.left.groupBy("replicate").count().count() == 4
+    with pytest.raises(ValueError):
+        catalog.load_pair(left, right, path, 5, identity)
+    with pytest.raises(ValueError):
+        catalog.load_pair(left, right, path, 2, identity, rates=Rates(0.5, 1.0, 1.0))
+
+
+def test_overwritten_pair_keeps_nothing_old(spark, small):
+    left, right = small
+    path, identity = new_path(spark, "pair"), dict.fromkeys(catalog.META_IDENTITY, "t")
+    presets = [Rates(1.0, 1.0, 1.0), Rates(1.0, 0.5, 0.5)]
+    catalog.store_pair(left, right, presets, path, 3, identity)
+    meta = catalog.store_pair(left, right, presets, path, 3, identity, overwrite=True)
+    assert meta.count() == 6
+    pair = catalog.load_pair(left, right, path, 3, identity)
+    assert list(pair.rates) == presets
+    rows = pair.left.where("preset = 0").groupBy("replicate").count().collect()
+    assert {r["count"] for r in rows} == {left.table.where(F.col(left.key).isNotNull()).count()}
+
+
+def test_stored_statistics_tell_inputs_apart(spark, small):
+    left, right = small
+    path = new_path(spark, "stats")
+    spark.range(3).write.parquet(f"{path}/stats-broken")  # what a run that died may leave
+    one = catalog.stored_key_stats(left.table, left.key, None, path)
+    two = catalog.stored_key_stats(right.table, right.key, None, path)
+    again = catalog.stored_key_stats(left.table, left.key, None, path)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, again.collect()))
+    assert sorted(map(tuple, two.collect())) == sorted(map(tuple, key_counts(right.table, right.key).collect()))
 
 
 def test_samplers_work_on_streams(spark):
