@@ -361,11 +361,11 @@ _Y = "(2 + q*(a + b - 2))"
 TWO_LEVEL = {
     "fr": "SELECT a, b, CAST(count(*) AS DOUBLE) AS n FROM (" + q.counts("events", "user_id", "a") + ") JOIN ("
     + q.counts("orders", "o_custkey") + ") USING (key) GROUP BY a, b",
-    "g1": "SELECT (i + 1)/32.0::DOUBLE AS q FROM range(32) t(i)",
+    "lo": "SELECT 0.25::DOUBLE/max(a + b) AS least FROM fr",
+    "g1": "SELECT pow(least, i/32.0::DOUBLE) AS q FROM lo, range(33) t(i)",
     "t1": f"SELECT q, sum(n*sqrt({_X}*{_Y})) AS total FROM fr, g1 GROUP BY q",
     "q0": "SELECT q AS near FROM t1 ORDER BY total, q LIMIT 1",
-    "g2": "SELECT DISTINCT least(1.0::DOUBLE, greatest(1.0::DOUBLE/1024, near + (i - 31.5::DOUBLE)/1024)) AS q FROM q0, range(64) t(i) "
-    "UNION SELECT near FROM q0",
+    "g2": "SELECT DISTINCT least(1.0::DOUBLE, greatest(least, near * pow(least, (i - 32)/1024.0::DOUBLE))) AS q FROM q0, lo, range(65) t(i)",
     "t2": f"SELECT q, sum(n*sqrt({_X}*{_Y})) AS total FROM fr, g2 GROUP BY q",
     "par": "SELECT q, total, 0.1::DOUBLE*(SELECT count(*) FROM events)/total AS c FROM t2 ORDER BY total, q LIMIT 1",
 }

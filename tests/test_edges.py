@@ -385,3 +385,24 @@ def test_no_registered_plan_multiplies_rows_or_leaves_the_jvm(spark, folder):
         plan = plan_of(entry.queries()[name](spark, folder))
         for operator in ("BroadcastNestedLoopJoin", "CartesianProduct", "Python"):
             assert operator not in plan, (name, operator)
+
+
+@pytest.mark.parametrize("frequency", [1e3, 1e5, 1e7])
+def test_two_level_rate_is_the_best_at_any_frequency(spark, frequency):
+    """Against a search that shares nothing with the planner's grid."""
+    import numpy as np
+
+    counts = [(frequency, frequency, 50.0), (frequency / 7, frequency * 2, 20.0), (3.0, 2.0, 100.0)]
+    pairs = spark.createDataFrame(counts, "a double, b double, n_keys double")
+    found = two_level.row_rate(pairs, spark.range(10), 0.1).first()
+
+    def total(q):
+        value = 0.0
+        for a, b, n in counts:
+            x = (1 / q**2 - 1) * (a - 1) * (b - 1) + (1 / q - 1) * ((b - 1) * (a * a - a + 1) + (a - 1) * (b * b - b + 1))
+            value = value + n * np.sqrt((np.maximum(x, 0) + a * a * b * b) * (2 + q * (a + b - 2)))
+        return value
+
+    best = total(np.exp(-np.linspace(0, 20, 400_001))).min()
+    assert found["total"] <= 1.0001 * best
+    assert found["total"] == pytest.approx(total(found["q"]), rel=1e-9)

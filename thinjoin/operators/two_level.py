@@ -49,27 +49,27 @@ def _pair_counts(shared: DataFrame) -> DataFrame:
     return shared.groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("n_keys"))
 
 
-def _grid_totals(pairs: DataFrame, offsets: list[float], start: Column) -> DataFrame:
-    """``sum sqrt(X Y)`` at ``start + offset`` for a literal list of offsets, in one aggregate."""
-    step = F.lit(1.0 / GRID / GRID)
-    steps = F.array(*[F.lit(o) for o in offsets])
-    fanned = pairs.select("a", "b", "n_keys", F.explode(steps).alias("offset"))
-    known = fanned.withColumn("q", F.least(F.lit(1.0), F.greatest(step, start + F.col("offset"))))
+def _grid_totals(pairs: DataFrame, steps: list[float], rate: Column, least: Column) -> DataFrame:
+    """``sum sqrt(X Y)`` at the rates that ``rate`` gives for a literal list of steps, in one aggregate."""
+    fanned = pairs.select("a", "b", "n_keys", F.explode(F.array(*[F.lit(s) for s in steps])).alias("step"))
+    known = fanned.withColumn("q", F.least(F.lit(1.0), F.greatest(least, rate)))
     q = F.col("q")
-    return known.groupBy("offset", "q").agg(F.sum(F.col("n_keys") * F.sqrt(spread(q) * cost(q))).alias("total"))
+    return known.groupBy("step", "q").agg(F.sum(F.col("n_keys") * F.sqrt(spread(q) * cost(q))).alias("total"))
 
 
 def row_rate(pairs: DataFrame, left_rows: DataFrame, budget: float) -> DataFrame:
-    """One row: ``q`` (coarse grid, then a finer one around its best) and the constant ``c`` of ``p_v``.
+    """One row: ``q`` and the constant ``c`` of ``p_v``.
 
-    ``c`` makes the expected sample ``budget`` times the left table's rows; the relation is linear.
+    The best rate falls with the frequencies, about as 2 over a key's rows, so rates are searched on a logarithmic grid
+    from a quarter of one over the largest pair of frequencies to 1, and then on a finer one around its best. ``c``
+    makes the expected sample ``budget`` times the left table's rows; the relation is linear.
     """
     pairs = settle(pairs, "frequency-pairs")
-    step = 1.0 / GRID
-    coarse = _grid_totals(pairs, [(i + 1) * step for i in range(GRID)], F.lit(0.0))
+    least = pairs.agg((F.lit(0.25) / F.max(F.col("a") + F.col("b"))).alias("least")).scalar()
+    coarse = _grid_totals(pairs, [i / GRID for i in range(GRID + 1)], F.pow(least, F.col("step")), least)
     near = coarse.agg(F.min_by("q", F.struct("total", "q")).alias("q")).scalar()
-    around = [(i - GRID + 0.5) * step / GRID for i in range(2 * GRID)]
-    fine = _grid_totals(pairs, [0.0, *around], near)
+    around = [i / GRID / GRID for i in range(-GRID, GRID + 1)]
+    fine = _grid_totals(pairs, around, near * F.pow(least, F.col("step")), least)
     best = fine.agg(
         F.min_by("q", F.struct("total", "q")).alias("q"),
         F.min("total").alias("total"),
