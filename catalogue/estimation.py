@@ -182,7 +182,7 @@ def _group_estimates(draws, classes: str = "is_major IN (0, 1)") -> str:
     return (
         q.ctes(**parts)
         + f"SELECT d.preset, d.replicate, par.grp, coalesce(n_join*{scale}, 0.0) AS count_estimate, coalesce(s_join*{scale}, 0.0) AS sum_estimate, "
-        "coalesce(s_join/n_join, 0.0) AS avg_estimate, n_join IS NOT NULL AS seen FROM draws d CROSS JOIN par "
+        "coalesce(s_join/n_join, 0.0) AS avg_estimate, n_join IS NOT NULL AS seen, 'ok' AS status FROM draws d CROSS JOIN par "
         f"LEFT JOIN t ON t.replicate = d.replicate AND t.grp = par.grp WHERE {classes}"
     )
 

@@ -50,8 +50,9 @@ def power(role: str, alpha: float, high: str, row: str = ROW, seed: int = SEED)
     return f"least(CAST(floor(pow({u(role, row, seed)}*(pow({high}::DOUBLE, {k!r}::DOUBLE) - 1) + 1, {1 / k!r}::DOUBLE)) AS BIGINT), {high})"
 
 
-def relabelled(value: str, n: str, shift: int = SEED) -> str:
-    return f"((({value}) - 1)*{v.RELABEL}::BIGINT + {shift}) % {n} + 1"
+def relabelled(value: str, n: str, seed: int = SEED) -> str:
+    number, shift = v.relabel_numbers(seed)
+    return f"((({value}) - 1)*{number}::BIGINT + {shift}) % {n} + 1"
 
 
 def key_sql(distribution: str, row: str = ROW, seed: int = SEED) -> str:

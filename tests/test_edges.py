@@ -332,7 +332,7 @@ def test_skewed_join_matches_a_plain_join(spark):
     )
     assert {r["_hot_key"] for r in hot_keys(big, "k").collect()} == {5, None}
     plain = big.join(small, big["k"].eqNullSafe(small["sk"]))
-    split = join_by_key(big, "k", small, "sk", broadcast_rows=0)
+    split = join_by_key(big, "k", small, "sk", broadcast_bytes=0)
     assert plain.count() == split.count()
     assert plain.exceptAll(split.select(*plain.columns)).count() == 0
 
@@ -355,7 +355,7 @@ def test_two_level_sample_with_many_keys_matches_the_broadcast_one(spark, monkey
     one, two = Side(left, "k", ("row",)), Side(right, "k", ("row",))
     rates = two_level.key_rates(one, two, 0.2)
     broadcast = two_level.two_level_sample(one, two, rates, 2, 5)
-    monkeypatch.setattr(two_level, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(two_level, "fits_broadcast", lambda stored: False)
     monkeypatch.setattr(skew.join_by_key, "__defaults__", (None, 0))
     split = two_level.two_level_sample(one, two, rates, 2, 5)
     for name in ("left", "right"):
@@ -406,3 +406,55 @@ def test_two_level_rate_is_the_best_at_any_frequency(spark, frequency):
     best = total(np.exp(-np.linspace(0, 20, 400_001))).min()
     assert found["total"] <= 1.0001 * best
     assert found["total"] == pytest.approx(total(found["q"]), rel=1e-9)
+
+
+@pytest.mark.parametrize(
+    "left_type, right_type", [("int", "bigint"), ("bigint", "decimal(18,0)"), ("date", "timestamp"), ("bigint", "string"), ("float", "double")]
+)
+def test_keys_of_different_types_are_sampled_together(spark, left_type, right_type):
+    def keyed(kind, rows):
+        number = (F.col("id") % 400).cast("int")
+        value = F.date_add(F.lit("2020-01-01").cast("date"), number) if kind in ("date", "timestamp") else number
+        return Side(spark.range(rows).select(value.cast(kind).alias("k"), F.col("id").alias("row")), "k", ("row",))
+
+    left, right = keyed(left_type, 4000), keyed(right_type, 2000)
+    pair = sample_pair(left, right, Rates(0.2, 1.0, 1.0), 40, 5)
+    counts = [r["count_estimate"] for r in estimates(pair, "row").collect()]
+    exact = 4000 * 2000 / 400
+    assert len(counts) == 40
+    assert abs(sum(counts) / 40 - exact) < 4 * exact * (0.8 / 0.2 / 400 / 40) ** 0.5
+
+
+def test_keys_that_cannot_be_joined_are_refused(spark):
+    left = Side(spark.sql("SELECT map(1, 2) AS k, 1 AS row"), "k", ("row",))
+    right = Side(spark.sql("SELECT 1 AS k, 1 AS row"), "k", ("row",))
+    with pytest.raises(ValueError):
+        sample_pair(left, right, Rates(1.0, 1.0, 1.0))
+
+
+def test_grouped_results_keep_answers_without_estimate(spark):
+    from thinjoin.functions.hashing import Draws
+
+    names = "count_{0} double, sum_{0} double, avg_{0} double"
+    actual = spark.createDataFrame([("a", 1.0, 2.0, 2.0), ("b", 3.0, 3.0, 1.0), (None, 5.0, 5.0, 1.0)], "grp string, " + names.format("actual"))
+    found = [(0, 1, "a", 1.5, 2.5, 2.0), (0, 1, None, 4.0, 4.0, 1.0), (0, 2, "b", None, None, None)]
+    estimated = spark.createDataFrame(found, "preset int, replicate int, grp string, " + names.format("estimate"))
+    rows = runs.results(estimated, actual, "l", "r", {}, ["grp"], Draws(1, (1, 2), {})).where("query = 'count'").collect()
+    got = {(r["idx"], r["grp"]): r["estimate"] for r in rows}
+    assert got == {(1, "a"): 1.5, (1, "b"): 0.0, (1, None): 4.0, (2, "a"): 0.0, (2, "b"): None, (2, None): 0.0}
+
+
+def test_relabelled_tables_meet_as_independent_ones(spark):
+    """Over seeds, the join of two normally distributed tables has about n1 * n2 / K rows."""
+    from thinjoin.functions import variates
+
+    n, keys = 20_000, 5_000
+    ratios = []
+    for seed in range(6):
+        sides = []
+        for side in (1, 2):
+            drawn = variates.keys(F.col("id"), 10 * seed + side, "normal2", F.lit(keys))
+            sides.append(spark.range(n).select(variates.relabel(drawn, F.lit(keys), 10 * seed + side).alias("k")))
+        assert sides[0].agg(F.min("k") >= 1, F.max("k") <= keys).first() == (True, True)
+        ratios.append(sides[0].join(sides[1], "k").count() / (n * n / keys))
+    assert 0.7 < sum(ratios) / len(ratios) < 1.3

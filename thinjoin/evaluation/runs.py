@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thinjoin.functions.hashing import DRAW_KEY
+from thinjoin.functions.hashing import DRAW_KEY, Draws
 
 AGGREGATES = ("count", "sum", "avg")
 
@@ -19,21 +19,31 @@ def results(
     right_name: str,
     rates: dict[str, Column],
     by: Sequence[str] = (),
+    draws: Draws | None = None,
 ) -> DataFrame:
     """Long form: one row per (aggregate, draw, ``by`` value) with the rates, the exact answer and the estimate.
 
-    ``actual`` holds one row, or one row per ``by`` value; an answer with no estimate is kept with 0.
+    ``actual`` holds one row, or one row per ``by`` value. With ``by``, every answer has a row in each of ``draws``, the
+    NULL group included: one without an estimate is kept with 0, and an estimate that is NULL stays NULL.
     """
     if by:
-        joined = estimated.join(actual, list(by))
+        if draws is None:
+            raise ValueError("grouped results need the draws, so that answers no draw has met are kept")
+        mine = {c: f"_by_{c}" for c in by}
         known = {agg: F.col(f"{agg}_actual") for agg in AGGREGATES}
+        every = actual.select(*by, *known.values(), F.inline(draws.identities()).alias(*DRAW_KEY))
+        found = estimated.withColumnsRenamed(mine | {c: f"_{c}" for c in DRAW_KEY}).withColumn("_met", F.lit(True))
+        same = [F.col(c).eqNullSafe(F.col(mine[c])) for c in by] + [F.col(c) == F.col(f"_{c}") for c in DRAW_KEY]
+        joined = every.join(found, same, "left")
+        guess = {agg: F.when(F.col("_met"), F.col(f"{agg}_estimate")).otherwise(F.lit(0.0)) for agg in AGGREGATES}
     else:
         joined = estimated
         one = actual.select(F.struct(*[f"{agg}_actual" for agg in AGGREGATES]).alias("a")).scalar()
         known = {agg: one.getField(f"{agg}_actual") for agg in AGGREGATES}
+        guess = {agg: F.col(f"{agg}_estimate") for agg in AGGREGATES}
     rows = F.array(
         *[
-            F.struct(F.lit(agg).alias("query"), known[agg].alias("actual"), F.col(f"{agg}_estimate").alias("estimate"))
+            F.struct(F.lit(agg).alias("query"), known[agg].alias("actual"), guess[agg].alias("estimate"))
             for agg in AGGREGATES
         ]
     )

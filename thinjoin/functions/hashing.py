@@ -16,6 +16,7 @@ import random
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,13 +27,19 @@ DRAW_KEY = ("preset", "replicate")
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
-def hash_parts(df: DataFrame, columns: Sequence[str]) -> list[Column]:
-    """31-bit parts of the named columns; other than integral types go through ``xxhash64`` first."""
+def hash_parts(df: DataFrame, columns: Sequence[str], as_type: T.DataType | None = None) -> list[Column]:
+    """31-bit parts of the named columns; other than integral types go through ``xxhash64`` first.
+
+    ``as_type`` is the type in which the columns are compared with those of another table.
+    """
     parts = []
     for name in columns:
-        value = F.col(name)
-        if isinstance(df.schema[name].dataType, _INTEGRAL):
+        kind = as_type or df.schema[name].dataType
+        value = F.col(name) if as_type is None else F.col(name).cast(as_type)
+        if isinstance(kind, _INTEGRAL):
             value = F.coalesce(value.cast("long"), F.lit(-1).cast("long"))
+        elif isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType):
+            value = F.xxhash64(value + F.lit(0.0))  # -0.0 and 0.0 are equal in a join
         else:
             value = F.xxhash64(value)
         parts.append(value.bitwiseAND(F.lit(PRIME)))
@@ -40,6 +47,19 @@ def hash_parts(df: DataFrame, columns: Sequence[str]) -> list[Column]:
     return parts
 
 
+def comparison_type(left: DataFrame, left_key: str, right: DataFrame, right_key: str) -> T.DataType | None:
+    """The type in which a join compares two keys; ``None`` if they have the same type already."""
+    one, two = left.schema[left_key].dataType, right.schema[right_key].dataType
+    if one == two or (isinstance(one, _INTEGRAL) and isinstance(two, _INTEGRAL)):
+        return None
+    empty = left.sparkSession.range(0)
+    try:
+        both = empty.select(F.coalesce(F.lit(None).cast(one), F.lit(None).cast(two)).alias("key"))
+        return both.schema["key"].dataType
+    except AnalysisException as error:
+        raise ValueError(f"keys of types {one.simpleString()} and {two.simpleString()} cannot be joined") from error
+
+
 def polynomial_hash(parts: Sequence[Column], coefficient: Callable[[int], Column]) -> Column:
     """Cubic in the first part, linear in the others, modulo ``PRIME``."""
     first, *others = parts

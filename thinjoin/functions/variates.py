@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -10,11 +11,9 @@ from pyspark.sql import functions as F
 from thinjoin.functions.hashing import BITS, PRIME, draw_coefficients, polynomial_hash
 
 # Exponent of the power-law key distributions by name.
-POWER_LAWS = {"powerlaw": -1.5, "powerlaw1": -2.5, "powerlaw2": -3.0}
+POWER_LAWS = {"powerlaw": -1.5, "powerlaw1": -2.5, "powerlaw2": -3.0, "powerlaw3": -2.0}
 # Keys / standard deviation of the truncated-normal key distributions by name.
 NORMAL_SPREADS = {"normal": 5, "normal1": 10, "normal2": 20}
-# Fixed value: a prime above any number of keys, so that multiplication by it permutes them.
-RELABEL = 2147483629
 TRIES = 4
 
 
@@ -66,9 +65,23 @@ def power_law(row: Column, seed: int, role: str, alpha: float, high: Column) ->
     return F.least(F.floor(value).cast("long"), high.cast("long"))
 
 
-def relabel(value: Column, n: Column, shift: int) -> Column:
-    """A permutation of 1..n (n below 2^31), so that large keys are not the frequent ones."""
-    return ((value - 1) * F.lit(RELABEL).cast("long") + F.lit(shift).cast("long")) % n.cast("long") + 1
+def relabel_numbers(seed: int) -> tuple[int, int]:
+    """Multiplier and shift of a seed's permutation; the multiplier is a prime between 2^30 and 2^31."""
+    source = random.Random(f"{seed}/relabel")
+    while True:
+        number = source.randrange(2**30 + 1, 2**31, 2)
+        if all(number % d for d in range(3, 46341, 2)):
+            return number, source.randrange(2**30)
+
+
+def relabel(value: Column, n: Column, seed: int) -> Column:
+    """A permutation of 1..n (n up to 2^30) drawn from the seed, so that frequent keys are spread over the labels.
+
+    Multiplication by a prime above ``n`` permutes the residues. Two seeds give unrelated multipliers, so the frequent
+    keys of two tables meet by chance only.
+    """
+    number, shift = relabel_numbers(seed)
+    return ((value - 1) * F.lit(number).cast("long") + F.lit(shift).cast("long")) % n.cast("long") + 1
 
 
 def keys(row: Column, seed: int, distribution: str, n: Column) -> Column:

@@ -12,8 +12,17 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from thinjoin.functions.hashing import DRAW_KEY, PRIME, Draws, coefficients_needed, hash_parts, polynomial_hash
+from pyspark.sql.types import DataType
+
+from thinjoin.functions.hashing import (
+    DRAW_KEY,
+    PRIME,
+    Draws,
+    coefficients_needed,
+    comparison_type,
+    hash_parts,
+    polynomial_hash,
+)
 from thinjoin.functions.rates import Rates
 
 RateSource = Rates | Sequence[Rates]
@@ -76,19 +85,23 @@ def make_draws(rates: RateSource, replicates: int | Sequence[int], seed: int, ro
     return Draws(seed, numbers, roles, tuple({"p": r.p, "q1": r.q1, "q2": r.q2} for r in rates))
 
 
-def hash_below(df: DataFrame, columns: Sequence[str], role: str, draw, rate: Column) -> Column:
+def hash_below(
+    df: DataFrame, columns: Sequence[str], role: str, draw, rate: Column, as_type: DataType | None = None
+) -> Column:
     """True for rows whose hash under ``role`` falls below the rate."""
-    value = polynomial_hash(hash_parts(df, columns), lambda i: draw(f"{role}_{i}"))
+    value = polynomial_hash(hash_parts(df, columns, as_type), lambda i: draw(f"{role}_{i}"))
     return value < rate * F.lit(float(PRIME))
 
 
-def sample_side(side: Side, role: str, rate: str, rates: RateSource, draws: Draws) -> DataFrame:
+def sample_side(
+    side: Side, role: str, rate: str, rates: RateSource, draws: Draws, key_type: DataType | None = None
+) -> DataFrame:
     """The sample of one side: all its columns plus ``preset`` and ``replicate``."""
     present = side.table.where(F.col(side.key).isNotNull())
     fanned, draw = draws.attach(present)
     columns = rate_columns(rates) or {name: draw(name) for name in ("p", "q1", "q2")}
     kept = fanned.where(
-        hash_below(present, [side.key], "key", draw, columns["p"])
+        hash_below(present, [side.key], "key", draw, columns["p"], key_type)
         & hash_below(present, side.row_id, role, draw, columns[rate])
     )
     return kept.select(*DRAW_KEY, *side.table.columns)
@@ -107,12 +120,16 @@ def pair_draws(left: Side, right: Side, rates: RateSource, replicates: int | Seq
 def sample_pair(
     left: Side, right: Side, rates: RateSource | DataFrame, replicates: int | Sequence[int] = 1, seed: int = 1
 ) -> SamplePair:
-    """Draw a pair. ``rates`` is literal, a sequence of presets, or a planner's one-row DataFrame."""
+    """Draw a pair. ``rates`` is literal, a sequence of presets, or a planner's one-row DataFrame.
+
+    Keys of different types are hashed in the type in which the join compares them.
+    """
+    key_type = comparison_type(left.table, left.key, right.table, right.key)
     rates = fixed_rates(rates)
     draws = pair_draws(left, right, rates, replicates, seed)
     return SamplePair(
-        sample_side(left, "left", "q1", rates, draws),
-        sample_side(right, "right", "q2", rates, draws),
+        sample_side(left, "left", "q1", rates, draws, key_type),
+        sample_side(right, "right", "q2", rates, draws, key_type),
         left.key,
         right.key,
         rates,

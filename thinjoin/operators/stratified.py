@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from thinjoin.functions.hashing import DRAW_KEY, Draws, coefficients_needed, hash_parts, polynomial_hash
+from thinjoin.functions.hashing import DRAW_KEY, Draws, coefficients_needed, comparison_type, hash_parts, polynomial_hash
 from thinjoin.operators.estimate import sample_key_stats
 from thinjoin.operators.keystats import group_profile
 from thinjoin.operators.sampling import Side, hash_below
@@ -50,14 +50,15 @@ def universe_strata_pair(
     minor sample or both. Left rows carry their group's class and the key's hash value ``pval``.
     """
     parameters = settle(parameters, "group-parameters")
+    key_type = comparison_type(left.table, left.key, right.table, right.key)
     draws = _draws(left, right, replicates, seed)
 
     present = left.table.where(F.col(left.key).isNotNull())
     rates = parameters.select(F.col("grp").alias("_grp"), "is_major", F.col("p1").alias("_p1"), F.col("q1").alias("_q1"))
     fanned, draw = draws.attach(join_by_key(present, group, rates, "_grp"))
-    key_hash = polynomial_hash(hash_parts(present, [left.key]), lambda i: draw(f"key_{i}"))
+    key_hash = polynomial_hash(hash_parts(present, [left.key], key_type), lambda i: draw(f"key_{i}"))
     kept_left = fanned.where(
-        hash_below(present, [left.key], "key", draw, F.col("_p1"))
+        hash_below(present, [left.key], "key", draw, F.col("_p1"), key_type)
         & hash_below(present, left.row_id, "left", draw, F.col("_q1"))
     ).select(*DRAW_KEY, *left.table.columns, "is_major", key_hash.alias("pval"))
 
@@ -67,7 +68,7 @@ def universe_strata_pair(
     p_major, q_major, q_minor = (one.getField(f"col{i}") for i in (1, 2, 3))
     flagged = fanned.withColumns(
         {
-            "in_major": hash_below(present, [right.key], "key", draw, p_major)
+            "in_major": hash_below(present, [right.key], "key", draw, p_major, key_type)
             & hash_below(present, right.row_id, "right", draw, q_major),
             "in_minor": hash_below(present, right.row_id, "right", draw, q_minor),
         }
@@ -156,12 +157,15 @@ def _group_totals(sample: GroupedSample, measure: str, matches: Column) -> DataF
 
 
 def _every_group(sample: GroupedSample, totals: DataFrame, scale: Column, columns: Sequence[str]) -> DataFrame:
-    """Estimates of every group in every draw: a group the sample missed is reported with 0 and ``seen`` false."""
+    """Estimates of every group in every draw: a group the sample missed is reported with 0 and ``seen`` false.
+
+    A group without a rate, because its class asked for more than the budget, was not sampled: its estimates are NULL.
+    """
     every = sample.parameters.select("grp", *columns, F.inline(sample.draws.identities()).alias(*DRAW_KEY))
     found = totals.withColumnRenamed("grp", "_grp").withColumnsRenamed({k: f"_{k}" for k in DRAW_KEY})
     same = [F.col(k) == F.col(f"_{k}") for k in DRAW_KEY]
     joined = every.join(found, [F.col("grp").eqNullSafe(F.col("_grp")), *same], "left")
-    zero = F.lit(0.0)
+    zero = F.when(scale.isNotNull(), F.lit(0.0))
     return joined.select(
         *DRAW_KEY,
         "grp",
@@ -169,16 +173,17 @@ def _every_group(sample: GroupedSample, totals: DataFrame, scale: Column, column
         F.coalesce(F.col("s_join") * scale, zero).alias("sum_estimate"),
         F.coalesce(F.try_divide("s_join", "x_join"), zero).alias("avg_estimate"),
         F.col("n_join").isNotNull().alias("seen"),
+        *([F.col("status")] if "status" in columns else []),
     )
 
 
 def universe_strata_estimates(sample: GroupedSample, measure: str) -> DataFrame:
-    """Grouped estimates; major groups meet the major right sample, minor groups the minor one."""
+    """Grouped estimates with each group's ``status``; major groups meet the major right sample, minor groups the minor one."""
     major = F.col("is_major") == 1
     totals = _group_totals(sample, measure, F.when(major, F.col("in_major")).otherwise(F.col("in_minor")))
     q2 = F.when(major, F.col("q2_major")).otherwise(F.col("q2_minor"))
     scale = F.try_divide(F.lit(1.0), F.col("p1") * F.least(F.col("q1"), F.lit(1.0)) * q2)
-    return _every_group(sample, totals, scale, ["is_major", "p1", "q1", "q2_major", "q2_minor"])
+    return _every_group(sample, totals, scale, ["is_major", "status", "p1", "q1", "q2_major", "q2_minor"])
 
 
 def fixed_size_strata_estimates(sample: GroupedSample, measure: str) -> DataFrame:

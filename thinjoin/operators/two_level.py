@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from thinjoin.functions.hashing import BITS, DRAW_KEY, Draws, coefficients_needed, hash_parts, polynomial_hash
 from thinjoin.operators.keystats import key_counts
 from thinjoin.operators.sampling import Side, hash_below
-from thinjoin.operators.skew import BROADCAST_ROWS, hot_keys, join_by_key
+from thinjoin.operators.skew import fits_broadcast, hot_keys, join_by_key
 from thinjoin.session import settle
 
 GRID = 32
@@ -143,7 +143,7 @@ def _two_level_side(side: Side, role: str, kept_keys: DataFrame, draws: Draws) -
     parts = hash_parts(table, side.row_id)
     first, second = (polynomial_hash(parts, lambda i, n=n: draw(f"{role}_{n}_{i}")) for n in ("first", "second"))
     place = first * F.lit(2**BITS) + second
-    hot = None if kept_keys.count() <= BROADCAST_ROWS else hot_keys(table, side.key)
+    hot = None if fits_broadcast(kept_keys) else hot_keys(table, side.key)
     identity = table.select(side.key, *[c for c in side.row_id if c != side.key])
     members = join_by_key(identity, side.key, kept_keys, "_key", hot)
     sentries = members.groupBy(*DRAW_KEY, "_key", "_p", "_q").agg(F.min(place).alias("_place"))
