@@ -17,6 +17,7 @@ Scores do not depend on which rows share a batch beyond the last bits of 32-bit
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from itertools import repeat
 
 import numpy as np
@@ -35,8 +36,8 @@ BUCKETS = 1 << 16
 NGRAMS = (3, 4, 5)
 EPOCHS, BATCH, RATE = 8, 128, 0.01
 THRESHOLD = 0.3
-#: Windows scored at once.
-BLOCK = 4096
+#: Windows scored, distinct words looked up, and documents of the sample read, at once.
+BLOCK, PART, DOCUMENTS = 4096, 8192, 100
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -114,6 +115,11 @@ class Network:
         hints = np.maximum.reduceat(np.r_[self.hint[buckets], 0.0], bounds[:-1]) * (np.diff(bounds) > 0)
         return np.hstack([self.word[rows], means(self.char[buckets], bounds), hints[:, None]]), rows, buckets, bounds
 
+    def gate_inputs(self, words: list[bytes]) -> np.ndarray:
+        """What distinct words add to the gates of either direction, in 32 bits."""
+        parts = [self.project(self.inputs(words[i : i + PART])[0], np.float32) for i in range(0, len(words), PART)]
+        return np.concatenate(parts, axis=1)
+
     def forward(self, projected: np.ndarray, ids: np.ndarray, there: np.ndarray | None, keep: bool = False):
         """Logits of windows. ``projected`` (2, words, 3 * STATE) are the words' gate inputs, ``ids`` (windows, WINDOW)."""
         d = self.dense
@@ -193,13 +199,13 @@ class Network:
     def window_logits(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, start, logit) of all windows of all texts."""
         numbers: dict[bytes, int] = {}
-        ids = np.fromiter((numbers.setdefault(w, len(numbers)) for words in texts for w in words), np.int64)
         lengths = np.array([len(w) for w in texts], np.int64)
+        ids = np.fromiter((numbers.setdefault(w, len(numbers)) for words in texts for w in words), np.int32, int(lengths.sum()))
         text, start, size = windows_of(lengths)
         logit = np.zeros(len(text))
         if not len(text):
             return text, start, logit
-        projected = self.project(self.inputs(list(numbers))[0], np.float32)
+        projected = self.gate_inputs(list(numbers))
         offset = (np.cumsum(lengths) - lengths)[text] + start
         place = np.arange(WINDOW)
         for whole in (True, False):
@@ -218,7 +224,7 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(best, -700, 700)))
 
 
-def evidence(rows: list[tuple[int, list]]) -> dict:
+def evidence(rows: Iterable[tuple[int, list]]) -> dict:
     """Per key the log-odds of toxic documents among those that hold it, drawn towards 0 by 1.6 standard errors."""
     counts: dict = {}
     totals = [0, 0]
@@ -232,6 +238,24 @@ def evidence(rows: list[tuple[int, list]]) -> dict:
     return dict(zip(counts, np.clip(sure, -2, 5).tolist(), strict=True))
 
 
+def rank_windows(net: Network, texts: list[list[bytes]], learned: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, rank) of all windows: the network's logit, or before it has learned the sum of its words' evidence."""
+    found = []
+    for at in range(0, len(texts), DOCUMENTS):
+        some = texts[at : at + DOCUMENTS]
+        if learned:
+            text, start, rank = net.window_logits(some)
+        else:
+            text, start, size = windows_of(np.array([len(w) for w in some]))
+            distinct = list({w for words in some for w in words})
+            weight = dict(zip(distinct, (net.inputs(distinct)[0][:, [0, -1]].sum(axis=1)).tolist(), strict=True))
+            sums = [np.cumsum([0.0, *(weight[w] for w in words)]) for words in some]
+            places = zip(text.tolist(), start.tolist(), size.tolist(), strict=True)
+            rank = np.array([sums[i][s + n] - sums[i][s] for i, s, n in places])
+        found.append((text + at, start, rank))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def fit(rows: list[tuple[int, bytes]], epochs: int = EPOCHS, seed: int = 7) -> Network | None:
     """A network from (label, text) rows; ``None`` if a class is missing."""
     texts = [(label, words_of(text)) for label, text in rows]
@@ -249,24 +273,15 @@ def fit(rows: list[tuple[int, bytes]], epochs: int = EPOCHS, seed: int = 7) -> N
     sure = evidence(texts)
     for w, i in net.vocabulary.items():
         net.word[i, 0] = sure[w]
-    distinct = list(held)
-    buckets, bounds = char_ngrams(distinct)
-    grams = dict(zip(distinct, np.split(buckets, bounds[1:-1]), strict=True))
-    sure = evidence([(label, np.unique(np.concatenate([grams[w] for w in set(words)])).tolist()) for label, words in texts])
+    held.clear()
+    sure = evidence((label, np.unique(char_ngrams(sorted(set(words)))[0]).tolist()) for label, words in texts)
     net.hint[list(sure)] = list(sure.values())
     draw = np.random.default_rng(seed)
     dense = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.dense.items()}
     word_square, char_square = np.full(net.word.shape, 1e-3), np.full(net.char.shape, 1e-3)
     steps = 0
     for epoch in range(epochs):
-        if epoch == 0:
-            text, start, _ = net.window_logits([w for _, w in texts])
-            weight = {w: x[0] + x[-1] for w, x in zip(distinct, net.inputs(distinct)[0].tolist(), strict=True)}
-            strong = [np.cumsum([0.0, *(weight[w] for w in words)]) for _, words in texts]
-            ends = zip(text.tolist(), start.tolist(), strict=True)
-            rank = np.array([strong[i][min(s + WINDOW, len(strong[i]) - 1)] - strong[i][s] for i, s in ends])
-        else:
-            text, start, rank = net.window_logits([w for _, w in texts])
+        text, start, rank = rank_windows(net, [words for _, words in texts], learned=epoch > 0)
         order = np.lexsort((-rank, text))
         first = order[np.r_[True, text[order][1:] != text[order][:-1]]]
         sizes = np.bincount(text)
