@@ -6,7 +6,8 @@ from collections import Counter
 import numpy as np
 
 from thinjoin.llm.common import unpacked
-from thinjoin.llm.near_dedup import jaccard, near_classes, sketch_texts, SLOTS
+from thinjoin.llm import near_dedup
+from thinjoin.llm.near_dedup import SLOTS, jaccard, near_classes, overlaps, shingle_hashes, signatures, sketch_texts
 
 
 def shingles(text):
@@ -79,6 +80,11 @@ def test_empty_table_and_extra_columns(spark):
     assert unpacked(found, docs.columns).columns == docs.columns
 
 
+def signature(texts):
+    words = [t.split() for t in texts]
+    return signatures(len(texts), *shingle_hashes(words))
+
+
 def test_signatures_are_unbiased():
     a = " ".join(["p q r s t"] * 30 + [f"u{i}" for i in range(40)]).encode()
     b = " ".join(["p q r s t"] * 18 + [f"u{i}" for i in range(40)] + [f"v{i}" for i in range(15)]).encode()
@@ -86,8 +92,7 @@ def test_signatures_are_unbiased():
     assert abs(true - similarity(a.decode(), b.decode())) < 1e-12
     agreement = []
     for k in range(150):
-        renamed = [t.replace(b"p", b"p%d" % k).replace(b"u", b"u%d" % k).replace(b"q", b"q%d" % k) for t in (a, b)]
-        rows = [np.frombuffer(s, np.uint16) for s in sketch_texts(renamed)[3].to_pylist()]
+        rows = signature([t.replace(b"p", b"p%d" % k).replace(b"u", b"u%d" % k).replace(b"q", b"q%d" % k) for t in (a, b)])
         agreement.append(np.mean(rows[0] == rows[1]))
     assert abs(np.mean(agreement) - true) < 5 * np.sqrt(true * (1 - true) / SLOTS / 150)
 
@@ -97,3 +102,27 @@ def test_sketch_does_not_depend_on_its_neighbours():
     together = sketch_texts(texts)
     for i, t in enumerate(texts):
         assert [c.to_pylist()[0] for c in sketch_texts([t])] == [c.to_pylist()[i] for c in together]
+
+
+def test_overlaps_are_exact():
+    texts = variants(5, 80, [0, 2, 4, 30]) + ["a a a a a a a a", "a a a a a a a a a a", "b", ""]
+    shared, size = overlaps([t.encode() for t in texts])
+    for i, x in enumerate(texts):
+        assert size[i] == sum(shingles(x).values())
+        for j, y in enumerate(texts):
+            if i != j:
+                assert shared[i, j] == sum((shingles(x) & shingles(y)).values())
+
+
+def test_large_bucket_in_blocks(spark, monkeypatch):
+    """Many texts around one original: most pairs are below the similarity, some chains are above."""
+    monkeypatch.setattr(near_dedup, "BLOCK_TEXTS", 16)
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(90):
+        words = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4])):
+            words[rng.randrange(120)] = f"x{i}.{rng.random()}"
+        rows.append((i, " ".join(words)))
+    assert classes(spark, rows) == brute_classes(rows)
