@@ -458,3 +458,16 @@ def test_relabelled_tables_meet_as_independent_ones(spark):
         assert sides[0].agg(F.min("k") >= 1, F.max("k") <= keys).first() == (True, True)
         ratios.append(sides[0].join(sides[1], "k").count() / (n * n / keys))
     assert 0.7 < sum(ratios) / len(ratios) < 1.3
+
+
+def test_sweep_runs_in_blocks(spark, small, monkeypatch):
+    """Blocks of two values give what one block gives, and no window gathers all values in one task."""
+    left, right = small
+    arguments = (left.table, right.table, left.key, right.key, "x", "x", 1, ">=")
+    whole = sorted(map(tuple, sweep.sweep_answers(*arguments).collect()))
+    monkeypatch.setattr(sweep, "BLOCK", 2)
+    found = sweep.sweep_answers(*arguments)
+    assert sorted(map(tuple, found.collect())) == whole
+    assert "Exchange SinglePartition" not in "".join(line for line in plan_of(found).split("\n") if "Window" in line)
+    values = sweep.sweep_values(spark.sql("SELECT 0L AS low, 9L AS high"), 2)
+    assert sorted(r["value"] for r in values.collect()) == [0, 2, 4, 6, 8]

@@ -20,6 +20,8 @@ from thinjoin.operators.moments import MOMENTS, column_terms, moment_terms
 from thinjoin.operators.sampling import SamplePair
 
 TOTALS = ("n_join", "x_join", "s_join")
+#: Swept values that one task accumulates; a sweep of 10^9 values has some 15,000 blocks.
+BLOCK = 1 << 16
 
 
 def sweep_bounds(df: DataFrame, column: str) -> DataFrame:
@@ -28,8 +30,13 @@ def sweep_bounds(df: DataFrame, column: str) -> DataFrame:
 
 
 def sweep_values(bounds: DataFrame, step: int) -> DataFrame:
-    """The swept values. As many rows as the range has steps, whatever the table size."""
-    return bounds.select(F.explode(F.sequence("low", "high", F.lit(step).cast("long"))).alias("value"))
+    """(block, value): the swept values, ``BLOCK`` to a block. As many rows as the range has steps, whatever the table
+    size; blocks are dealt out before their values are made, so no task makes them all."""
+    width = BLOCK * step
+    blocks = bounds.select("low", "high", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("high") - F.col("low")) / width))).alias("block"))
+    first = F.col("low") + F.col("block") * width
+    last = F.least(F.col("high"), first + (width - step))
+    return blocks.repartition("block").select("block", F.explode(F.sequence(first, last, F.lit(step).cast("long"))).alias("value"))
 
 
 def with_slot(df: DataFrame, column: str, bounds: DataFrame, step: int, op: str) -> DataFrame:
@@ -50,18 +57,39 @@ def _slot_stats(df: DataFrame, key: str, measure: str, column: str, bounds: Data
 
 
 def _downward(*partition: str):
-    """Running window from the highest swept value down; its partitions hold at most one row per value."""
-    window = Window.partitionBy(*partition) if partition else Window.partitionBy(F.lit(0))
-    return window.orderBy(F.col("value").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """Running window from the highest swept value down; its partitions hold one row per value of a block or a key."""
+    return Window.partitionBy(*partition).orderBy(F.col("value").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def _field(name: str):
+    return lambda entry: entry[name]
+
+
+def _above(every: DataFrame, names: Sequence[str], draws: Sequence[str]) -> DataFrame:
+    """Per (draw, block), the sums over all higher blocks. One short array per draw holds the blocks' sums."""
+    sums = every.groupBy(*draws, "block").agg(*[F.sum(n).alias(n) for n in names])
+    gathered = sums.groupBy(*draws).agg(F.collect_list(F.struct("block", *names)).alias("_all"))
+
+    def above(one: Column) -> Column:
+        higher = F.filter("_all", lambda x: x["block"] > one["block"])
+        sums_of = [F.transform(higher, _field(n)) for n in names]
+        totals = [F.aggregate(values, F.lit(0.0), lambda t, x: t + x) for values in sums_of]
+        return F.struct(one["block"].alias("block"), *[t.alias(f"_{n}_above") for t, n in zip(totals, names, strict=True)])
+
+    return gathered.select(*draws, F.inline(F.transform("_all", above)))
 
 
 def _complete(values: DataFrame, sums: DataFrame, names: Sequence[str], op: str, draws: Sequence[str] = ()) -> DataFrame:
-    """Every swept value (0 where no row has it), accumulated downwards for ``>=``."""
-    every = values.join(sums, [*draws, "value"], "left")
-    filled = [F.coalesce(F.col(n), F.lit(0.0)) for n in names]
-    if op == ">=":
-        filled = [F.sum(c).over(_downward(*draws)) for c in filled]
-    return every.select(*draws, "value", *[c.alias(n) for c, n in zip(filled, names, strict=True)])
+    """Every swept value (0 where no row has it), accumulated downwards for ``>=``: within its block, and from the
+    blocks above."""
+    joined = values.join(sums, [*draws, "value"], "left")
+    every = joined.select(*draws, "block", "value", *[F.coalesce(F.col(n), F.lit(0.0)).alias(n) for n in names])
+    if op == "=":
+        return every.drop("block")
+    running = _downward(*draws, "block")
+    within = every.select(*draws, "block", "value", *[F.sum(n).over(running).alias(n) for n in names])
+    whole = within.join(_above(every, names, draws), [*draws, "block"])
+    return whole.select(*draws, "value", *[(F.col(n) + F.col(f"_{n}_above")).alias(n) for n in names])
 
 
 def sweep_key_stats(left: DataFrame, key: str, measure: str, column: str, step: int, op: str) -> DataFrame:
@@ -130,7 +158,7 @@ def sweep_estimates(pair: SamplePair, base: DataFrame, measure: str, column: str
     left = sample_key_stats(slotted, pair.left_key, measure, ["_slot"]).withColumnRenamed("_slot", "value")
     right = sample_key_stats(pair.right, pair.right_key, None).withColumnRenamed("a", "b")
     sums = _slot_totals(left.join(right, [*DRAW_KEY, "key"]), [*DRAW_KEY, "value"])
-    every = sweep_values(bounds, step).select("value", F.inline(pair.draws.identities()).alias(*DRAW_KEY))
+    every = sweep_values(bounds, step).select("block", "value", F.inline(pair.draws.identities()).alias(*DRAW_KEY))
     totals = _complete(every, sums, TOTALS, op, DRAW_KEY)
     columns: dict[str, Column] = estimate_columns(scale_factor(pair.rates))
     return totals.select(*DRAW_KEY, "value", *[c.alias(n) for n, c in columns.items()])
