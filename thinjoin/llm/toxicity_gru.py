@@ -221,7 +221,7 @@ class Network:
         text, _, logit = self.window_logits([words_of(t) for t in texts])
         best = np.full(len(texts), -np.inf)
         np.maximum.at(best, text, logit)
-        return 1 / (1 + np.exp(-np.clip(best, -700, 700)))
+        return np.where(np.isinf(best), 0.0, 1 / (1 + np.exp(-np.clip(best, -700, 700))))
 
 
 def evidence(rows: Iterable[tuple[int, list]]) -> dict:
