@@ -8,9 +8,10 @@ its next point comes after the last slot's, which makes a signature cost little
 
 Texts with equal words are one class from the start (aggregated before the shuffle) and only one of them is compared.
 Signatures are cut into bands; the members of a band's bucket are compared with the bucket's most central member, and
-exact multiset overlap of the texts decides. Buckets whose members are then still in more than one component are
-settled by comparing every pair across components, so no pair that shares a band is lost. Connected documents form a
-class.
+exact multiset overlap of the texts decides. Buckets whose members are then still in more than one component are compared
+in full, block by block: a task counts the overlaps of all texts of two blocks by products of incidence matrices and
+returns a spanning forest of the links, so no pair that shares a band is lost, rows grow with the members of a bucket
+and not with its pairs, and no task holds more than two blocks. Connected documents form a class.
 
 Defined results: words are what blanks separate. Texts of one to four words are a single shingle. Null texts and texts
 without a word are in no class but their own, and so are rows without ``doc_id``. Repeated rows, and rows of one
@@ -22,6 +23,8 @@ Bands: 20 of 4 slots. A pair of similarity 0.8 shares a band with probability 0.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -38,8 +41,10 @@ SHINGLE = 5
 BANDS, ROWS = 20, 4
 SLOTS = BANDS * ROWS
 SIMILAR = 0.8
-#: Signature agreement, of ``SLOTS``, below which no pair of similarity 0.8 falls (five standard deviations).
-LEAST_AGREEMENT = 46
+#: Texts and words of a block; a task compares two.
+BLOCK_TEXTS, BLOCK_WORDS = 512, 200_000
+#: Columns of an incidence matrix at a time.
+COLUMNS = 8192
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -120,7 +125,7 @@ def signatures(n: int, document: np.ndarray, element: np.ndarray, weight: np.nda
 
 
 def sketch_texts(texts: list[bytes | None]) -> list[pa.Array]:
-    """node (hash of the words; null without words), size, bands, sketch of each text."""
+    """node (hash of the words; null without words), size, bands of each text."""
     words = [t.split() if t else [] for t in texts]
     document, element, weight = shingle_hashes(words)
     bits = mix(signatures(len(texts), document, element, weight).view(np.uint64))
@@ -128,23 +133,21 @@ def sketch_texts(texts: list[bytes | None]) -> list[pa.Array]:
     bands = np.zeros((len(texts), BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * GOLDEN
     for k in range(ROWS):
         bands = mix(bands ^ grouped[:, :, k])
-    sketch = bits.astype(np.uint16)
     nodes = [xxhash.xxh128_digest(b" ".join(w)) if w else None for w in words]
     offsets = np.arange(len(texts) + 1, dtype=np.int32) * BANDS
     return [
         pa.array(nodes, pa.binary()),
         pa.array([max(1, len(w) - SHINGLE + 1) if w else 0 for w in words], pa.int64()),
         pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands.reshape(-1).view(np.int64))),
-        pa.array([row.tobytes() for row in sketch], pa.binary()),
     ]
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, rid, node, size, bands, sketch) of every row."""
+    """(doc_id, rid, node, size, bands) of every row."""
     rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", identity(docs).alias("rid"), "text")
-    fields = "node BINARY, size BIGINT, bands ARRAY<BIGINT>, sketch BINARY"
+    fields = "node BINARY, size BIGINT, bands ARRAY<BIGINT>"
     found = map_text(packed(rows), lambda: sketch_texts, fields)
-    return settle(found.select("row.doc_id", "row.rid", "node", "size", "bands", "sketch"), "sketches")
+    return settle(found.select("row.doc_id", "row.rid", "node", "size", "bands"), "sketches")
 
 
 def jaccard(a: bytes, b: bytes) -> float:
@@ -171,94 +174,141 @@ def jaccard(a: bytes, b: bytes) -> float:
     return shared / (starts[0] + starts[1] - shared)
 
 
-@F.pandas_udf(BooleanType())
-def agree(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Whether two sketches agree in ``LEAST_AGREEMENT`` slots or more."""
-    if not len(a):
-        return pd.Series([], dtype=bool)
-    left, right = (np.frombuffer(b"".join(x), np.uint16).reshape(len(x), SLOTS) for x in (a, b))
-    return pd.Series((left == right).sum(axis=1) >= LEAST_AGREEMENT)
-
-
 @F.pandas_udf(BooleanType())
 def overlap(a: pd.Series, b: pd.Series) -> pd.Series:
     """Whether two texts reach the similarity."""
     return pd.Series([jaccard(x, y) >= SIMILAR for x, y in zip(a, b, strict=True)], dtype=bool)
 
 
-def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose sizes and sketches allow the similarity."""
-    side = nodes.select("node", "size", "sketch")
-    for end in ("a", "b"):
-        pairs = pairs.join(side.select(F.col("node").alias(end), F.col("size").alias(f"n_{end}"), F.col("sketch").alias(f"s_{end}")), end)
-    sized = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(SIMILAR)
-    return settle(pairs.where(sized).where(agree("s_a", "s_b")).select("a", "b"), "likely-pairs")
-
-
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose texts overlap enough. Each text in question is fetched once, by its document."""
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = settle(nodes.join(ends, "node").select("node", F.col("rep.doc_id").alias("doc_id"), F.col("rep.rid").alias("rid")), "wanted")
-    rows = docs.select(F.col("doc_id").alias("id"), identity(docs).alias("of"), F.col("text").cast("binary").alias("text"))
-    texts = rows.join(wanted, (F.col("id") == F.col("doc_id")) & (F.col("of") == F.col("rid")))
-    texts = settle(texts.select("node", "text").dropDuplicates(["node"]), "pair-texts")
-    for end in ("a", "b"):
-        pairs = pairs.join(texts.select(F.col("node").alias(end), F.col("text").alias(f"t_{end}")), end)
-    return settle(pairs.where(overlap("t_a", "t_b")).select("a", "b"), "links")
+def overlaps(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(shared shingles of every two different texts, shingles of each), counted as multisets."""
+    document, element, count = shingle_hashes([t.split() for t in texts])
+    times = count.astype(np.int64)
+    size = np.bincount(document, times, len(texts))
+    document = np.repeat(document, times)
+    nth = np.arange(len(document)) - np.repeat(np.cumsum(times) - times, times)
+    _, column, held = np.unique(mix(np.repeat(element, times) + nth.astype(np.uint64) * GOLDEN), return_inverse=True, return_counts=True)
+    common = held[column] > 1
+    document, column = document[common], np.unique(column[common], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    document, column = document[order], column[order]
+    shared = np.zeros((len(texts), len(texts)), np.float32)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [low, low + COLUMNS])
+        holds = np.zeros((len(texts), min(COLUMNS, int(column[-1]) + 1 - low)), np.float32)
+        holds[document[a:b], column[a:b] - low] = 1
+        shared += holds @ holds.T
+    return shared, size
+
+
+def forest(nodes: list[bytes], parts: list[bytes], side: list[int], texts: list[bytes]) -> list[tuple[bytes, bytes]]:
+    """Links that connect the parts among two blocks as all their links would; texts of one part aren't compared."""
+    if len(set(parts)) < 2:
+        return []
+    shared, size = overlaps(texts)
+    close = shared >= SIMILAR * (size[:, None] + size[None, :] - shared) - 1e-3
+    number = np.unique(np.array(parts, object), return_inverse=True)[1]
+    sides = np.array(side)
+    if len(set(side)) > 1:
+        close &= sides[:, None] != sides[None, :]
+    parent = list(range(int(number.max()) + 1))
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    found = []
+    for i, j in zip(*np.nonzero(np.triu(close & (number[:, None] != number[None, :]), 1)), strict=True):
+        a, b = find(number[i]), find(number[j])
+        if a != b and jaccard(texts[i], texts[j]) >= SIMILAR:
+            parent[a] = b
+            found.append((nodes[i], nodes[j]))
+    return found
+
+
+def compare_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of the groups (band, i, j) of sorted rows; a group may span batches."""
+    key, group, links = None, [], []
+    for batch in batches:
+        for *at, node, part, side, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if at != key:
+                links += forest(*zip(*group, strict=True)) if group else []
+                key, group = at, []
+            group.append((node, part, side, text))
+        yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in links], LINKS)
+        links = []
+    if group:
+        yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in forest(*zip(*group, strict=True))], LINKS)
+
+
+LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+
+def block_links(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): links among the members (band, node, part, size) of each bucket that connect its parts."""
+    sums = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_TEXTS), F.ceil(F.col("words") / BLOCK_WORDS)).alias("k")
+    rows = members.join(settle(sums.select("band", blocks), "blocks"), "band")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    rows = rows.select("node", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "part", F.col("block").alias("side"))
+    rows = rows.join(texts, "node").select("band", "i", "j", "node", "part", "side", "text")
+    dealt = rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    return settle(dealt.mapInArrow(compare_blocks, "a BINARY, b BINARY").distinct(), "links")
 
 
 def links(found: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges): one row per distinct text with words, and the verified pairs that connect similar ones."""
+    """(nodes, edges): one row per distinct text with words, and verified pairs that connect all similar ones."""
     nodes = found.where(F.col("node").isNotNull()).groupBy("node")
-    nodes = settle(
-        nodes.agg(F.min(F.struct("doc_id", "rid")).alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
-        "nodes",
-    )
-    members = nodes.select("node", F.explode("bands").alias("band"))
+    nodes = nodes.agg(F.min(F.struct("doc_id", "rid")).alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    nodes = settle(nodes, "nodes")
+    members = nodes.select("node", "size", F.explode("bands").alias("band"))
     buckets = settle(members.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "buckets")
-    members = settle(members.join(buckets, "band").select("band", "n", "node"), "members")
+    members = settle(members.join(buckets, "band").select("band", "n", "node", "size"), "members")
     # the most central member of a bucket is the one that shares the most buckets with the most others
     central = settle(members.groupBy("node").agg(F.sum("n").alias("rank")), "central")
-    ranked = members.select("band", "node").join(central, "node")
-    leaders = ranked.groupBy("band").agg(F.max(F.struct("rank", "node")).alias("top"))
-    leaders = settle(leaders.select("band", F.col("top.node").alias("leader")), "leaders")
-    pairs = members.select("band", "node").join(leaders, "band").where(F.col("node") != F.col("leader"))
-    pairs = pairs.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    edges = verified(likely(pairs, nodes), nodes, docs)
+    # every text that is compared below is fetched here, once, by its document
+    wanted = settle(nodes.join(central, "node").select("node", F.col("rep.doc_id").alias("doc_id"), F.col("rep.rid").alias("rid")), "wanted")
+    rows = docs.select(F.col("doc_id").alias("id"), identity(docs).alias("of"), F.col("text").cast("binary").alias("text"))
+    texts = rows.join(wanted, (F.col("id") == F.col("doc_id")) & (F.col("of") == F.col("rid"))).select("node", "text")
+    texts = settle(texts.dropDuplicates(["node"]), "texts")
+    ranked = members.join(central, "node")
+    leaders = ranked.groupBy("band").agg(F.max(F.struct("rank", "node", "size")).alias("top"))
+    leaders = settle(leaders.select("band", F.col("top.node").alias("leader"), F.col("top.size").alias("of")), "leaders")
+    pairs = members.join(leaders, "band").where(F.col("node") != F.col("leader"))
+    sized = F.least("size", "of") >= F.greatest("size", "of") * F.lit(SIMILAR)
+    pairs = pairs.where(sized).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    for end in ("a", "b"):
+        pairs = pairs.join(texts.select(F.col("node").alias(end), F.col("text").alias(f"text_{end}")), end)
+    edges = settle(pairs.where(overlap("text_a", "text_b")).select("a", "b"), "links")
     parts = settle(components(edges), "parts")
-    # what is still apart inside a bucket: every pair across its components that was not compared yet
+    # what is still apart inside a bucket is compared in full
     label = F.coalesce("component", "node").alias("part")
-    labelled = settle(members.select("band", "node").join(parts, "node", "left").select("band", "node", label), "labelled")
+    labelled = settle(members.join(parts, "node", "left").select("band", "node", "size", label), "labelled")
     apart = labelled.groupBy("band").agg(F.min("part").alias("low"), F.max("part").alias("high"))
     apart = settle(apart.where(F.col("low") != F.col("high")).select("band"), "apart")
-    open_members = settle(labelled.join(apart, "band"), "open")
-    x, y = open_members.alias("x"), open_members.alias("y")
-    across = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.part") < F.col("y.part")))
-    across = across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    done = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    across = across.join(done, ["a", "b"], "left_anti")
-    more = verified(likely(across, nodes), nodes, docs)
+    more = block_links(settle(labelled.join(apart, "band"), "open"), texts)
     return nodes, settle(edges.unionByName(more), "edges")
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
-    """(row, text, class_id, n_links, n_copies, first) for every row of ``docs``.
+    """(row, text, class_id, n_copies, first) for every row of ``docs``.
 
-    ``class_id`` is the smallest doc_id of the class, ``n_links`` the number of other texts that the row's text was
-    found similar to, ``n_copies`` the number of rows with the same words. ``first`` marks the row that stands for the
+    ``class_id`` is the smallest doc_id of the class, ``n_copies`` the number of rows with the same words. ``first`` marks the row that stands for the
     class, and rows equal to it in id and text.
     """
     found = sketches(docs)
     nodes, edges = links(found, docs)
     parts = components(edges)
-    counts = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).groupBy("node").count()
     copies = found.where(F.col("node").isNotNull()).groupBy("node").agg(F.count(F.lit(1)).alias("n_copies"))
     known = nodes.select("node", "rep").join(copies, "node").join(parts, "node", "left")
-    known = settle(known.join(counts, "node", "left").withColumn("part", F.coalesce("component", "node")), "known")
+    known = settle(known.withColumn("part", F.coalesce("component", "node")), "known")
     names = settle(known.groupBy("part").agg(F.min("rep").alias("head")), "names")
-    named = known.join(names, "part").select("node", "head", F.coalesce("count", F.lit(0)).alias("n_links"), "n_copies")
+    named = known.join(names, "part").select("node", "head", "n_copies")
     per_row = found.select("doc_id", "rid", "node").distinct().join(settle(named, "named"), "node")
-    per_row = per_row.select(F.col("doc_id").alias("id"), F.col("rid").alias("of"), "head", "n_links", "n_copies")
+    per_row = per_row.select(F.col("doc_id").alias("id"), F.col("rid").alias("of"), "head", "n_copies")
     rows = packed(docs).withColumn("rid", identity(docs))
     joined = rows.join(per_row, (F.col("row.doc_id") == F.col("id")) & (F.col("rid") == F.col("of")), "left")
     own = (F.col("head.doc_id") == F.col("row.doc_id")) & (F.col("head.rid") == F.col("rid"))
@@ -266,7 +316,6 @@ def near_classes(docs: DataFrame) -> DataFrame:
         "row",
         "text",
         F.coalesce("head.doc_id", "row.doc_id").alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
         F.coalesce(own, F.lit(True)).alias("first"),
     )
@@ -283,4 +332,4 @@ def representatives(docs: DataFrame) -> DataFrame:
 
 def op10_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = near_classes(table(spark, folder, "documents").select("doc_id", "text"))
-    return found.select("row.doc_id", "class_id", "n_links", "n_copies")
+    return found.select("row.doc_id", "class_id", "n_copies")
