@@ -300,7 +300,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     each = map_text(packed(keys), lambda: described, "grams ARRAY<BIGINT>, contents ARRAY<BIGINT>, places ARRAY<BIGINT>")
     each = each.select("row.id", "row.rid", F.explode(F.arrays_zip("grams", "contents", "places")).alias("d"))
     each = each.select("id", "rid", F.col("d.grams").alias("gram"), F.col("d.contents").alias("content"), F.col("d.places").alias("place"))
-    each = settle(each.join(shared, "gram"), "shared-domains")
+    each = settle(each.join(shared.hint("merge"), "gram"), "shared-domains")
     contents = each.groupBy("gram", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "rid", "place")).alias("first"))
     contents = settle(contents, "contents")
     repeated = settle(contents.where(F.col("n") > 1).select("gram", "content"), "repeated-contents")
@@ -313,7 +313,8 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     )
     notes = settle(ranges.join(wanted, ["id", "rid"], "full").withColumnsRenamed({"id": "of_id", "rid": "of_rid"}), "notes")
     rows = packed(docs).withColumns({"id": F.coalesce("row.doc_id", F.lit(-(1 << 63))), "rid": F.xxhash64("text")})
-    noted = rows.join(notes, (F.col("id") == F.col("of_id")) & (F.col("rid") == F.col("of_rid")), "left")
+    # by shuffle at every size: what is asked about texts grows with the corpus
+    noted = rows.join(notes.hint("merge"), (F.col("id") == F.col("of_id")) & (F.col("rid") == F.col("of_rid")), "left")
     none = F.lit(None).cast("array<bigint>").alias("starts")
     first = settle(close(noted.select("row", "text", "ranges", none, "open"), with_text), "closed-and-open")
     results = [c.split()[0] for c in RESULT.split(", ")]
@@ -322,7 +323,7 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     starts = open_starts(still, open_grams)
     starts = settle(starts.groupBy("id", "rid").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts")), "repeated-starts")
     starts = starts.withColumnsRenamed({"id": "of_id", "rid": "of_rid"})
-    again = still.join(starts, (F.col("id") == F.col("of_id")) & (F.col("rid") == F.col("of_rid")), "left")
+    again = still.join(starts.hint("merge"), (F.col("id") == F.col("of_id")) & (F.col("rid") == F.col("of_rid")), "left")
     again = again.select("row", "text", "ranges", "starts", F.lit(None).cast(still.schema["open"].dataType).alias("open"))
     return closed.unionByName(close(again, with_text).select("row", *results))
 
