@@ -18,7 +18,18 @@ from catalogue.common import (
     order_side,
     pair_draws,
 )
-from catalogue.planning import GROUPS, KEY_RATES, TWO_LEVEL, _joint_sql, _swept, group_moments, pooled_sql
+from catalogue.planning import (
+    GROUPS,
+    KEY_RATES,
+    TWO_LEVEL,
+    _dec_sum_sql,
+    _joint_sql,
+    _swept,
+    _worst_case_rate_sql,
+    decentral_avg,
+    group_moments,
+    pooled_sql,
+)
 from catalogue.registry import query, table
 from thinjoin.functions.hashing import Draws, coefficients_needed
 from thinjoin.functions.rates import PRESETS, Rates
@@ -145,6 +156,30 @@ def decentral_pair(spark, folder):
     return both_sides(sample_pair(left, right, rates, 3, 41))
 
 
+@query(
+    "s05_decentral_pair_sum",
+    q.ctes(
+        **pair_sql(
+            "SELECT p, q1, q2 FROM (" + _dec_sum_sql(q.stats(q.EVENTS, "user_id", "cents"), "orders", 0.05, 0.05) + ")",
+            pair_draws(_PRESET, 3, 42),
+        )
+    )
+    + BOTH_SIDES,
+)
+def decentral_pair_sum(spark, folder):
+    left, right = event_side(spark, folder), order_side(spark, folder)
+    stats = keystats.key_stats(left.table, left.key, "cents")
+    return both_sides(sample_pair(left, right, decentral.sum_rates(stats, right.table, 0.05, 0.05), 3, 42))
+
+
+@query(
+    "s05_decentral_pair_avg",
+    q.ctes(**pair_sql("SELECT p, q1, q2 FROM (" + _worst_case_rate_sql() + ")", pair_draws(_PRESET, 3, 43))) + BOTH_SIDES,
+)
+def decentral_pair_avg(spark, folder):
+    return both_sides(sample_pair(event_side(spark, folder), order_side(spark, folder), decentral_avg(spark, folder), 3, 43))
+
+
 @query(
     "s06_joint_pair",
     q.ctes(**EVENT_ORDER, **pair_sql(_joint_sql(0.02, 0.02), pair_draws(_PRESET, 3, 51))) + BOTH_SIDES,
@@ -175,6 +210,26 @@ def predicate_pair(spark, folder):
     return pair.left.select("replicate", *LINE_ID)
 
 
+def _predicate_pair(agg: str, op: str, step: int, seed: int) -> None:
+    terms = q.objective(agg, 0.01, 0.01)
+    draws = pair_draws(_PRESET, 2, seed, left_id=4, right_id=4)
+    rates = q.rates_from(f"SELECT sum({terms[0]}) AS val1, sum({terms[1]}) AS val2 FROM m", 0.01, 0.01)
+    kept = f"{q.below(['l_partkey'], 'key', '(SELECT p FROM r)')} AND {q.below(LINE_ID, 'left', '(SELECT q1 FROM r)')}"
+    sql = q.ctes(**_swept(step, op), r=rates, draws=q.draws(draws)) + f"SELECT replicate, {', '.join(LINE_ID)} FROM lineitem, draws WHERE {kept}"
+
+    @query(f"s07_predicate_pair_{agg}_{'equal' if op == '=' else 'at_least'}", sql)
+    def planned(spark, folder):
+        side = line_side(spark, folder, "l_partkey")
+        swept = sweep.sweep_moments(side.table, side.table, side.key, side.key, "l_linenumber", "l_quantity", step, op)
+        pair = sample_pair(side, side, central.pooled_rates(swept, agg, 0.01, 0.01), 2, seed)
+        return pair.left.select("replicate", *LINE_ID)
+
+
+_predicate_pair("count", "=", 5, 62)
+_predicate_pair("sum", ">=", 10, 63)
+_predicate_pair("avg", "=", 5, 64)
+
+
 # ---------------------------------------------------------------- strata
 
 
