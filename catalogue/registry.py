@@ -15,7 +15,7 @@ ORACLES: dict[str, str] = {}
 
 def significant(column: Column) -> Column:
     """Ten significant digits: sums of doubles differ in the last bits with the order of addition."""
-    return F.when(column.isNotNull(), F.format_string("%.9e", column).cast("double"))
+    return F.when(column.isNotNull(), F.format_string("%.9e", column * F.lit(q.NUDGE)).cast("double"))
 
 
 def query(name: str, sql: str | None = None, digits: Sequence[str] = ()):

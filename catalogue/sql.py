@@ -148,9 +148,16 @@ def scale(r: Rates) -> str:
     return repr(1.0 / (r.p * r.q1 * r.q2)) + "::DOUBLE"
 
 
+NUDGE = 1.0 + 2.0**-40
+
+
 def significant(sql: str, names: Sequence[str]) -> str:
-    """Round doubles to ten significant digits, as the DataFrame side does."""
+    """Round doubles to ten significant digits, as the DataFrame side does.
+
+    Values that lie exactly between two roundings, as variances of two whole numbers often do, are rounded up by one
+    engine and to even by the other; a push of one part in 10^12 takes them off the middle on both sides.
+    """
     if not names:
         return sql
-    body = ", ".join(f"CAST(printf('%.9e', {n}) AS DOUBLE) AS {n}" for n in names)
+    body = ", ".join(f"CAST(printf('%.9e', {n}*{NUDGE!r}::DOUBLE) AS DOUBLE) AS {n}" for n in names)
     return f"SELECT * REPLACE ({body}) FROM ({sql})"

@@ -471,3 +471,20 @@ def test_sweep_runs_in_blocks(spark, small, monkeypatch):
     assert "Exchange SinglePartition" not in "".join(line for line in plan_of(found).split("\n") if "Window" in line)
     values = sweep.sweep_values(spark.sql("SELECT 0L AS low, 9L AS high"), 2)
     assert sorted(r["value"] for r in values.collect()) == [0, 2, 4, 6, 8]
+
+
+def test_thousands_of_replicates_are_planned_at_once(spark, small):
+    import time
+
+    left, right = small
+    presets = [Rates(0.5, q, q) for q in (0.1, 0.2, 0.3, 0.4, 0.5, 0.6)]
+    started = time.time()
+    pair = sample_pair(left, right, presets, 2000, 3)
+    plan_of(pair.left)
+    assert time.time() - started < 2
+    shares = pair.left.groupBy("preset").count().collect()
+    assert len(shares) == 6
+    assert pair.draw_table().count() == 12000
+    few = sample_pair(left, right, presets, [5, 1990], 3)
+    same = pair.left.where("replicate in (5, 1990)")
+    assert sorted(map(str, few.left.collect())) == sorted(map(str, same.collect()))

@@ -15,6 +15,7 @@ from __future__ import annotations
 import random
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,10 +77,20 @@ def coefficients_needed(columns: int) -> int:
     return 4 + 2 * columns - 1
 
 
+@lru_cache(maxsize=1000)
+def coefficient_lines(seed: int, role: str, n: int) -> tuple[tuple[int, int], ...]:
+    """(start, step) of each coefficient of one role ('key', 'left', ...).
+
+    Coefficient i of replicate r is ``start + r * step`` modulo the prime: a line through the replicates whose numbers
+    are random, so the hashes of two replicates are independent, and two numbers give any number of replicates.
+    """
+    source = random.Random(f"{seed}/{role}")
+    return tuple((source.randrange(1, PRIME), source.randrange(1, PRIME)) for _ in range(n))
+
+
 def draw_coefficients(seed: int, role: str, replicate: int, n: int) -> list[int]:
-    """``n`` coefficients for one role ('key', 'left', ...) of one replicate."""
-    source = random.Random(f"{seed}/{role}/{replicate}")
-    return [source.randrange(1, PRIME) for _ in range(n)]
+    """``n`` coefficients for one role of one replicate."""
+    return [(start + replicate * step) % PRIME for start, step in coefficient_lines(seed, role, n)]
 
 
 def unit_interval(hashed: Column) -> Column:
@@ -115,25 +126,47 @@ class Draws:
     def attach(self, df: DataFrame) -> tuple[DataFrame, Callable[[str], Column]]:
         """``df`` once per draw, and a function from a draw field's name to its Column.
 
-        The draws are a literal array that ``inline`` unfolds inside the scan's generated code, so a row is tested
-        against every draw without being copied; rows are built only for the draws that keep them.
+        Presets are a short literal array and replicates a sequence, unfolded inside the scan's generated code, so a
+        row is tested against every draw without being copied; rows are built only for the draws that keep them. The
+        plan is as large for thousands of replicates as for two.
         """
-        rows = self.rows()
-        if len(rows) == 1:
-            only = rows[0]
+        if len(self.constants) * len(self.replicates) == 1:
+            only = self.rows()[0]
             kept = df.withColumns({name: F.lit(only[name]).cast("int") for name in DRAW_KEY})
             return kept, lambda name: F.expr(_literal(name, only[name]))
-        fanned = df.select("*", F.inline(literal_rows(rows)).alias(*[_field(name) for name in rows[0]]))
-        return fanned, lambda name: F.col(_field(name))
+        fanned = df.select("*", F.inline(self._presets()).alias("preset", *[_field(n) for n in self.constants[0]]))
+        fanned = fanned.select("*", F.explode(self._numbers()).alias("replicate"))
+        return fanned, lambda name: F.col(_field(name)) if name in self.constants[0] else self.coefficient(name)
+
+    def coefficient(self, name: str) -> Column:
+        """The coefficient ``role_i`` of the draw that the column ``replicate`` names."""
+        role, _, i = name.rpartition("_")
+        start, step = coefficient_lines(self.seed, role, self.roles[role])[int(i)]
+        return F.expr(f"({start}L + cast(replicate AS BIGINT) * {step}L) % {PRIME}L")
+
+    def _presets(self) -> Column:
+        return literal_rows([{"preset": number, **constant} for number, constant in enumerate(self.constants)])
+
+    def _numbers(self) -> Column:
+        first, last = self.replicates[0], self.replicates[-1]
+        if self.replicates == tuple(range(first, last + 1)):
+            return F.expr(f"sequence({first}, {last})")
+        return F.expr(f"array({', '.join(map(str, self.replicates))})")
 
     def table(self, spark: SparkSession) -> DataFrame:
         """The identities of the draws: (preset, replicate) and the constants."""
-        rows = [{k: r[k] for k in (*DRAW_KEY, *self.constants[r["preset"]])} for r in self.rows()]
-        return spark.range(1).select(F.inline(literal_rows(rows)))
+        presets = spark.range(1).select(F.inline(self._presets()))
+        columns = ["preset", "replicate", *self.constants[0]]
+        return presets.select("*", F.explode(self._numbers()).alias("replicate")).select(*columns)
 
     def identities(self) -> Column:
-        """The (preset, replicate) pairs as a literal array, to be unfolded with ``inline``."""
-        return literal_rows([{k: r[k] for k in DRAW_KEY} for r in self.rows()])
+        """The (preset, replicate) pairs as an array, to be unfolded with ``inline``."""
+        presets = F.sequence(F.lit(0), F.lit(len(self.constants) - 1))
+
+        def of(preset: Column) -> Column:
+            return F.transform(self._numbers(), lambda r: F.struct(preset.alias("preset"), r.alias("replicate")))
+
+        return F.flatten(F.transform(presets, of))
 
 
 def literal_rows(rows: Sequence[Mapping]) -> Column:

@@ -139,7 +139,7 @@ def _two_level_side(side: Side, role: str, kept_keys: DataFrame, draws: Draws) -
     rows are gathered in one place, and the rows are then compared with it as they are read again.
     """
     table = side.table.where(F.col(side.key).isNotNull())
-    draw = _coefficient_lookup(draws)
+    draw = draws.coefficient
     parts = hash_parts(table, side.row_id)
     first, second = (polynomial_hash(parts, lambda i, n=n: draw(f"{role}_{n}_{i}")) for n in ("first", "second"))
     place = first * F.lit(2**BITS) + second
@@ -159,20 +159,6 @@ def _two_level_side(side: Side, role: str, kept_keys: DataFrame, draws: Draws) -
     )
 
 
-def _coefficient_lookup(draws: Draws):
-    """Coefficient of a role for the row's ``replicate``, from a literal array."""
-    rows = draws.rows()
-    if len(rows) == 1:
-        return lambda name: F.lit(rows[0][name]).cast("long")
-    first = draws.replicates[0]
-
-    def lookup(name: str) -> Column:
-        values = F.array(*[F.lit(r[name]).cast("long") for r in rows])
-        return F.element_at(values, F.col("replicate") - F.lit(first - 1))
-
-    return lookup
-
-
 def two_level_count(sample: TwoLevelSample) -> DataFrame:
     """COUNT per draw: ``(1/p)(f1/q + 1)(f2/q + 1)`` over keys kept on both sides, ``f`` the non-sentry rows."""
 
