@@ -29,11 +29,12 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that an earlier document holds."""
     found = line_dedup.line_dedup(docs)
-    result = unpacked(found.where(F.col("n_dropped") == 0), docs.columns)
-    changed = unpacked(found.where(F.col("n_dropped") > 0), docs.columns, "kept")
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return result.unionByName(changed)
+    if "n_chars" not in docs.columns:
+        return unpacked(found, docs.columns, "kept")
+    kind = docs.schema["n_chars"].dataType
+    length = F.when(F.col("n_dropped") > 0, F.length("kept").cast(kind)).otherwise(F.col("row.n_chars"))
+    changed = found.withColumn("row", F.col("row").withField("n_chars", length))
+    return unpacked(changed, docs.columns, "kept")
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
