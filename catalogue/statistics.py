@@ -12,6 +12,7 @@ from thinjoin.functions.rates import clamp_rate
 from thinjoin.operators import keystats, sketches, sweep
 from thinjoin.operators.exact import exact_join_agg, join_size
 from thinjoin.operators.moments import moments
+from thinjoin.operators.skew import join_by_key
 from thinjoin.session import new_path, settle
 from thinjoin.sources import catalog, text
 
@@ -263,7 +264,7 @@ def stats_join(spark, folder):
 def group_parameter_join(spark, folder):
     rows = table(spark, folder, "events")
     profile = settle(keystats.group_profile(rows, "event_type", "user_id"), "profile")
-    known = rows.join(profile, rows["event_type"].eqNullSafe(profile["grp"]))
+    known = join_by_key(rows, "event_type", profile, "grp")
     return known.groupBy("event_type", "user_id").agg(F.count(F.lit(1)).alias("n"), F.max("n_rows").alias("n_rows"))
 
 
