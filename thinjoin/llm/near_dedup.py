@@ -272,7 +272,8 @@ def links(found: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # every text that is compared below is fetched here, once, by its document
     wanted = settle(nodes.join(central, "node").select("node", F.col("rep.doc_id").alias("doc_id"), F.col("rep.rid").alias("rid")), "wanted")
     rows = docs.select(F.col("doc_id").alias("id"), identity(docs).alias("of"), F.col("text").cast("binary").alias("text"))
-    texts = rows.join(wanted, (F.col("id") == F.col("doc_id")) & (F.col("of") == F.col("rid"))).select("node", "text")
+    # by shuffle at every size: the texts asked for grow with the corpus
+    texts = rows.join(wanted.hint("merge"), (F.col("id") == F.col("doc_id")) & (F.col("of") == F.col("rid"))).select("node", "text")
     texts = settle(texts.dropDuplicates(["node"]), "texts")
     ranked = members.join(central, "node")
     leaders = ranked.groupBy("band").agg(F.max(F.struct("rank", "node", "size")).alias("top"))
@@ -310,7 +311,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     per_row = found.select("doc_id", "rid", "node").distinct().join(settle(named, "named"), "node")
     per_row = per_row.select(F.col("doc_id").alias("id"), F.col("rid").alias("of"), "head", "n_copies")
     rows = packed(docs).withColumn("rid", identity(docs))
-    joined = rows.join(per_row, (F.col("row.doc_id") == F.col("id")) & (F.col("rid") == F.col("of")), "left")
+    joined = rows.join(per_row.hint("merge"), (F.col("row.doc_id") == F.col("id")) & (F.col("rid") == F.col("of")), "left")
     own = (F.col("head.doc_id") == F.col("row.doc_id")) & (F.col("head.rid") == F.col("rid"))
     return joined.select(
         "row",
