@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from thinjoin.session import settle
+
 #: Bytes of text a Python task handles at a time; keeps its arrays to a few dozen MB whatever the batch Spark sends.
 SLICE_BYTES = 4 << 20
 
@@ -77,11 +79,11 @@ def map_text(rows: DataFrame, work: Callable[[], Callable[[list], list[pa.Array]
 def shared_sample(df: DataFrame, by: Column, per_group: int, *keys: str) -> DataFrame:
     """About ``per_group`` rows of each value of ``by``, chosen by a hash of the columns ``keys``; adds ``_group``.
 
-    The group sizes are counted first, so that no row is moved: a row stays if its hash falls in the share that leaves
+    The group sizes are counted first, as a table whose size Spark knows, so that no row is moved: a row stays if its hash falls in the share that leaves
     ``per_group`` rows. The same rows are chosen whenever the same table is read.
     """
     rows = df.withColumn("_group", by).where(F.col("_group").isNotNull())
-    sizes = rows.groupBy("_group").agg(F.count(F.lit(1)).alias("_size"))
+    sizes = settle(rows.groupBy("_group").agg(F.count(F.lit(1)).alias("_size")), "group-sizes")
     share = F.pmod(F.xxhash64(F.lit("sample"), *keys), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return rows.join(sizes, "_group").where(share * F.col("_size") < per_group).drop("_size")
 
