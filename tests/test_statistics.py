@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from thinjoin import Rates, estimates, exact_join_agg, key_counts, key_stats, moments, sample_pair
 from thinjoin.evaluation import metrics, runs
-from thinjoin.operators import sketches, stratified, two_level
+from thinjoin.functions import hashing
+from thinjoin.functions.hashing import PRIME
+from thinjoin.operators import sampling, sketches, stratified, two_level
 from thinjoin.operators.sampling import Side
 from thinjoin.plans import central, strata
 from thinjoin.session import settle
@@ -168,3 +170,26 @@ def test_metrics_of_a_run(sides, spark):
     found = {r["query"]: r for r in metrics.summary(rows, ["query"]).collect()}
     assert found["count"]["n_runs"] == 50
     assert 0 < found["count"]["mean_percent_error"] < 30
+
+
+@pytest.mark.parametrize("rate", [1e-7, 1e-8, 1e-9, 1e-10])
+def test_kept_share_is_the_rate_however_small(spark, rate):
+    """Coefficients that make ``h`` the hash and ``tie`` the second one: the kept share over all values of both."""
+    steps = 1000
+    every = spark.range(300).withColumnRenamed("id", "h").crossJoin(
+        spark.range(steps).select((F.col("id") * F.lit(PRIME // steps)).alias("tie"))
+    )
+    draw = lambda name: F.lit(int(name in ("row_1", "row_tie_3"))).cast("long")
+    kept = every.where(sampling.hash_below(every, ["h", "tie"], "row", draw, F.lit(rate))).count()
+    assert abs(kept / steps / (rate * PRIME) - 1) < 2 / (steps * rate * PRIME)
+
+
+def test_equal_ranks_do_not_fall_to_row_order(spark, monkeypatch):
+    """Where the first hash is the same for all rows, a second one ranks them, differently in each replicate."""
+    real = hashing.coefficient_lines
+    flat = lambda seed, role, n: ((0, 0),) * n if role == "rank" else real(seed, role, n)
+    monkeypatch.setattr(hashing, "coefficient_lines", flat)
+    left = Side(spark.range(200).select(F.col("id").alias("row"), F.lit(1).alias("g"), F.col("id").alias("k")), "k", ("row",))
+    drawn = stratified.fixed_size_strata_pair(left, left, "g", 5, 0.001, replicates=20)
+    assert drawn.left.count() == 100
+    assert drawn.left.select("row").distinct().count() > 50

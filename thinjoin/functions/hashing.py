@@ -1,6 +1,6 @@
 """Repeatable random decisions from row and key values.
 
-Every sampling decision is ``hash(values) < rate * PRIME``. The hash is a random polynomial over the integers modulo
+Every sampling decision is ``hash(values) < rate * PRIME``, where a second hash decides for rows at the border. The hash is a random polynomial over the integers modulo
 the prime 2^31 - 1 (Carter-Wegman hashing). Over the choice of coefficients, two different keys get independent
 values, which is what the variance formulas assume, and keys that differ in their low 31 bits get four-wise
 independent values, which is what the +-1 join sketches assume.
@@ -72,6 +72,14 @@ def polynomial_hash(parts: Sequence[Column], coefficient: Callable[[int], Column
     return value
 
 
+def linear_hash(parts: Sequence[Column], coefficient: Callable[[int], Column]) -> Column:
+    """Linear in all parts, modulo ``PRIME``: pairwise independent, for values that are equal under another hash."""
+    value = coefficient(0)
+    for i, part in enumerate(parts, 1):
+        value = (value + coefficient(i) * part) % PRIME
+    return value
+
+
 def coefficients_needed(columns: int) -> int:
     """Coefficients of a hash over this many columns (two parts each)."""
     return 4 + 2 * columns - 1
@@ -133,15 +141,19 @@ class Draws:
         if len(self.constants) * len(self.replicates) == 1:
             only = self.rows()[0]
             kept = df.withColumns({name: F.lit(only[name]).cast("int") for name in DRAW_KEY})
-            return kept, lambda name: F.expr(_literal(name, only[name]))
+            return kept, lambda name: F.expr(_literal(name, only[name])) if name in only else self.coefficient(name)
         fanned = df.select("*", F.inline(self._presets()).alias("preset", *[_field(n) for n in self.constants[0]]))
         fanned = fanned.select("*", F.explode(self._numbers()).alias("replicate"))
         return fanned, lambda name: F.col(_field(name)) if name in self.constants[0] else self.coefficient(name)
 
     def coefficient(self, name: str) -> Column:
-        """The coefficient ``role_i`` of the draw that the column ``replicate`` names."""
+        """The coefficient ``role_i`` of the draw that the column ``replicate`` names.
+
+        Each role has a second hash, ``role_tie_i``, for values that are equal under the first.
+        """
         role, _, i = name.rpartition("_")
-        start, step = coefficient_lines(self.seed, role, self.roles[role])[int(i)]
+        n = self.roles[role] if role in self.roles else self.roles[role.removesuffix("_tie")]
+        start, step = coefficient_lines(self.seed, role, n)[int(i)]
         return F.expr(f"({start}L + cast(replicate AS BIGINT) * {step}L) % {PRIME}L")
 
     def _presets(self) -> Column:

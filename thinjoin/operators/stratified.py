@@ -8,7 +8,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from thinjoin.functions.hashing import DRAW_KEY, Draws, coefficients_needed, comparison_type, hash_parts, polynomial_hash
+from thinjoin.functions.hashing import (
+    DRAW_KEY,
+    Draws,
+    coefficients_needed,
+    comparison_type,
+    hash_parts,
+    linear_hash,
+    polynomial_hash,
+)
 from thinjoin.operators.estimate import sample_key_stats
 from thinjoin.operators.keystats import group_profile
 from thinjoin.operators.sampling import Side, hash_below
@@ -99,7 +107,7 @@ def fixed_size_strata_pair(
 ) -> GroupedSample:
     """``limit`` random rows of each low group, Bernoulli rows of the others, Bernoulli rows of the right table.
 
-    The ``limit`` rows are those with the smallest hash. They are looked for among the rows below a hash bound that
+    The ``limit`` rows are those with the smallest 62-bit hash. They are looked for among the rows below a hash bound that
     lets through slightly more than ``limit`` rows of a group, so the ranking sees about ``limit`` rows per group
     and not the group. The candidates are stored and counted; a group with too few of them, which is rare, is ranked
     over all its rows. ``slack`` sets the surplus, in standard deviations of the number of candidates; the sample is
@@ -113,9 +121,11 @@ def fixed_size_strata_pair(
     marks = strata.select(F.col("grp").alias("_grp"), F.col("is_low").alias("_low"), bound.alias("_bound"))
     fanned, draw = draws.attach(join_by_key(left.table, group, marks, "_grp"))
     high = fanned.where(~F.col("_low") & hash_below(left.table, left.row_id, "left", draw, F.lit(q)))
-    rank = polynomial_hash(hash_parts(left.table, left.row_id), lambda i: draw(f"rank_{i}"))
+    parts = hash_parts(left.table, left.row_id)
+    rank = polynomial_hash(parts, lambda i: draw(f"rank_{i}")).alias("_rank")
+    ranks = [rank, linear_hash(parts, lambda i: draw(f"rank_tie_{i}")).alias("_rank_tie")]
     near = hash_below(left.table, left.row_id, "rank", draw, F.col("_bound"))
-    candidates = settle(fanned.where(F.col("_low") & near).select(*columns, rank.alias("_rank")), "candidates")
+    candidates = settle(fanned.where(F.col("_low") & near).select(*columns, *ranks), "candidates")
 
     found = candidates.groupBy(*DRAW_KEY, F.col(group).alias("_group")).agg(F.count(F.lit(1)).alias("_found"))
     low = strata.where("is_low").select("grp", "n_rows", F.inline(draws.identities()).alias("_preset", "_replicate"))
@@ -127,9 +137,9 @@ def fixed_size_strata_pair(
     if not short.isEmpty():
         again = [F.col("_grp").eqNullSafe(F.col("_short"))]
         again += [F.col(f"_{k}") == F.col(k) for k in DRAW_KEY]
-        rest = fanned.where(F.col("_low") & ~near).join(short, again).select(*columns, rank.alias("_rank"))
+        rest = fanned.where(F.col("_low") & ~near).join(short, again).select(*columns, *ranks)
         candidates = candidates.unionByName(rest)
-    order = Window.partitionBy(*DRAW_KEY, group).orderBy("_rank", *left.row_id)
+    order = Window.partitionBy(*DRAW_KEY, group).orderBy("_rank", "_rank_tie", *left.row_id)
     ranked = candidates.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= limit)
     kept_left = high.select(*columns).unionByName(ranked.select(*columns))
 
