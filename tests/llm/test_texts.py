@@ -279,6 +279,24 @@ def test_contaminated_spans_are_cut(spark):
     assert clean == {1: "Before it. \n! After it.", 2: "é clean"}
 
 
+def test_items_without_id_count(spark, tmp_path):
+    passage = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    docs = [(1, passage("a", 20)), (2, f"{passage('a', 20)} {passage('b', 20)} {passage('c', 3)}"), (3, passage("z", 30))]
+    items = [(None, passage("a", 20)), (None, passage("c", 3)), (7, passage("b", 20)), (8, None)]
+    frames = {"documents": (docs, "doc_id bigint, text string"), "benchmark": (items, "item_id bigint, text string")}
+    for name, (rows, schema) in frames.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    made = contamination.decontaminate(spark.createDataFrame(*frames["documents"]), spark.createDataFrame(*frames["benchmark"]), block_words=20)
+    found = {r["row"]["doc_id"]: (r["n_hit"], r["items"], r["contaminated"]) for r in made.collect()}
+    assert found[1] == (20, [None], True)
+    assert (found[2][0], set(found[2][1]), len(found[2][1])) == (43, {"7", None}, 2)
+    assert found[3] == (0, [], False)
+    connection = connect(str(tmp_path))
+    for name in frames:
+        connection.execute(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    assert difference(QUERIES["op7_decontamination"](spark, str(tmp_path)), connection, ORACLES["op7_decontamination"]) is None
+
+
 # ---------------------------------------------------------------- lines and mixing
 
 

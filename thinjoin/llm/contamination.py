@@ -6,7 +6,8 @@ passage lies in item or document. Items are read in blocks of ``block_words`` wo
 known size and one pass over the documents, whatever the number of items.
 
 Defined results: null and empty texts have no words and are never contaminated. An item without words matches nothing;
-an item shorter than the window matches as a whole. Repeated items are all reported. Rows are judged one by one, so
+an item shorter than the window matches as a whole. Repeated items are all reported. Items without an id count like
+others; all of them together are one null in ``items`` and add no name. Rows are judged one by one, so
 repeated rows and null ids need no rule. Very long texts stream. Other columns pass through.
 """
 
@@ -163,7 +164,7 @@ def item_blocks(items: DataFrame, block_words: int) -> Iterator[list[tuple[objec
     """(item_id as text, text) in blocks of about ``block_words`` words; one block at a time is on the driver."""
     rows = items.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text"))
     block, words = [], 0
-    for row in rows.where(F.col("text").isNotNull() & F.col("item").isNotNull()).toLocalIterator():
+    for row in rows.where(F.col("text").isNotNull()).toLocalIterator():
         block.append((row["item"], bytes(row["text"])))
         words += len(block[-1][1]) // 2 + 1
         if words >= block_words:
@@ -206,7 +207,7 @@ def match_benchmark(docs: DataFrame, items: DataFrame, window: int = WINDOW, blo
                     matched, seen = automaton.match(words)
                     counts.append(len(words))
                     runs.append(matched)
-                    names.append(sorted(seen))
+                    names.append(sorted(seen, key=lambda item: (item is None, item or "")))
                 return [pa.array(v, t) for v, t in zip((counts, runs, names), types, strict=True)]
 
             return handle
