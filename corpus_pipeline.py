@@ -8,7 +8,7 @@ that each operator defines; ``n_chars`` follows the text where a stage changes i
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thinjoin.llm import contamination, language_id, line_dedup, mixing, near_dedup
@@ -26,15 +26,19 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return unpacked(kept, docs.columns)
 
 
+def with_text(found: DataFrame, docs: DataFrame, text: str, changed: Column) -> DataFrame:
+    """The columns of ``docs`` with the text from column ``text``, and its ``n_chars`` where it ``changed``."""
+    if "n_chars" not in docs.columns:
+        return unpacked(found, docs.columns, text)
+    kind = docs.schema["n_chars"].dataType
+    length = F.when(changed, F.length(text).cast(kind)).otherwise(F.col("row.n_chars"))
+    return unpacked(found.withColumn("row", F.col("row").withField("n_chars", length)), docs.columns, text)
+
+
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that an earlier document holds."""
     found = line_dedup.line_dedup(docs)
-    if "n_chars" not in docs.columns:
-        return unpacked(found, docs.columns, "kept")
-    kind = docs.schema["n_chars"].dataType
-    length = F.when(F.col("n_dropped") > 0, F.length("kept").cast(kind)).otherwise(F.col("row.n_chars"))
-    changed = found.withColumn("row", F.col("row").withField("n_chars", length))
-    return unpacked(changed, docs.columns, "kept")
+    return with_text(found, docs, "kept", F.col("n_dropped") > 0)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +47,10 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated with benchmark items."""
+    """Documents that are not contaminated with benchmark items, without the long spans they share with them."""
     found = contamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return unpacked(found.where(~F.col("contaminated")), docs.columns)
+    kept = found.where(~F.col("contaminated"))
+    return with_text(kept, docs, "clean", ~F.col("clean").eqNullSafe(F.col("text")))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

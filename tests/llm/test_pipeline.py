@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from test_near_dedup import brute_classes
 from test_texts import brute_hits, brute_lines
 
@@ -71,6 +72,15 @@ def test_benchmark_stage_against_all_windows(spark, folder):
     assert {r["doc_id"] for r in found.collect()} == want
 
 
+def test_benchmark_stage_cuts_long_spans(spark, folder):
+    docs, prose = table(spark, folder, "documents"), " ".join(f"w{i}" for i in range(5000))
+    item = table(spark, folder, "benchmark").where("length(text) > 80").first()["text"]
+    one = docs.limit(1).withColumn("text", F.lit(f"{prose}\n{item}")).withColumn("n_chars", F.lit(1).cast(docs.schema["n_chars"].dataType))
+    (found,) = stage("benchmark")(spark, one, folder).collect()
+    assert item not in found["text"] and found["text"].startswith(prose)
+    assert found["n_chars"] == len(found["text"])
+
+
 def test_run_applies_all_stages(spark, folder):
     docs = table(spark, folder, "documents")
     found = corpus_pipeline.run(spark, folder)

@@ -279,6 +279,17 @@ def test_contaminated_spans_are_cut(spark):
     assert clean == {1: "Before it. \n! After it.", 2: "é clean"}
 
 
+def test_long_spans_are_cut_whatever_the_coverage(spark):
+    passage, prose = " ".join(f"p{i}" for i in range(20)), " ".join(f"w{i}" for i in range(1000))
+    docs = spark.createDataFrame([(1, f"{prose} {passage}. End yes sir"), (2, f"{prose} yes sir")], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, passage), (2, "yes sir")], "item_id bigint, text string")
+    found = {r["row"]["doc_id"]: r for r in contamination.decontaminate(docs, bench).collect()}
+    assert [found[i]["contaminated"] for i in (1, 2)] == [False, False]
+    assert [found[i]["n_hit"] for i in (1, 2)] == [22, 2]
+    assert found[1]["clean"] == f"{prose} \n. End yes sir"
+    assert found[2]["clean"] == f"{prose} yes sir"
+
+
 def test_items_without_id_count(spark, tmp_path):
     passage = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
     docs = [(1, passage("a", 20)), (2, f"{passage('a', 20)} {passage('b', 20)} {passage('c', 3)}"), (3, passage("z", 30))]

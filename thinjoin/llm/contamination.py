@@ -230,18 +230,28 @@ def match_benchmark(docs: DataFrame, items: DataFrame, window: int = WINDOW, blo
 
 
 def decontaminate(
-    docs: DataFrame, items: DataFrame, window: int = WINDOW, coverage: int = COVERAGE, block_words: int = BLOCK_WORDS
+    docs: DataFrame,
+    items: DataFrame,
+    window: int = WINDOW,
+    coverage: int = COVERAGE,
+    block_words: int = BLOCK_WORDS,
+    longest: int | None = None,
 ) -> DataFrame:
     """(row, text, n_words, n_hit, items, contaminated, clean).
 
     ``contaminated``: at least one word, and one word in ``coverage``, lies in a window of an item. ``clean`` is the
-    text, for contaminated rows without the bytes from the first to the last word of each run.
+    text without the bytes from the first to the last word of each run: of all runs for contaminated rows, of runs of
+    ``longest`` words (the window, if not given) or more for the others, so that no long text keeps an item because of
+    its length. Shorter runs, which only items shorter than the window leave by default, stay in those.
     """
+    longest = window if longest is None else longest
     found = match_benchmark(docs, items, window, block_words)
     n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r[1] - r[0])
     judged = found.withColumn("n_hit", n_hit)
     over = (F.col("n_hit") > 0) & (coverage * F.col("n_hit") >= F.col("n_words"))
-    cut = F.when(F.col("contaminated"), cut_runs("text", "runs")).otherwise(F.col("text"))
+    gone = F.when(F.col("contaminated"), F.col("runs"))
+    gone = gone.otherwise(F.filter("runs", lambda r: r[1] - r[0] >= longest))
+    cut = F.when(F.size(gone) > 0, cut_runs("text", gone)).otherwise(F.col("text"))
     judged = judged.withColumn("contaminated", over)
     return judged.select("row", "text", "n_words", "n_hit", "items", "contaminated", cut.alias("clean"))
 
