@@ -100,6 +100,19 @@ def test_line_rules():
     assert fault("so so so so so so so so so so so so") == "repetition"
 
 
+def test_long_lines_do_not_fail_by_their_length():
+    rng = random.Random(5)
+    prose = " ".join(f"w{rng.randrange(1000)}" for _ in range(20_000))
+    for text in (prose, prose[: len(prose) // 2] + " See our privacy policy or click here. " + prose[len(prose) // 2 :]):
+        found = quality_rules.judge(text.encode())
+        assert found[6] and found[8] == 0 and found[10] == text
+    fault = lambda text: quality_rules.line_fault(text.encode(), text.encode().split())
+    assert fault("so " * 5000) == "repetition"
+    assert fault(" ".join(prose.split()[:150]) + " so" * 400) == "repetition"
+    assert fault((" ".join(f"v{i}" for i in range(90)) + " ") * 50) == "repetition"
+    assert fault(" ".join(f"v{i}" for i in range(30)) + " click here") == "boilerplate"
+
+
 def test_documents_that_lose_too_much_go(spark):
     rng = random.Random(4)
     sentence = lambda: "The " + " ".join(f"{rng.choice('abcde')}{rng.randrange(99)}" for _ in range(9)) + "."

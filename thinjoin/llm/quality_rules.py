@@ -1,7 +1,8 @@
 """Quality rules, line first: judge every line, take the failing lines out, then reject documents that lose too much.
 
 A line goes if one of the line rules names it; a document goes if less than ``keep_share`` of its word characters is
-left. Documents are judged in one pass over the whole text without a shuffle.
+left. Repetition is judged in windows of a line and boilerplate by its share, so that a line does not fail by its length.
+Documents are judged in one pass over the whole text without a shuffle.
 
 Defined results: a null or empty text has no words, fails the base test and keeps its (null or empty) text. Lines
 without a word are neutral: they stay and count for nothing. Rows are judged one by one, so repeated rows, ties and null
@@ -29,6 +30,10 @@ MIN_WORDS = 10
 MAX_REPEATED = 20
 #: Share of a document's word characters that must be left.
 KEEP_SHARE = 0.4
+#: A line longer than this is judged for repetition by windows of so many words.
+REPETITION_WINDOW = 100
+#: Words of a line for each word of boilerplate from which a phrase no longer fails the line.
+BOILERPLATE_SHARE = 20
 BOILERPLATE = re.compile(
     rb"\b(?:all rights reserved|terms of (?:use|service)|privacy policy|cookie (?:policy|settings)|accept (?:all )?cookies"
     rb"|enable javascript|licen[sc]ed under|lorem ipsum|subscribe to our|sign up for|click here|powered by"
@@ -74,6 +79,25 @@ def repeated_words(words: list[bytes], size: int = 5) -> int:
     return int(np.count_nonzero(np.cumsum(steps)))
 
 
+def is_repetitive(words: list[bytes], size: int = REPETITION_WINDOW) -> bool:
+    """Few distinct words for the number of words, which says nothing of a long line as a whole: there, windows decide.
+
+    A long line fails if half of its words lie in windows with few distinct words, or if there are few in all of it
+    and half of it is repeated literally (a long passage over and over).
+    """
+    n = len(words)
+    few = lambda part: len(part) >= 10 and len(set(part)) * 4 < len(part)
+    if n <= size:
+        return few(words)
+    parts = (words[i : i + size] for i in range(0, n, size))
+    return sum(len(p) for p in parts if few(p)) * 2 >= n or (few(words) and repeated_words(words) * 2 >= n)
+
+
+def is_boilerplate(line: bytes, n: int) -> bool:
+    """Boilerplate phrases make up at least one in ``BOILERPLATE_SHARE`` of the line's ``n`` words."""
+    return sum(len(m.group().split()) for m in BOILERPLATE.finditer(line.lower())) * BOILERPLATE_SHARE >= n
+
+
 def line_fault(line: bytes, words: list[bytes]) -> str | None:
     """The rule that a line with words fails, or ``None``."""
     n = len(words)
@@ -91,9 +115,9 @@ def line_fault(line: bytes, words: list[bytes]) -> str | None:
     letters = len(line) - len(line.translate(None, LETTERS))
     if n >= 5 and letters and (len(line) - len(line.translate(None, UPPER))) * 10 > letters * 7:
         return "capitals"
-    if n >= 10 and len(set(words)) * 4 < n:
+    if is_repetitive(words):
         return "repetition"
-    if BOILERPLATE.search(line.lower()):
+    if is_boilerplate(line, n):
         return "boilerplate"
     return None
 
