@@ -368,6 +368,19 @@ def test_raking_meets_all_margins(spark):
     assert sum(v for k, v in drawn.items() if k[0] == "a") / total == pytest.approx(0.5, abs=1e-6)
 
 
+def test_targets_that_cannot_be_met_are_told(spark):
+    """Each source holds one language, and their targets differ by 0.2."""
+    cells = spark.createDataFrame([("a", "en", "x", 100), ("b", "fr", "x", 300)], "source string, lang string, topic string, tokens bigint")
+    wish = {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.3, "fr": 0.7}, "topic": {"x": 1.0}}
+    frame = lambda w: spark.createDataFrame(list(w.items()), "category string, target double")
+    with pytest.warns(UserWarning, match="targets not met"):
+        fitted = mixing.rake(cells, {m: frame(w) for m, w in wish.items()})
+    assert [r["margin_gap"] for r in fitted.collect()] == [pytest.approx(0.2)] * 2
+    wish["lang"] = {"en": 0.5, "fr": 0.5}
+    met = mixing.rake(cells, {m: frame(w) for m, w in wish.items()})
+    assert max(r["margin_gap"] for r in met.collect()) < 1e-9
+
+
 def test_sampled_tokens_follow_the_probabilities(spark):
     found = mixing.mix(table(spark, "/root/testdata/sf0.01", "documents"))
     row = found.agg(F.sum(F.col("sampled").cast("int")), F.sum("probability"), F.sum(F.expr("probability * (1 - probability)")), F.max("probability")).first()

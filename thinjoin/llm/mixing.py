@@ -1,19 +1,22 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Token counts are aggregated into the cells of source, language and topic. Raking scales the cells to the target shares
-of one margin after the other until all margins agree. A cell's fitted weight over its tokens, relative to the largest
+of one margin after the other until all margins agree, or the weights no longer get closer. A cell's fitted weight over its tokens, relative to the largest
 such ratio, is the probability with which its documents are sampled: expected tokens then stand in the fitted
 proportions, and no probability exceeds one. Only DataFrame functions are used. The cells, not the documents, take part
 in the iterations; each iteration is settled, so plans don't grow. A document is drawn by a hash of its id.
 
 Defined results: a null source, language or topic is the category ``(none)``. Documents without a word carry no weight;
 they have probability 0. A category without a given target has the share 0, targets without documents are ignored and
-the rest is scaled to 1. Rows with equal ``doc_id`` have equal draws; rows without one are drawn by their text. An empty
+the rest is scaled to 1. Targets that no weights of the occurring cells can meet together (sources of one language only)
+are met by the margin raked last, topic, and missed by others: ``margin_gap`` states the largest difference of a share
+from its target in every row, and a warning is given. Rows with equal ``doc_id`` have equal draws; rows without one are drawn by their text. An empty
 table gives no rows. Extra columns pass through.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +31,10 @@ TEMPER = {"source": 0.7, "lang": 0.8, "topic": 0.9}
 NONE = "(none)"
 ITERATIONS = 40
 TOLERANCE = 1e-10
+#: After ``ITERATIONS`` rounds raking goes on while a round's change is at most this share of the last one's.
+SHRINKS = 0.99
+#: Gap between margins and targets above which raking warns.
+MARGIN_GAP = 1e-6
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = "mix"
 
@@ -65,6 +72,8 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], iterations: int = I
     """``cells`` (MARGINS, tokens) with ``weight``: token shares fitted to the target shares of every margin.
 
     ``targets`` has (category, target) for each margin; they are scaled to 1 over the categories that occur.
+    ``iterations`` rounds are run, unless the weights stand still before, and more as long as the change shrinks.
+    ``margin_gap``, the same in all rows, is what the margins then lack.
     """
     scaled = {}
     for m in MARGINS:
@@ -74,7 +83,8 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], iterations: int = I
         scaled[m] = settle(there.select("category", (F.col("target") / whole).alias("target")), f"target-{m}")
     whole = cells.agg(F.sum("tokens")).scalar()
     now = settle(cells.select(*MARGINS, "tokens", (F.col("tokens") / whole).alias("weight")), "cells")
-    for _ in range(iterations):
+    last, done = None, 0
+    while True:
         step = now.withColumn("before", F.col("weight"))
         for m in MARGINS:
             sums = step.groupBy(F.col(m).alias("category")).agg(F.sum("weight").alias("sum")).join(scaled[m], "category")
@@ -82,11 +92,25 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], iterations: int = I
             step = step.join(sums.select(F.col("category").alias(m), factor), m)
             step = step.withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
         fitted = settle(step, "cells")
-        gap = fitted.agg(F.max(F.abs(F.col("weight") - F.col("before")))).first()[0]
-        now = fitted.drop("before")
-        if gap is None or gap <= tolerance:
+        change = fitted.agg(F.max(F.abs(F.col("weight") - F.col("before")))).first()[0]
+        now, done = fitted.drop("before"), done + 1
+        if change is None or change <= tolerance or (done >= iterations and last is not None and change > SHRINKS * last):
             break
-    return now
+        last = change
+    gap = margin_gap(now, scaled)
+    if gap > MARGIN_GAP:
+        warnings.warn(f"targets not met: a margin is {gap:.3g} off its target after {done} rounds", stacklevel=2)
+    return now.withColumn("margin_gap", F.lit(gap))
+
+
+def margin_gap(fitted: DataFrame, targets: Mapping[str, DataFrame]) -> float:
+    """The largest difference between the weight of a category, of any margin, and its target."""
+    gaps = None
+    for m in MARGINS:
+        sums = fitted.groupBy(F.col(m).alias("category")).agg(F.sum("weight").alias("sum"))
+        off = sums.join(targets[m], "category").select(F.abs(F.col("sum") - F.col("target")).alias("off"))
+        gaps = off if gaps is None else gaps.unionByName(off)
+    return gaps.agg(F.coalesce(F.max("off"), F.lit(0.0))).first()[0]
 
 
 def probabilities(fitted: DataFrame) -> DataFrame:
@@ -105,16 +129,17 @@ def draw(doc_id: Column, text: Column) -> Column:
 
 
 def mix(docs: DataFrame, targets: Mapping[str, DataFrame] | None = None) -> DataFrame:
-    """(row, text, source, lang, topic, tokens, probability, sampled) for every row of ``docs``."""
+    """(row, text, source, lang, topic, tokens, probability, margin_gap, sampled) for every row of ``docs``."""
     rows = measured(docs)
     cells = settle(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")), "cell-tokens")
     targets = targets or {m: tempered(cells, m, p) for m, p in TEMPER.items()}
-    chances = settle(probabilities(rake(cells, targets)), "probabilities")
+    fitted = rake(cells, targets)
+    chances = settle(probabilities(fitted).join(fitted.select(*MARGINS, "margin_gap"), list(MARGINS)), "probabilities")
     joined = rows.join(chances, list(MARGINS), "left")
     chance = F.when(F.col("tokens") > 0, F.coalesce("probability", F.lit(0.0))).otherwise(0.0)
     joined = joined.withColumn("probability", chance)
     sampled = draw(F.col("row.doc_id"), F.col("text")) < F.col("probability")
-    return joined.select("row", "text", *MARGINS, "tokens", "probability", sampled.alias("sampled"))
+    return joined.select("row", "text", *MARGINS, "tokens", "probability", "margin_gap", sampled.alias("sampled"))
 
 
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
