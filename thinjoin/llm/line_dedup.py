@@ -1,9 +1,9 @@
 """Line dedup: keep each line only in the first document that holds it.
 
-Lines are replaced by 128-bit hashes of their keys; no text is shuffled to find duplicates. Hashes are range-partitioned
-together with document and position and sorted in that order, so first occurrences stream out of each partition and a
-line that stands in a third of all documents spreads over many tasks. What comes back per document is a compressed
-bitmap of its lines; the text is only touched when a caller applies it.
+Lines are replaced by 128-bit hashes of their keys; no text is shuffled to find duplicates. A line's first document is
+the minimum over its hash, and a join with it marks the later ones; the sort by range that stands before both is not read
+as a stream. What comes back per document is a compressed bitmap of its lines; the text is only touched when a caller
+applies it.
 
 Defined results: a null or empty text is one empty line. Rows without ``doc_id`` count as no document and lose nothing.
 Rows equal in ``doc_id`` and text share one bitmap; rows of one ``doc_id`` with different texts are one document with a
