@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from thinjoin.llm import contamination, language_id, line_dedup, mixing, near_dedup, pieces, quality_crf, quality_rules, suffix_dedup, toxicity_gru, url_filter
+from thinjoin.llm import contamination, divergence, language_id, line_dedup, mixing, near_dedup, pieces, quality_crf, quality_rules, suffix_dedup, toxicity_gru, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_toxicity_gru": toxicity_gru.op9_toxicity_gru,
     "op10_near_dedup": near_dedup.op10_near_dedup,
     "op12_pieces": pieces.op12_pieces,
+    "op13_divergence": divergence.op13_divergence,
 }
 
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op5_mixing": mixing.ORACLE,
     "op7_decontamination": contamination.ORACLE,
     "op8_line_dedup": line_dedup.ORACLE,
+    "op13_divergence": divergence.ORACLE,
 }
