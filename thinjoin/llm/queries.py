@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from thinjoin.llm import contamination, divergence, language_id, line_dedup, mixing, near_dedup, pieces, quality_crf, quality_rules, suffix_dedup, toxicity_gru, url_filter
+from thinjoin.llm import contamination, conversations, divergence, language_id, line_dedup, mixing, near_dedup, pieces, quality_crf, quality_rules, suffix_dedup, toxicity_gru, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_toxicity_gru": toxicity_gru.op9_toxicity_gru,
     "op10_near_dedup": near_dedup.op10_near_dedup,
+    "op11_conversation_repair": conversations.op11_conversation_repair,
     "op12_pieces": pieces.op12_pieces,
     "op13_divergence": divergence.op13_divergence,
 }
