@@ -92,7 +92,7 @@ def main() -> None:
 
         seconds[f"sample_{name}"], pair = timed(build, runs)
         seconds[f"estimate_{name}"], row = timed(lambda: estimates(pair, measure).first(), runs)
-        errors[name] = round(abs(row["count_estimate"] / actual["count_actual"] - 1), 5)
+        errors[name] = round(abs(row["count_estimate"] / float(actual["count_actual"]) - 1), 5)
 
     for name in REGISTERED:
         seconds[name], _ = timed(lambda: QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save(), runs)

@@ -35,7 +35,7 @@ from thinjoin.functions.rates import PRESETS, Rates
 from thinjoin.operators import stratified, sweep
 from thinjoin.operators import two_level as two_level_module
 from thinjoin.operators.estimate import approx_join_agg, average_from_two_pairs, estimates, relative_error
-from thinjoin.operators.exact import exact_join_agg
+from thinjoin.operators.exact import as_doubles, exact_join_agg
 from thinjoin.operators.keystats import key_counts, key_stats
 from thinjoin.operators.moments import moments
 from thinjoin.operators.sampling import Side, sample_pair
@@ -268,7 +268,7 @@ def _line_order_sql(rates: Rates, replicates: int, seed: int, where: str, actual
 
 
 def _with_actual(estimated, actual):
-    one = actual.select(F.struct("count_actual", "sum_actual", "avg_actual").alias("a")).scalar()
+    one = as_doubles(actual).select(F.struct("count_actual", "sum_actual", "avg_actual").alias("a")).scalar()
     return estimated.withColumns({n: one.getField(n) for n in ("count_actual", "sum_actual", "avg_actual")})
 
 

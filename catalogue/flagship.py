@@ -16,7 +16,7 @@ def sampled_count(spark: SparkSession, folder: str, budget: float) -> DataFrame:
     left, right = event_side(spark, folder), order_side(spark, folder)
     rates = sampling_rates(event_order_moments(spark, folder), "count", budget, budget)
     pair = sample_pair(left, right, rates)
-    actual = exact_join_agg(left.table, right.table, left.key, right.key, "cents").select("count_actual").scalar()
+    actual = exact_join_agg(left.table, right.table, left.key, right.key, "cents").select(F.col("count_actual").cast("double")).scalar()
     estimated = estimates(pair, "cents").select("replicate", "count_estimate", actual.alias("count_actual"))
     error = relative_error(F.col("count_estimate"), F.col("count_actual"))
     rates = pair.rates

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalogue import sql as q
 from catalogue.common import EVENT_ORDER, LINE_ORDER, PART, event_order_moments, line_order_moments, part_moments
 from catalogue.registry import events, query, table
-from catalogue.statistics import SKETCHES, sketch_ctes
+from catalogue.statistics import bucketed_ctes, SKETCHES, sketch_ctes
 from thinjoin.functions.rates import PRESETS, VARIANCES
 from thinjoin.operators import keystats, sketches, stratified, sweep, two_level
 from thinjoin.operators.moments import moments
@@ -145,6 +145,19 @@ def sketched_avg_rate(spark, folder):
     return central.sampling_rates(estimated, "avg", 0.01, 0.01).select("val1", "val2", "p")
 
 
+@query(
+    "n06_bucketed_avg_rate",
+    q.ctes(**bucketed_ctes(2000)) + f"SELECT val1, val2, p FROM ({q.rates('m', 'avg', 0.01, 0.01)})",
+    digits=("val1", "val2", "p"),
+)
+def bucketed_avg_rate(spark, folder):
+    """The rate from ten thousand counters."""
+    left = keystats.key_stats(events(spark, folder), "user_id", "cents")
+    right = keystats.key_counts(table(spark, folder, "orders"), "o_custkey")
+    estimated = sketches.bucketed_moments(left, right, 2000, seed=4)
+    return central.sampling_rates(estimated, "avg", 0.01, 0.01).select("val1", "val2", "p")
+
+
 _AVG_RATE = q.rates("m", "avg", 0.01, 0.01)
 
 

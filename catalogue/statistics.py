@@ -31,6 +31,42 @@ def text_scan(spark, folder):
     return text.scan_text(spark, path, schema, "|")
 
 
+def _lines_with_faults(spark, folder) -> str:
+    """Orders as text; of some keys the status is missing, of others the price is a word, of others a field is too many."""
+    path = new_path(spark, "text")
+    key = F.col("o_orderkey")
+    price = F.when(key % 11 == 0, "cheap").otherwise(F.col("o_custkey").cast("string"))
+    status = F.when(key % 7 == 0, F.lit(None)).otherwise(F.col("o_orderstatus"))
+    more = F.when(key % 13 == 0, "more")
+    table(spark, folder, "orders").select(F.concat_ws("|", key, price, status, more)).write.text(path)
+    return path
+
+
+_FAULT = "o_orderkey % 11 = 0 OR (o_orderkey % 7 = 0) <> (o_orderkey % 13 = 0)"
+
+
+@query(
+    "i01_rows_that_fit",
+    "SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 7 = 0 THEN 'more' ELSE o_orderstatus END AS status FROM orders "
+    f"WHERE NOT ({_FAULT})",
+)
+def rows_that_fit(spark, folder):
+    checked = text.scan_checked(spark, _lines_with_faults(spark, folder), "o_orderkey BIGINT, o_custkey BIGINT, status STRING")
+    return text.fitting_rows(checked)
+
+
+@query(
+    "i01_broken_lines",
+    "SELECT concat_ws('|', o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'cheap' ELSE CAST(o_custkey AS VARCHAR) END, "
+    "CASE WHEN o_orderkey % 7 <> 0 THEN o_orderstatus END, CASE WHEN o_orderkey % 13 = 0 THEN 'more' END) AS line FROM orders "
+    f"WHERE {_FAULT}",
+)
+def broken_lines(spark, folder):
+    target, aside = new_path(spark, "fitting"), new_path(spark, "broken")
+    text.checked_text_to_parquet(spark, _lines_with_faults(spark, folder), target, aside, "o_orderkey BIGINT, o_custkey BIGINT, status STRING")
+    return spark.read.text(aside).withColumnRenamed("value", "line")
+
+
 @query("i01_comma_text_scan", "SELECT p_partkey, p_name, CAST(p_size AS INTEGER) AS p_size FROM part")
 def comma_text_scan(spark, folder):
     path = new_path(spark, "text")
@@ -214,15 +250,14 @@ def scalar_functions(spark, folder):
 
 @query(
     "p11_calendar_predicate",
-    "SELECT CAST(count(*) AS DOUBLE) AS count_actual, sum(l_quantity) AS sum_actual, avg(l_quantity) AS avg_actual "
+    "SELECT count(*) AS count_actual, sum(l_quantity) AS sum_actual, avg(l_quantity) AS avg_actual "
     "FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE year(o_orderdate) = 1997 AND o_orderpriority = '1-URGENT'",
     digits=("avg_actual",),
 )
 def calendar_predicate(spark, folder):
     where = predicates.in_year("o_orderdate", 1997) & predicates.compare("o_orderpriority", "=", "1-URGENT")
-    return exact_join_agg(
-        table(spark, folder, "lineitem"), table(spark, folder, "orders"), "l_orderkey", "o_orderkey", "l_quantity", right_where=where
-    )
+    lines, orders = table(spark, folder, "lineitem"), table(spark, folder, "orders")
+    return in_longs(exact_join_agg(lines, orders, "l_orderkey", "o_orderkey", "l_quantity", right_where=where))
 
 
 # ---------------------------------------------------------------- joins
@@ -240,10 +275,10 @@ def base_join(spark, folder):
 
 @query(
     "j03_join_size",
-    "SELECT CAST(count(*) AS DOUBLE) AS n_join FROM events JOIN orders ON user_id = o_custkey",
+    "SELECT count(*) AS n_join FROM events JOIN orders ON user_id = o_custkey",
 )
 def join_size_query(spark, folder):
-    return join_size(table(spark, folder, "events"), table(spark, folder, "orders"), "user_id", "o_custkey")
+    return in_longs(join_size(table(spark, folder, "events"), table(spark, folder, "orders"), "user_id", "o_custkey"))
 
 
 @query(
@@ -364,49 +399,66 @@ def moment_sums(spark, folder):
     return moments(left, keystats.key_counts(table(spark, folder, "orders"), "o_custkey"))
 
 
+def in_longs(found):
+    """Exact answers that fit 64 bits, in the type in which SQL counts."""
+    return found.withColumns({f.name: F.col(f.name).cast("long") for f in found.schema if f.dataType.typeName() == "decimal"})
+
+
+def whole_cents(spark, folder):
+    """Events with the measure as a whole number, whose sums are decimals."""
+    return events(spark, folder).withColumn("cents", F.col("cents").cast("long"))
+
+
+_CENTS = q.EVENTS.replace("round(value * 100)", "CAST(round(value * 100) AS BIGINT)")
+
+
 @query(
     "a09_exact_answers",
-    "SELECT CAST(count(*) AS DOUBLE) AS count_actual, sum(cents) AS sum_actual, avg(cents) AS avg_actual "
-    f"FROM {q.EVENTS} JOIN orders ON user_id = o_custkey",
+    "SELECT count(*) AS count_actual, CAST(sum(cents) AS BIGINT) AS sum_actual, avg(cents) AS avg_actual "
+    f"FROM {_CENTS} JOIN orders ON user_id = o_custkey",
     digits=("avg_actual",),
 )
 def exact_answers(spark, folder):
-    return exact_join_agg(events(spark, folder), table(spark, folder, "orders"), "user_id", "o_custkey", "cents")
+    return in_longs(exact_join_agg(whole_cents(spark, folder), table(spark, folder, "orders"), "user_id", "o_custkey", "cents"))
 
 
 @query(
     "a09_exact_self_join",
-    "SELECT CAST(count(*) AS DOUBLE) AS count_actual, sum(l.l_quantity) AS sum_actual, avg(l.l_quantity) AS avg_actual "
+    "SELECT count(*) AS count_actual, sum(l.l_quantity) AS sum_actual, avg(l.l_quantity) AS avg_actual "
     "FROM lineitem l JOIN lineitem r ON l.l_partkey = r.l_partkey",
     digits=("avg_actual",),
 )
 def exact_self_join(spark, folder):
     rows = table(spark, folder, "lineitem")
-    return exact_join_agg(rows, rows, "l_partkey", "l_partkey", "l_quantity")
+    return in_longs(exact_join_agg(rows, rows, "l_partkey", "l_partkey", "l_quantity"))
 
 
 @query(
     "a10_exact_filtered",
-    "SELECT value, CAST(count(o_custkey) AS DOUBLE) AS count_actual, coalesce(sum(cents), 0) AS sum_actual, coalesce(avg(cents), 0) AS avg_actual FROM "
-    "(SELECT unnest(range(CAST(min(cents) AS BIGINT), CAST(max(cents) AS BIGINT) + 1, 1000)) AS value "
-    f"FROM {q.EVENTS}) LEFT JOIN (SELECT * FROM {q.EVENTS} JOIN orders ON user_id = o_custkey) ON cents >= value GROUP BY value",
+    "SELECT value, count(o_custkey) AS count_actual, CAST(coalesce(sum(cents), 0) AS BIGINT) AS sum_actual, coalesce(avg(cents), 0) AS avg_actual FROM "
+    "(SELECT unnest(range(min(cents), max(cents) + 1, 1000)) AS value "
+    f"FROM {_CENTS}) LEFT JOIN (SELECT * FROM {_CENTS} JOIN orders ON user_id = o_custkey) ON cents >= value GROUP BY value",
     digits=("avg_actual",),
 )
 def exact_filtered(spark, folder):
-    return sweep.sweep_answers(
-        events(spark, folder), table(spark, folder, "orders"), "user_id", "o_custkey", "cents", "cents", 1000, ">="
+    return in_longs(
+        sweep.sweep_answers(
+            whole_cents(spark, folder), table(spark, folder, "orders"), "user_id", "o_custkey", "cents", "cents", 1000, ">="
+        )
     )
 
 
 @query(
     "a11_exact_grouped",
-    "SELECT event_type, CAST(count(*) AS DOUBLE) AS count_actual, sum(cents) AS sum_actual, avg(cents) AS avg_actual "
-    f"FROM {q.EVENTS} JOIN orders ON user_id = o_custkey GROUP BY event_type",
+    "SELECT event_type, count(*) AS count_actual, CAST(sum(cents) AS BIGINT) AS sum_actual, avg(cents) AS avg_actual "
+    f"FROM {_CENTS} JOIN orders ON user_id = o_custkey GROUP BY event_type",
     digits=("avg_actual",),
 )
 def exact_grouped(spark, folder):
-    return exact_join_agg(
-        events(spark, folder), table(spark, folder, "orders"), "user_id", "o_custkey", "cents", by="event_type"
+    return in_longs(
+        exact_join_agg(
+            whole_cents(spark, folder), table(spark, folder, "orders"), "user_id", "o_custkey", "cents", by="event_type"
+        )
     )
 
 
@@ -468,6 +520,41 @@ def sketched_moments(spark, folder):
     return sketches.sketched_moments(left, right, SKETCHES, seed=3)
 
 
+_ROW_SIGNS = Draws(4, tuple(range(1, sketches.ROWS + 1)), {"sign": coefficients_needed(1)})
+
+
+def bucketed_ctes(width: int) -> dict[str, str]:
+    """Bucket and sign from the same hash, sums per bucket, products per hash row, their median."""
+    left = {"a": "a", "a2": "a*a", "x": "x", "x2": "x*x", "s": "s", "s2": "s*s", "q": "q", "xs": "x*s"}
+    right = {"b": "b", "b2": "b*b"}
+    hashed = f"SELECT *, {q.hashed(['key'], 'sign')} AS h FROM {{0}}, draws"
+    sums = lambda of, side: ", ".join(f"sum({e}*(h % 2 * 2 - 1)) AS {side}_{n}" for n, e in of.items())
+    products = ", ".join(f"coalesce(sum(u_{n[:n.index('b')]}*v_{n[n.index('b'):]}), 0.0) AS {n}" for n in q.MOMENTS)
+    return {
+        **MN,
+        "draws": q.draws(_ROW_SIGNS),
+        "lb": f"SELECT replicate, (h >> 1) % {width} AS bucket, {sums(left, 'u')} FROM ({hashed.format('ls')}) GROUP BY ALL",
+        "rb": f"SELECT replicate, (h >> 1) % {width} AS bucket, {sums(right, 'v')} FROM ({hashed.format('rc')}) GROUP BY ALL",
+        "pr": f"SELECT d.replicate, {products} FROM draws d LEFT JOIN (lb JOIN rb USING (replicate, bucket)) b ON b.replicate = d.replicate GROUP BY ALL",
+        "m": "SELECT " + ", ".join(f"median({n}) AS {n}" for n in q.MOMENTS) + " FROM pr",
+    }
+
+
+@query("a15_bucketed_join_size", q.ctes(**bucketed_ctes(sketches.WIDTH)) + "SELECT ab AS n_join FROM m", digits=("n_join",))
+def bucketed_join_size(spark, folder):
+    """A thousand counters, five additions per key."""
+    left = keystats.key_counts(table(spark, folder, "events"), "user_id", "a")
+    right = keystats.key_counts(table(spark, folder, "orders"), "o_custkey")
+    return sketches.bucketed_join_size(left, right, seed=4)
+
+
+@query("a16_bucketed_moments", q.ctes(**bucketed_ctes(sketches.WIDTH)) + "SELECT * FROM m", digits=tuple(q.MOMENTS))
+def bucketed_moments(spark, folder):
+    left = keystats.key_stats(events(spark, folder), "user_id", "cents")
+    right = keystats.key_counts(table(spark, folder, "orders"), "o_custkey")
+    return sketches.bucketed_moments(left, right, seed=4)
+
+
 @query(
     "l03_largest_group",
     "SELECT o_custkey, n FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) ORDER BY n DESC, o_custkey LIMIT 1",

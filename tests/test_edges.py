@@ -488,3 +488,18 @@ def test_thousands_of_replicates_are_planned_at_once(spark, small):
     few = sample_pair(left, right, presets, [5, 1990], 3)
     same = pair.left.where("replicate in (5, 1990)")
     assert sorted(map(str, few.left.collect())) == sorted(map(str, same.collect()))
+
+
+def test_joins_of_more_rows_than_a_double_can_count(spark):
+    """A key with 100,000,019 and 100,000,007 rows, from counted statistics: 10^16 joined rows and their sum to the last digit."""
+    from thinjoin.operators.exact import joined_sums
+
+    one, two = 100_000_019, 100_000_007
+    shared = spark.createDataFrame([(one, one, one * 3 + 1, two), (1, 1, 1, 1)], "a long, x long, s decimal(29,0), b long")
+    row = shared.agg(*joined_sums(shared)).first()
+    assert one * two + 1 > 2**53 and (int(row["n_join"]), int(row["s_join"])) == (one * two + 1, (one * 3 + 1) * two + 1)
+    left = spark.range(60).select((F.col("id") % 3).alias("k"), F.lit(2**61 + 1).alias("x"))
+    found = exact_join_agg(left, left, "k", "k", "x").first()
+    assert (int(found["count_actual"]), int(found["sum_actual"])) == (1200, 1200 * (2**61 + 1))
+    none = exact_join_agg(left, left.where("false"), "k", "k", "x").first()
+    assert tuple(none) == (0, 0, 0.0)

@@ -11,7 +11,7 @@ from thinjoin import Rates, estimates, exact_join_agg, key_counts, key_stats, mo
 from thinjoin.evaluation import metrics, runs
 from thinjoin.functions import hashing
 from thinjoin.functions.hashing import PRIME
-from thinjoin.operators import sampling, sketches, stratified, two_level
+from thinjoin.operators import sampling, sketches, stratified, sweep, two_level
 from thinjoin.operators.sampling import Side
 from thinjoin.plans import central, strata
 from thinjoin.session import settle
@@ -54,7 +54,7 @@ def test_estimates_are_unbiased_with_the_stated_variance(sides, found, p):
     actual = exact_join_agg(left.table, right.table, "k", "k", "x").first()
     theory = central.variance_curve(found, 0.2, 0.1, [p]).first()
     for agg in ("count", "sum"):
-        close_to_actual(rows, agg, actual[f"{agg}_actual"], theory[f"{agg}_variance"])
+        close_to_actual(rows, agg, float(actual[f"{agg}_actual"]), theory[f"{agg}_variance"])
 
 
 def test_avg_estimate_is_close(sides):
@@ -95,7 +95,7 @@ def test_two_level_count_is_unbiased_within_budget(sides):
     rates = settle(two_level.key_rates(left, right, 0.3), "rates")
     sample = two_level.two_level_sample(left, right, rates, REPLICATES, 9)
     values = [r["count_estimate"] for r in two_level.two_level_count(sample).collect()]
-    actual = exact_join_agg(left.table, right.table, "k", "k", "x").first()["count_actual"]
+    actual = float(exact_join_agg(left.table, right.table, "k", "k", "x").first()["count_actual"])
     mean = sum(values) / len(values)
     spread = sum((v - mean) ** 2 for v in values) / (len(values) - 1)
     assert abs(mean - actual) <= 4.5 * math.sqrt(spread / len(values))
@@ -142,16 +142,39 @@ def check_groups(found, left, right):
     for r in rows:
         assert r["n"] == REPLICATES
         for a in ("count", "sum"):
-            assert abs(r[a] - actual[r["grp"]][f"{a}_actual"]) <= 4.5 * r[f"{a}_sd"] / math.sqrt(REPLICATES)
+            assert abs(r[a] - float(actual[r["grp"]][f"{a}_actual"])) <= 4.5 * r[f"{a}_sd"] / math.sqrt(REPLICATES)
 
 
 def test_sketched_join_size_is_close(sides):
     left, right = sides
-    exact = exact_join_agg(left.table, right.table, "k", "k", "x").first()["count_actual"]
+    exact = float(exact_join_agg(left.table, right.table, "k", "k", "x").first()["count_actual"])
     sketched = sketches.sketched_join_size(key_counts(left.table, "k", "a"), key_counts(right.table, "k"), 1000, 13)
     assert abs(sketched.first()["n_join"] / exact - 1) < 0.35
 
 
+def test_bucketed_sketches_are_as_close_as_theory_says(spark):
+    """At 1000 counters: the median over five rows of 200 buckets, over many seeds, against the spread of one row."""
+    left = spark.range(4000).select(F.col("id").alias("key"), (1 + F.col("id") % 7).cast("double").alias("a"))
+    right = spark.range(1000, 5000).select(F.col("id").alias("key"), (1 + F.col("id") % 5).cast("double").alias("b"))
+    exact = left.join(right, "key").agg(F.sum(F.col("a") * F.col("b"))).first()[0]
+    norms = [df.agg(F.sum(F.pow(c, F.lit(2)))).first()[0] for df, c in ((left, "a"), (right, "b"))]
+    sigma = ((norms[0] * norms[1] + exact**2) / sketches.WIDTH) ** 0.5
+    found = [sketches.bucketed_join_size(left, right, seed=i).first()["n_join"] for i in range(30)]
+    assert abs(sum(found) / 30 - exact) < 4 * sigma / 30**0.5
+    assert sum((f - exact) ** 2 for f in found) / 30 < sigma**2
+    assert all(abs(f - exact) < 4 * sigma for f in found)
+
+
+def test_bucketed_sketches_add_up(spark):
+    stats = spark.range(500).select(F.col("id").alias("key"), (F.col("id") % 9).cast("double").alias("a"))
+    whole = sketches.bucket_sketch(stats, {"u": F.col("a")}, 16, 3, 2)
+    parts = [sketches.bucket_sketch(stats.where(f"key % 3 = {i}"), {"u": F.col("a")}, 16, 3, 2) for i in range(3)]
+    merged = sketches.merged_sketches(*parts)
+    assert merged.exceptAll(whole).isEmpty() and whole.exceptAll(merged).isEmpty()
+    empty = sketches.bucketed_join_size(stats.where("false"), stats.withColumnRenamed("a", "b")).first()
+    assert empty["n_join"] == 0.0
+
+
 def test_preset_sweep_draws_presets_together(sides):
     left, right = sides
     presets = [Rates.preset(0.3, 0.4), Rates.preset(1.0, 0.2)]
@@ -174,22 +197,106 @@ def test_metrics_of_a_run(sides, spark):
 
 @pytest.mark.parametrize("rate", [1e-7, 1e-8, 1e-9, 1e-10])
 def test_kept_share_is_the_rate_however_small(spark, rate):
-    """Coefficients that make ``h`` the hash and ``tie`` the second one: the kept share over all values of both."""
+    """Coefficients that make ``h`` the upper bits; ``tie`` changes the lower ones only. The kept share over both."""
     steps = 1000
-    every = spark.range(300).withColumnRenamed("id", "h").crossJoin(
-        spark.range(steps).select((F.col("id") * F.lit(PRIME // steps)).alias("tie"))
-    )
-    draw = lambda name: F.lit(int(name in ("row_1", "row_tie_3"))).cast("long")
-    kept = every.where(sampling.hash_below(every, ["h", "tie"], "row", draw, F.lit(rate))).count()
-    assert abs(kept / steps / (rate * PRIME) - 1) < 2 / (steps * rate * PRIME)
+    every = spark.range(300).withColumnRenamed("id", "h").crossJoin(spark.range(steps).withColumnRenamed("id", "tie"))
+    draw = lambda name: F.lit(int(name == "row_1")).cast("long")
+    kept = every.where(sampling.hash_below(every, ["h", "tie"], "row", draw, F.lit(rate))).count() / steps
+    at_border = rate * PRIME % 1
+    assert abs(kept - rate * PRIME) <= 4 * (at_border * (1 - at_border) / steps) ** 0.5
+
+
+def test_rates_of_zero_one_and_none(spark):
+    every = spark.range(1000)
+    draw = lambda name: F.lit(12345 + len(name)).cast("long")
+    kept = lambda rate: every.where(sampling.hash_below(every, ["id"], "row", draw, rate)).count()
+    assert [kept(F.lit(r)) for r in (0.0, 1.0, 1.5)] == [0, 1000, 1000]
+    assert kept(F.lit(None).cast("double")) == 0
 
 
 def test_equal_ranks_do_not_fall_to_row_order(spark, monkeypatch):
-    """Where the first hash is the same for all rows, a second one ranks them, differently in each replicate."""
-    real = hashing.coefficient_lines
-    flat = lambda seed, role, n: ((0, 0),) * n if role == "rank" else real(seed, role, n)
-    monkeypatch.setattr(hashing, "coefficient_lines", flat)
+    """Where the upper bits are the same for all rows, the lower ones rank them, differently in each replicate."""
+    monkeypatch.setattr(hashing, "polynomial_hash", lambda parts, coefficient: F.lit(0).cast("long"))
     left = Side(spark.range(200).select(F.col("id").alias("row"), F.lit(1).alias("g"), F.col("id").alias("k")), "k", ("row",))
     drawn = stratified.fixed_size_strata_pair(left, left, "g", 5, 0.001, replicates=20)
     assert drawn.left.count() == 100
     assert drawn.left.select("row").distinct().count() > 50
+
+
+def test_replicates_are_independent(spark):
+    """Hits of a key over 1000 replicates are binomial in all four moments."""
+    n, p, keys = 1000, 0.01, 4000
+    side = Side(spark.range(keys).select((F.col("id") * 7 + 3).alias("k")), "k", ("k",))
+    hits = sampling.universe_sample(side, p, n, 21).groupBy("k").count()
+    every = side.table.join(hits, "k", "left").fillna(0, ["count"])
+    row = every.agg(F.avg("count"), F.var_samp("count"), F.kurtosis("count"), F.avg((F.col("count") == 0).cast("int")), F.max("count")).first()
+    assert abs(row[0] - n * p) < 4 * (n * p / keys) ** 0.5
+    assert abs(row[1] / (n * p * (1 - p)) - 1) < 0.1
+    assert abs(row[2] + 3 - 3.1) < 0.4
+    assert row[3] < 0.002 and row[4] < 35
+
+
+def test_coefficients_are_the_same_on_the_driver_and_in_plans(spark):
+    draws = hashing.Draws(9, (1, 2, 77), {"key": 5, "left_first": 5})
+    table = spark.createDataFrame([(r,) for r in draws.replicates], "replicate int")
+    for role, n in draws.roles.items():
+        found = table.select("replicate", *[draws.coefficient(f"{role}_{i}").alias(f"c{i}") for i in range(n)]).collect()
+        assert {r[0]: list(r)[1:] for r in found} == {r: hashing.draw_coefficients(9, role, r, n) for r in draws.replicates}
+
+
+def largest_method(df):
+    """Bytes of the longest method that whole-stage code generation makes for a plan."""
+    debug = getattr(getattr(df.sparkSession._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+    stages = debug.codegenStringSeq(df._jdf.queryExecution().executedPlan())
+    return max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size()))
+
+
+@pytest.mark.parametrize("kind", ["s01", "s03", "s07", "s08", "s09", "s10", "e01", "e05", "e06", "e08", "e09"])
+def test_scans_are_short_enough_to_be_compiled(spark, folder, kind):
+    """The JVM interprets methods of more than 8000 bytes."""
+    from catalogue import QUERIES
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = {name: largest_method(run(spark, folder)) for name, run in QUERIES.items() if name.startswith(f"{kind}_")}
+        assert sizes and all(size <= 8000 for size in sizes.values()), sizes
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+@pytest.mark.parametrize(("fan", "ranked", "limit"), [(1024, 10_000, 7), (4, 3, 7), (2, 1, 1), (16, 5, 400), (1024, 1, 5000)])
+def test_smallest_rows_of_groups_are_found_by_counting(spark, monkeypatch, fan, ranked, limit):
+    monkeypatch.setattr(stratified, "FAN", fan)
+    monkeypatch.setattr(stratified, "RANKED", ranked)
+    group = F.when(F.col("id") % 3 == 0, None).when(F.col("id") % 50 == 1, "small").otherwise("large")
+    rank = F.when(F.col("id") % 7 == 0, F.lit(123456789)).otherwise(F.pmod(F.xxhash64("id"), F.lit(hashing.RANGE)))
+    rows = settle(spark.range(3000).select(group.alias("g"), F.col("id").alias("row"), rank.alias("r")), "ranked-rows")
+    found = stratified.smallest(rows, ["g"], "r", ("row",), limit)
+    by_group = {}
+    for r in rows.collect():
+        by_group.setdefault(r["g"], []).append((r["r"], r["row"]))
+    want = sorted((str(g), row) for g, held in by_group.items() for _, row in sorted(held)[:limit])
+    assert sorted((str(r["g"]), r["row"]) for r in found.collect()) == want
+
+
+def test_only_the_edge_of_a_group_is_ranked(spark, monkeypatch):
+    """A group's 20,000 rows of a sample: the ranking sees no more than a few."""
+    monkeypatch.setattr(stratified, "RANKED", 100)
+    seen = []
+    settle_ = stratified.settle
+    monkeypatch.setattr(stratified, "settle", lambda df, name: seen.append((name, settle_(df, name))) or seen[-1][1])
+    rows = settle_(spark.range(40_000).select(F.lit(1).alias("g"), F.col("id").alias("row"), F.pmod(F.xxhash64("id"), F.lit(hashing.RANGE)).alias("r")), "ranked-rows")
+    assert stratified.smallest(rows, ["g"], "r", ("row",), 20_000).count() == 20_000
+    last = [df for name, df in seen if name == "rank-bounds"][-1].first()
+    assert last["_in"] <= 100 and last["_before"] < 20_000 <= last["_before"] + last["_in"]
+
+
+def test_sums_above_a_block_are_scanned(spark, monkeypatch):
+    """Many blocks per draw: no row holds them all, and the sums are right."""
+    monkeypatch.setattr(sweep, "BLOCK", 4)
+    left = spark.range(500).select((F.col("id") % 13).alias("k"), F.col("id").alias("v"), F.lit(1.0).alias("x"))
+    right = spark.range(13).select(F.col("id").alias("k"))
+    found = {r["value"]: r["count_actual"] for r in sweep.sweep_answers(left, right, "k", "k", "x", "v", 3, ">=").collect()}
+    assert found == {v: 500.0 - v for v in range(0, 500, 3)}
+    plan = sweep.sweep_answers(left, right, "k", "k", "x", "v", 3, ">=")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "lambda" not in plan

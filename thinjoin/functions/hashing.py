@@ -1,9 +1,14 @@
 """Repeatable random decisions from row and key values.
 
-Every sampling decision is ``hash(values) < rate * PRIME``, where a second hash decides for rows at the border. The hash is a random polynomial over the integers modulo
-the prime 2^31 - 1 (Carter-Wegman hashing). Over the choice of coefficients, two different keys get independent
-values, which is what the variance formulas assume, and keys that differ in their low 31 bits get four-wise
-independent values, which is what the +-1 join sketches assume.
+Every sampling decision is ``hash(values) < rate``. The hash has 62 bits. The upper ones are a random polynomial over the
+integers modulo the prime 2^31 - 1 (Carter-Wegman hashing): over the choice of coefficients, two different keys get
+independent values, which is what the variance formulas assume, and keys that differ in their low 31 bits get four-wise
+independent values, which is what the +-1 join sketches assume. The lower bits are ``xxhash64`` of the same values; they
+only decide for rows at the border of a rate.
+
+The coefficients of a replicate come from a counter-based generator: ``xxhash64`` of a number per coefficient plus the
+replicate's. Replicates are independent of each other, so spreads measured over them can be trusted, and a plan holds one
+number per coefficient, however many replicates it draws.
 
 A decision depends only on the values and the coefficients. It is the same on a retried task, after a repartition
 and on both sides of a join. Each term uses its input once, so the expression stays small and inside generated code,
@@ -17,6 +22,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
+import xxhash
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,16 +30,20 @@ from pyspark.sql import types as T
 
 PRIME = 2**31 - 1
 BITS = 31
+#: Hashes of 62 bits are below this number, which a double holds exactly.
+RANGE = PRIME * 2**BITS
 DRAW_KEY = ("preset", "replicate")
+#: The seed of Spark's ``xxhash64``.
+SPARK_SEED = 42
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
-def hash_parts(df: DataFrame, columns: Sequence[str], as_type: T.DataType | None = None) -> list[Column]:
-    """31-bit parts of the named columns; other than integral types go through ``xxhash64`` first.
+def hash_values(df: DataFrame, columns: Sequence[str], as_type: T.DataType | None = None) -> list[Column]:
+    """The named columns as 64-bit numbers; other than integral types go through ``xxhash64`` first.
 
     ``as_type`` is the type in which the columns are compared with those of another table.
     """
-    parts = []
+    values = []
     for name in columns:
         kind = as_type or df.schema[name].dataType
         value = F.col(name) if as_type is None else F.col(name).cast(as_type)
@@ -43,6 +53,14 @@ def hash_parts(df: DataFrame, columns: Sequence[str], as_type: T.DataType | None
             value = F.xxhash64(value + F.lit(0.0))  # -0.0 and 0.0 are equal in a join
         else:
             value = F.xxhash64(value)
+        values.append(value)
+    return values
+
+
+def hash_parts(df: DataFrame, columns: Sequence[str], as_type: T.DataType | None = None) -> list[Column]:
+    """31-bit parts of ``hash_values``."""
+    parts = []
+    for value in hash_values(df, columns, as_type):
         parts.append(value.bitwiseAND(F.lit(PRIME)))
         parts.append(F.shiftright(value, BITS).bitwiseAND(F.lit(PRIME)))
     return parts
@@ -72,12 +90,16 @@ def polynomial_hash(parts: Sequence[Column], coefficient: Callable[[int], Column
     return value
 
 
-def linear_hash(parts: Sequence[Column], coefficient: Callable[[int], Column]) -> Column:
-    """Linear in all parts, modulo ``PRIME``: pairwise independent, for values that are equal under another hash."""
-    value = coefficient(0)
-    for i, part in enumerate(parts, 1):
-        value = (value + coefficient(i) * part) % PRIME
-    return value
+def fine_hash(df: DataFrame, columns: Sequence[str], role: str, draw: Callable[[str], Column], as_type: T.DataType | None = None) -> Column:
+    """62 bits below ``RANGE``: the polynomial, then bits that tell rows with equal polynomials apart."""
+    value = polynomial_hash(hash_parts(df, columns, as_type), lambda i: draw(f"{role}_{i}"))
+    lower = F.xxhash64(draw(f"{role}_tie"), *hash_values(df, columns, as_type)).bitwiseAND(F.lit(PRIME))
+    return value * F.lit(2**BITS) + lower
+
+
+def limit_of(rate: Column) -> Column:
+    """Hashes below this are kept at ``rate``: none at 0, all at 1 and above. NULL for no rate, which keeps none."""
+    return F.ceil(F.when(rate >= 1.0, F.lit(1.0)).otherwise(rate) * F.lit(float(RANGE)))
 
 
 def coefficients_needed(columns: int) -> int:
@@ -85,20 +107,16 @@ def coefficients_needed(columns: int) -> int:
     return 4 + 2 * columns - 1
 
 
-@lru_cache(maxsize=1000)
-def coefficient_lines(seed: int, role: str, n: int) -> tuple[tuple[int, int], ...]:
-    """(start, step) of each coefficient of one role ('key', 'left', ...).
-
-    Coefficient i of replicate r is ``start + r * step`` modulo the prime: a line through the replicates whose numbers
-    are random, so the hashes of two replicates are independent, and two numbers give any number of replicates.
-    """
-    source = random.Random(f"{seed}/{role}")
-    return tuple((source.randrange(1, PRIME), source.randrange(1, PRIME)) for _ in range(n))
+@lru_cache(maxsize=10_000)
+def stream(seed: int, role: str, i: int | str) -> int:
+    """Where a coefficient's counter starts: the replicate's number is added to it."""
+    return random.Random(f"{seed}/{role}/{i}").getrandbits(BITS * 2)
 
 
 def draw_coefficients(seed: int, role: str, replicate: int, n: int) -> list[int]:
-    """``n`` coefficients for one role of one replicate."""
-    return [(start + replicate * step) % PRIME for start, step in coefficient_lines(seed, role, n)]
+    """``n`` coefficients for one role of one replicate, as ``Draws.coefficient`` has them."""
+    counters = (stream(seed, role, i) + replicate for i in range(n))
+    return [xxhash.xxh64_intdigest(c.to_bytes(8, "little"), SPARK_SEED) & PRIME for c in counters]
 
 
 def unit_interval(hashed: Column) -> Column:
@@ -147,14 +165,10 @@ class Draws:
         return fanned, lambda name: F.col(_field(name)) if name in self.constants[0] else self.coefficient(name)
 
     def coefficient(self, name: str) -> Column:
-        """The coefficient ``role_i`` of the draw that the column ``replicate`` names.
-
-        Each role has a second hash, ``role_tie_i``, for values that are equal under the first.
-        """
+        """The coefficient ``role_i`` of the draw that the column ``replicate`` names; ``role_tie`` is a plain counter."""
         role, _, i = name.rpartition("_")
-        n = self.roles[role] if role in self.roles else self.roles[role.removesuffix("_tie")]
-        start, step = coefficient_lines(self.seed, role, n)[int(i)]
-        return F.expr(f"({start}L + cast(replicate AS BIGINT) * {step}L) % {PRIME}L")
+        counter = f"cast(replicate AS BIGINT) + {stream(self.seed, role, i if i == 'tie' else int(i))}L"
+        return F.expr(counter if i == "tie" else f"xxhash64({counter}) & {PRIME}L")
 
     def _presets(self) -> Column:
         return literal_rows([{"preset": number, **constant} for number, constant in enumerate(self.constants)])

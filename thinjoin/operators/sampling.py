@@ -14,16 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-from thinjoin.functions.hashing import (
-    DRAW_KEY,
-    PRIME,
-    Draws,
-    coefficients_needed,
-    comparison_type,
-    hash_parts,
-    linear_hash,
-    polynomial_hash,
-)
+from thinjoin.functions.hashing import DRAW_KEY, Draws, coefficients_needed, comparison_type, fine_hash, limit_of
 from thinjoin.functions.rates import Rates
 
 RateSource = Rates | Sequence[Rates]
@@ -89,17 +80,12 @@ def make_draws(rates: RateSource, replicates: int | Sequence[int], seed: int, ro
 def hash_below(
     df: DataFrame, columns: Sequence[str], role: str, draw, rate: Column, as_type: DataType | None = None
 ) -> Column:
-    """True for rows whose hash under ``role`` falls below the rate.
+    """True for rows whose 62-bit hash under ``role`` falls below the rate.
 
-    31 bits alone would keep ``ceil(rate * PRIME) / PRIME``, 1.4 times a rate of 1e-9. Rows whose hash is the last that
-    fits are told apart by a second hash, so the kept share is the rate to one part in 2^62. The second hash is only
-    computed for rows that pass the first test.
+    31 bits alone would keep 1.4 times a rate of 1e-9. The hash stands in the condition once: written out again for
+    rows at the border, it made scans of two hashes too long for the JVM to compile.
     """
-    parts = hash_parts(df, columns, as_type)
-    value = polynomial_hash(parts, lambda i: draw(f"{role}_{i}"))
-    finer = linear_hash(parts, lambda i: draw(f"{role}_tie_{i}"))
-    limit = rate * F.lit(float(PRIME))
-    return (value < limit) & (finer < (limit - value) * F.lit(float(PRIME)))
+    return fine_hash(df, columns, role, draw, as_type) < limit_of(rate)
 
 
 def sample_side(

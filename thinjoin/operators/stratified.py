@@ -10,19 +10,27 @@ from pyspark.sql import functions as F
 
 from thinjoin.functions.hashing import (
     DRAW_KEY,
+    RANGE,
     Draws,
     coefficients_needed,
     comparison_type,
+    fine_hash,
     hash_parts,
-    linear_hash,
+    limit_of,
     polynomial_hash,
 )
 from thinjoin.operators.estimate import sample_key_stats
 from thinjoin.operators.keystats import group_profile
 from thinjoin.operators.sampling import Side, hash_below
-from thinjoin.operators.skew import join_by_key
+from thinjoin.operators.skew import fits_broadcast, join_by_key
 from thinjoin.session import settle
 
+#: Factor by which the hash bound of a group with too few candidates grows per round.
+WIDEN = 4.0
+#: Intervals into which ranks are counted at a time, and rows of a group that are ranked at the end.
+FAN = 1024
+RANKED = 10_000
+
 
 @dataclass(frozen=True)
 class GroupedSample:
@@ -40,7 +48,7 @@ class GroupedSample:
         return self.draws.table(self.left.sparkSession)
 
 
-def _draws(left: Side, right: Side, replicates: int | Sequence[int], seed: int, *extra: str) -> Draws:
+def sample_draws(left: Side, right: Side, replicates: int | Sequence[int], seed: int, *extra: str) -> Draws:
     numbers = tuple(range(1, replicates + 1)) if isinstance(replicates, int) else tuple(replicates)
     roles = {"key": coefficients_needed(1), "left": coefficients_needed(len(left.row_id))}
     roles["right"] = coefficients_needed(len(right.row_id))
@@ -59,7 +67,7 @@ def universe_strata_pair(
     """
     parameters = settle(parameters, "group-parameters")
     key_type = comparison_type(left.table, left.key, right.table, right.key)
-    draws = _draws(left, right, replicates, seed)
+    draws = sample_draws(left, right, replicates, seed)
 
     present = left.table.where(F.col(left.key).isNotNull())
     rates = parameters.select(F.col("grp").alias("_grp"), "is_major", F.col("p1").alias("_p1"), F.col("q1").alias("_q1"))
@@ -108,40 +116,40 @@ def fixed_size_strata_pair(
     """``limit`` random rows of each low group, Bernoulli rows of the others, Bernoulli rows of the right table.
 
     The ``limit`` rows are those with the smallest 62-bit hash. They are looked for among the rows below a hash bound that
-    lets through slightly more than ``limit`` rows of a group, so the ranking sees about ``limit`` rows per group
-    and not the group. The candidates are stored and counted; a group with too few of them, which is rare, is ranked
-    over all its rows. ``slack`` sets the surplus, in standard deviations of the number of candidates; the sample is
-    the same for any value.
+    lets through slightly more than ``limit`` rows of a group. The candidates are stored and counted; for a group with too few
+    of them, which is rare, the bound is widened in rounds, and only what it lets through anew is added. Which candidates
+    are the smallest is found by counting (``smallest``): neither a group nor its ``limit`` rows are ranked in one place.
+    ``slack`` sets the surplus, in standard deviations of the number of candidates; the sample is the same for any value.
     """
     strata = settle(fixed_size_strata(left, group, limit, q), "strata")
-    draws = _draws(left, right, replicates, seed, "rank")
+    draws = sample_draws(left, right, replicates, seed, "rank")
     columns = [*DRAW_KEY, *left.table.columns]
 
     bound = F.least(F.lit(1.0), F.lit(limit + slack * limit**0.5 + 5 * slack) / F.col("n_rows"))
     marks = strata.select(F.col("grp").alias("_grp"), F.col("is_low").alias("_low"), bound.alias("_bound"))
     fanned, draw = draws.attach(join_by_key(left.table, group, marks, "_grp"))
     high = fanned.where(~F.col("_low") & hash_below(left.table, left.row_id, "left", draw, F.lit(q)))
-    parts = hash_parts(left.table, left.row_id)
-    rank = polynomial_hash(parts, lambda i: draw(f"rank_{i}")).alias("_rank")
-    ranks = [rank, linear_hash(parts, lambda i: draw(f"rank_tie_{i}")).alias("_rank_tie")]
-    near = hash_below(left.table, left.row_id, "rank", draw, F.col("_bound"))
-    candidates = settle(fanned.where(F.col("_low") & near).select(*columns, *ranks), "candidates")
-
-    found = candidates.groupBy(*DRAW_KEY, F.col(group).alias("_group")).agg(F.count(F.lit(1)).alias("_found"))
-    low = strata.where("is_low").select("grp", "n_rows", F.inline(draws.identities()).alias("_preset", "_replicate"))
-    same = [F.col("grp").eqNullSafe(F.col("_group"))]
-    same += [F.col(f"_{k}") == F.col(k) for k in DRAW_KEY]
-    wanted = F.least(F.lit(limit), F.col("n_rows"))
-    short = low.join(found, same, "left").where(F.coalesce("_found", F.lit(0)) < wanted)
-    short = settle(short.select(F.col("grp").alias("_short"), "_preset", "_replicate"), "short-groups")
-    if not short.isEmpty():
-        again = [F.col("_grp").eqNullSafe(F.col("_short"))]
-        again += [F.col(f"_{k}") == F.col(k) for k in DRAW_KEY]
-        rest = fanned.where(F.col("_low") & ~near).join(short, again).select(*columns, *ranks)
-        candidates = candidates.unionByName(rest)
-    order = Window.partitionBy(*DRAW_KEY, group).orderBy("_rank", "_rank_tie", *left.row_id)
-    ranked = candidates.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= limit)
-    kept_left = high.select(*columns).unionByName(ranked.select(*columns))
+    rank = fine_hash(left.table, left.row_id, "rank", draw).alias("_rank")
+    near = rank < limit_of(F.col("_bound"))
+    candidates = settle(fanned.where(F.col("_low") & near).select(*columns, rank), "candidates")
+
+    low = strata.where("is_low").select("grp", "n_rows", bound.alias("_to"), F.inline(draws.identities()).alias("_preset", "_replicate"))
+    asked = F.least(F.lit(limit), F.col("n_rows"))
+    while True:
+        found = candidates.groupBy(*DRAW_KEY, F.col(group).alias("_group")).agg(F.count(F.lit(1)).alias("_found"))
+        same = [F.col("grp").eqNullSafe(F.col("_group")), *[F.col(f"_{k}") == F.col(k) for k in DRAW_KEY]]
+        short = low.join(found, same, "left").where((F.coalesce("_found", F.lit(0)) < asked) & (F.col("_to") < 1))
+        wider = F.least(F.lit(1.0), F.col("_to") * WIDEN)
+        low = settle(short.select("grp", "n_rows", F.col("_to").alias("_from"), wider.alias("_to"), "_preset", "_replicate"), "short-groups")
+        if low.isEmpty():
+            break
+        more = low.select(F.col("grp").alias("_short"), "_from", "_to", *[F.col(f"_{k}").alias(f"_of_{k}") for k in DRAW_KEY])
+        again = [F.col("_grp").eqNullSafe(F.col("_short")), *[F.col(f"_of_{k}") == F.col(k) for k in DRAW_KEY]]
+        ranked = fanned.where("_low").withColumn("_rank", rank).join(F.broadcast(more) if fits_broadcast(more) else more, again)
+        rest = ranked.where((F.col("_rank") >= limit_of(F.col("_from"))) & (F.col("_rank") < limit_of(F.col("_to"))))
+        candidates = candidates.unionByName(settle(rest.select(*columns, "_rank"), "candidates"))
+    kept_low = smallest(candidates, [*DRAW_KEY, group], "_rank", left.row_id, limit)
+    kept_left = high.select(*columns).unionByName(kept_low.select(*columns))
 
     fanned, draw = draws.attach(right.table)
     kept_right = fanned.where(hash_below(right.table, right.row_id, "right", draw, F.lit(q)))
@@ -149,6 +157,43 @@ def fixed_size_strata_pair(
     return GroupedSample(kept_left, kept_right, left.key, right.key, group, strata, draws)
 
 
+def smallest(rows: DataFrame, by: Sequence[str], rank: str, ties: Sequence[str], limit: int) -> DataFrame:
+    """The ``limit`` rows of each ``by`` group with the smallest 62-bit ``rank``; equal ranks by the columns ``ties``.
+
+    ``rows`` is read several times and should be stored. Ranks are counted in ``FAN`` equal intervals, with map-side
+    combination; the interval in which a group's count crosses ``limit`` is counted again in ``FAN`` parts, until few rows lie in it. All rows below
+    are kept, and only those in it are ranked.
+    """
+    named = [f"_of_{c}" for c in by]
+    counts = rows.groupBy(*[F.col(c).alias(n) for c, n in zip(by, named, strict=True)]).agg(F.count(F.lit(1)).alias("_in"))
+    full = counts.where(F.col("_in") > limit)
+    bounds = settle(full.select(*named, F.lit(0).cast("long").alias("_low"), F.lit(0).cast("long").alias("_before"), "_in"), "rank-bounds")
+    width = RANGE
+
+    def within(bounds: DataFrame, how: str) -> DataFrame:
+        same = [F.col(c).eqNullSafe(F.col(n)) for c, n in zip(by, named, strict=True)]
+        return rows.join(F.broadcast(bounds) if fits_broadcast(bounds) else bounds, same, how)
+
+    while width > 1 and not bounds.where(F.col("_in") > RANKED).isEmpty():
+        part = -(-width // FAN)
+        inside = within(bounds, "inner").where((F.col(rank) >= F.col("_low")) & (F.col(rank) - F.col("_low") < width))
+        at = F.expr(f"({rank} - _low) div {part}")
+        parts = inside.groupBy(*named, "_low", "_before", at.alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
+        so_far = F.sum("_n").over(Window.partitionBy(*named).orderBy("_at"))  # at most FAN rows of a group
+        parts = parts.withColumn("_to", F.col("_before") + so_far)
+        crossing = parts.where((F.col("_to") >= limit) & (F.col("_to") - F.col("_n") < limit))
+        low = F.col("_low") + F.col("_at") * F.lit(part)
+        before = F.col("_to") - F.col("_n")
+        bounds = settle(crossing.select(*named, low.alias("_low"), before.alias("_before"), F.col("_n").alias("_in")), "rank-bounds")
+        width = part
+    placed = within(bounds, "left")
+    sure = placed.where(F.col("_low").isNull() | (F.col(rank) < F.col("_low"))).select(*rows.columns)
+    edge = placed.where((F.col(rank) >= F.col("_low")) & (F.col(rank) - F.col("_low") < width))
+    order = Window.partitionBy(*by).orderBy(rank, *ties)
+    last = edge.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= F.lit(limit) - F.col("_before"))
+    return sure.unionByName(last.select(*rows.columns))
+
+
 def _group_totals(sample: GroupedSample, measure: str, matches: Column) -> DataFrame:
     """Joined rows and sums per (draw, group); ``matches`` is the number of right rows a left row meets."""
     classes = [c for c in ("is_major",) if c in sample.left.columns]

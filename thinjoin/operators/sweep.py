@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from thinjoin.functions.hashing import DRAW_KEY
 from thinjoin.operators.estimate import estimate_columns, sample_key_stats, scale_factor
-from thinjoin.operators.exact import answers
+from thinjoin.operators.exact import answers, exact_counts, exact_stats, joined_sums
 from thinjoin.operators.keystats import key_counts, key_stats
 from thinjoin.operators.moments import MOMENTS, column_terms, moment_terms
 from thinjoin.operators.sampling import SamplePair
@@ -61,29 +61,19 @@ def _downward(*partition: str):
     return Window.partitionBy(*partition).orderBy(F.col("value").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def _field(name: str):
-    return lambda entry: entry[name]
-
-
 def _above(every: DataFrame, names: Sequence[str], draws: Sequence[str]) -> DataFrame:
-    """Per (draw, block), the sums over all higher blocks. One short array per draw holds the blocks' sums."""
+    """Per (draw, block), the sums over all higher blocks: a scan over the blocks' sums, one row per block."""
     sums = every.groupBy(*draws, "block").agg(*[F.sum(n).alias(n) for n in names])
-    gathered = sums.groupBy(*draws).agg(F.collect_list(F.struct("block", *names)).alias("_all"))
-
-    def above(one: Column) -> Column:
-        higher = F.filter("_all", lambda x: x["block"] > one["block"])
-        sums_of = [F.transform(higher, _field(n)) for n in names]
-        totals = [F.aggregate(values, F.lit(0.0), lambda t, x: t + x) for values in sums_of]
-        return F.struct(one["block"].alias("block"), *[t.alias(f"_{n}_above") for t, n in zip(totals, names, strict=True)])
-
-    return gathered.select(*draws, F.inline(F.transform("_all", above)))
+    higher = Window.partitionBy(*draws, F.lit(0)).orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    above = [F.coalesce(F.sum(n).over(higher), F.lit(0)).alias(f"_{n}_above") for n in names]
+    return sums.select(*draws, "block", *above)
 
 
 def _complete(values: DataFrame, sums: DataFrame, names: Sequence[str], op: str, draws: Sequence[str] = ()) -> DataFrame:
     """Every swept value (0 where no row has it), accumulated downwards for ``>=``: within its block, and from the
     blocks above."""
     joined = values.join(sums, [*draws, "value"], "left")
-    every = joined.select(*draws, "block", "value", *[F.coalesce(F.col(n), F.lit(0.0)).alias(n) for n in names])
+    every = joined.select(*draws, "block", "value", *[F.coalesce(F.col(n), F.lit(0)).alias(n) for n in names])
     if op == "=":
         return every.drop("block")
     running = _downward(*draws, "block")
@@ -140,8 +130,9 @@ def sweep_answers(
 ) -> DataFrame:
     """Exact COUNT, SUM and AVG at every swept value."""
     bounds = sweep_bounds(left, column)
-    stats = _slot_stats(left, left_key, measure, column, bounds, step, op)
-    sums = _slot_totals(stats.join(key_counts(right, right_key), "key"), ["value"])
+    slotted = with_slot(left, column, bounds, step, op).withColumnRenamed("_slot", "value")
+    shared = exact_stats(slotted, left_key, measure, ["value"]).join(exact_counts(right, right_key), "key")
+    sums = shared.groupBy("value").agg(*joined_sums(shared))
     totals = _complete(sweep_values(bounds, step), sums, TOTALS, op)
     return totals.select("value", *[c.alias(n) for n, c in answers().items()])
 

@@ -1,4 +1,4 @@
-"""Delimited text: scans with a declared schema, and conversion to Parquet."""
+"""Delimited text: scans with a declared schema, rows that do not fit it, and conversion to Parquet."""
 
 from __future__ import annotations
 
@@ -20,10 +20,48 @@ SCHEMAS = {
 }
 
 
+#: Column of the raw lines that do not fit a schema.
+BROKEN = "_broken"
+
+
 def scan_text(spark: SparkSession, path: str, schema: str | T.StructType, sep: str = "|", header: bool = False) -> DataFrame:
     return spark.read.schema(schema).option("sep", sep).option("header", header).csv(path)
 
 
+def scan_checked(spark: SparkSession, path: str, schema: str | T.StructType, sep: str = "|", header: bool = False) -> DataFrame:
+    """The scan with ``BROKEN``: the raw line of a row with too few or too many fields, or a value of another type.
+
+    Without it such rows would come as NULLs that nobody sees. A row fits as a whole or not at all, whatever columns a
+    query uses. Lines that are empty, and with ``header`` those that name the columns, are left out.
+    """
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", {BROKEN} STRING"
+    lines = spark.read.text(path)
+    if header:
+        lines = lines.where(F.col("value") != sep.join(fields.names))
+    options = {"sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN}
+    return lines.where(F.col("value") != "").select(F.from_csv("value", ddl, options).alias("row")).select("row.*")
+
+
+def fitting_rows(checked: DataFrame) -> DataFrame:
+    return checked.where(F.col(BROKEN).isNull()).drop(BROKEN)
+
+
+def broken_lines(checked: DataFrame) -> DataFrame:
+    """(line) of the rows that do not fit."""
+    return checked.where(F.col(BROKEN).isNotNull()).select(F.col(BROKEN).alias("line"))
+
+
+def checked_text_to_parquet(
+    spark: SparkSession, source: str, target: str, broken: str, schema: str | T.StructType, sep: str = "|"
+) -> tuple[DataFrame, int]:
+    """Rewrite the rows that fit as Parquet and the others as text under ``broken``; the table and the number of the others."""
+    checked = scan_checked(spark, source, schema, sep)
+    fitting_rows(checked).write.mode("overwrite").parquet(target)
+    broken_lines(checked).write.mode("overwrite").text(broken)
+    return spark.read.parquet(target), spark.read.text(broken).count()
+
+
 def scan_leading_columns(spark: SparkSession, path: str, types: Sequence[str], sep: str = "|") -> DataFrame:
     """The first columns of headerless text, named ``col1``, ``col2``, ..."""
     schema = ", ".join(f"col{i} {t}" for i, t in enumerate(types, start=1))
