@@ -203,8 +203,8 @@ def appended_results(spark, folder):
     path = new_path(spark, "results")
     rows = stored_results(spark, folder)
     for part in ("idx <= 6", "idx > 6"):
-        runs.append_results(rows.where(part), path)
-    return spark.read.parquet(path).select("query", "preset", "idx", "actual", "estimate")
+        runs.append_results(rows.where(part), path, CONFIGURATION)
+    return runs.result_table(path, CONFIGURATION).read(spark).select("query", "preset", "idx", "actual", "estimate")
 
 
 _FIRST = "PARTITION BY query ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"

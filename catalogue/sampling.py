@@ -339,7 +339,7 @@ def universe_strata_right(spark, folder):
 def group_sample_append(spark, folder):
     path = new_path(spark, "group-sample")
     catalog.append_group_sample(universe_strata_sample(spark, folder, *_STRATA, 2, 82), path)
-    return spark.read.parquet(path).select("replicate", "event_type", "event_id", "pval")
+    return catalog.group_sample_table(path, "event_type").read(spark).select("replicate", "event_type", "event_id", "pval")
 
 
 # ---------------------------------------------------------------- two-level

@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thinjoin.functions.hashing import DRAW_KEY, Draws
+from thinjoin.operators.exact import as_doubles
+from thinjoin.sources.committed import CommittedTable
+from thinjoin.sources.tables import not_in
 
 AGGREGATES = ("count", "sum", "avg")
 
@@ -26,6 +29,7 @@ def results(
     ``actual`` holds one row, or one row per ``by`` value. With ``by``, every answer has a row in each of ``draws``, the
     NULL group included: one without an estimate is kept with 0, and an estimate that is NULL stays NULL.
     """
+    actual = as_doubles(actual)
     if by:
         if draws is None:
             raise ValueError("grouped results need the draws, so that answers no draw has met are kept")
@@ -68,21 +72,19 @@ def next_index(done: DataFrame, configuration: Sequence[str]) -> DataFrame:
     return done.groupBy(*configuration).agg((F.max("idx") + 1).alias("next_idx"))
 
 
-def not_in(new: DataFrame, old: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``new`` whose keys are not in ``old``; NULL keys compare as equal."""
-    known = old.select(*[F.col(k).alias(f"_old_{k}") for k in keys])
-    same = [new[k].eqNullSafe(known[f"_old_{k}"]) for k in keys]
-    return new.join(known, same, "left_anti")
-
-
 def merged_results(stored: DataFrame, pending: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Stored results plus the pending rows that are not among them."""
     return stored.unionByName(not_in(pending, stored, keys))
 
 
-def append_results(rows: DataFrame, path: str) -> None:
-    """Append to a stored result table with the time of the run."""
-    rows.withColumn("ts", F.current_timestamp()).write.mode("append").parquet(path)
+def result_table(path: str, configuration: Sequence[str]) -> CommittedTable:
+    """The result table under ``path``: each (configuration, idx) stands there once."""
+    return CommittedTable(path, (*configuration, "idx"))
+
+
+def append_results(rows: DataFrame, path: str, configuration: Sequence[str]) -> None:
+    """Append the (configuration, idx) that are not there yet, with the time of the run; can be repeated."""
+    result_table(path, configuration).add(rows.withColumn("ts", F.current_timestamp()), rows)
 
 
 def requested_runs(draws: DataFrame) -> DataFrame:

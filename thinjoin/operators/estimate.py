@@ -69,6 +69,22 @@ def estimates(
     return totals.select(*DRAW_KEY, *[c.alias(n) for n, c in estimate_columns(scale_factor(pair.rates)).items()])
 
 
+def grouped_estimates(pair: SamplePair, measure: str, by: Sequence[str], groups: DataFrame | None = None) -> DataFrame:
+    """One row per draw and ``by`` value, columns of the left table; NULL is a group.
+
+    Groups that a draw has not met are there, with 0, if ``groups`` lists them.
+    """
+    left = sample_key_stats(pair.left, pair.left_key, measure, by).where(F.col("key").isNotNull())
+    right = sample_key_stats(pair.right, pair.right_key, None).withColumnRenamed("a", "b")
+    shared = left.join(right, [*DRAW_KEY, "key"])
+    met = shared.select(*DRAW_KEY, *by, *[(F.col(c) * F.col("b")).alias(n) for c, n in _TOTALS.items()])
+    if groups is not None:
+        every = groups.select(*by).distinct().select(*by, F.inline(pair.draws.identities()).alias(*DRAW_KEY))
+        met = met.unionByName(every.select(*DRAW_KEY, *by, *[F.lit(0.0).alias(n) for n in _TOTALS.values()]))
+    totals = met.groupBy(*DRAW_KEY, *by).agg(*[F.sum(n).alias(n) for n in _TOTALS.values()])
+    return totals.select(*DRAW_KEY, *by, *[c.alias(n) for n, c in estimate_columns(scale_factor(pair.rates)).items()])
+
+
 def restrict(pair: SamplePair, left_where: Column | None, right_where: Column | None) -> SamplePair:
     """The pair with a predicate on either side."""
     left = pair.left if left_where is None else pair.left.where(left_where)
@@ -99,12 +115,18 @@ def approx_join_agg(
     seed: int = 1,
     left_where: Column | None = None,
     right_where: Column | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """Plan, sample and estimate; the predicates hold for planning and sampling alike."""
+    """Plan, sample and estimate; the predicates hold for planning and sampling alike.
+
+    With ``by``, columns of the left table, there is a row for each group of the left table in each draw; a group that
+    the sample has not met is estimated as 0.
+    """
     from thinjoin.plans.central import sampling_rates
 
     left = left if left_where is None else Side(left.table.where(left_where), left.key, left.row_id)
     right = right if right_where is None else Side(right.table.where(right_where), right.key, right.row_id)
     found = moments(key_stats(left.table, left.key, measure), key_counts(right.table, right.key))
     pair = sample_pair(left, right, sampling_rates(found, agg, e1, e2), replicates, seed)
-    return estimates(pair, measure).select(*DRAW_KEY, F.col(f"{agg}_estimate").alias("estimate"))
+    found = grouped_estimates(pair, measure, by, left.table) if by else estimates(pair, measure)
+    return found.select(*DRAW_KEY, *by, F.col(f"{agg}_estimate").alias("estimate"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thinjoin.functions.rates import column
+from thinjoin.session import settle
 
 
 def split_groups(profile: DataFrame, key_t: float) -> DataFrame:
@@ -58,6 +59,39 @@ def rebalanced_rates(profile: DataFrame, key_t: float, row_t: float, e1: float)
     return groups.select("grp", "n_rows", "n_keys", "is_major", rate.alias("rate"), F.lit("ok").alias("status"))
 
 
+def spent_budget_rates(profile: DataFrame, key_t: float, row_t: float, e1: float) -> DataFrame:
+    """As ``rebalanced_rates``, but the expected rows are the budget, ``e1`` of all rows, and no rate exceeds 1.
+
+    Groups that reach ``row_t`` with half their share keep that half. What they leave goes in equal parts to the groups that do not
+    reach it with all of theirs; a part that a small group cannot use is given to the others, in rounds, until it is spent.
+    What none of them can use goes back to the groups that gave it.
+    """
+    share = column(e1)
+    rows, wanted = F.col("n_rows"), F.lit(float(row_t))
+    groups = split_groups(profile, key_t)
+    groups = groups.withColumn("kind", F.when(rows * share / 2 >= wanted, "gives").when(rows * share < wanted, "needs").otherwise("keeps"))
+    groups = settle(groups.withColumn("room", rows - rows * share), "group-kinds")
+    left, givers = groups.where("kind = 'gives'").agg(F.coalesce(F.sum(rows * share / 2), F.lit(0.0)), F.coalesce(F.sum(rows), F.lit(0.0))).first()
+    needs = groups.where("kind = 'needs'")
+    part, full = 0.0, -1
+    while True:
+        closed = F.col("room") <= F.lit(part)
+        used, open_, now = needs.agg(
+            F.coalesce(F.sum(F.when(closed, F.col("room"))), F.lit(0.0)), F.count(F.when(~closed, 1)), F.count(F.when(closed, 1))
+        ).first()
+        if now == full or not open_:
+            break
+        part, full = (left - used) / open_, now
+    back = max(0.0, left - used) / givers if givers and not open_ else 0.0
+    taken = F.least(F.col("room"), F.lit(part) if open_ else F.col("room"))
+    rate = (
+        F.when(F.col("kind") == "gives", share / 2 + F.lit(back))
+        .when(F.col("kind") == "needs", (rows * share + taken) / rows)
+        .otherwise(share)
+    )
+    return groups.select("grp", "n_rows", "n_keys", "is_major", rate.alias("rate"), F.lit("ok").alias("status"))
+
+
 def group_parameters(group_rates: DataFrame, pooled: DataFrame, e2: float) -> DataFrame:
     """Sampling parameters per group: the right side's budget is split by the share of major and minor groups."""
     p = pooled.select("p").scalar()

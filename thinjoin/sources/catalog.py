@@ -13,7 +13,6 @@ import json
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +29,8 @@ from thinjoin.operators.sampling import (
     sample_pair,
 )
 from thinjoin.operators.stratified import GroupedSample
+from thinjoin.sources.committed import CommittedTable
+from thinjoin.sources.tables import existing
 
 REPLICATES_PER_JOB = 100
 META_IDENTITY = ("t1_name", "t2_name", "agg", "t1_join_col", "t2_join_col", "t1_agg_col")
@@ -37,16 +38,6 @@ RATE_COLUMNS = ("p", "q1", "q2")
 SAMPLE_KEY = (*META_IDENTITY, *DRAW_KEY, *RATE_COLUMNS, "seed")
 
 
-def existing(spark: SparkSession, path: str) -> DataFrame | None:
-    """The Parquet table at ``path``, or ``None``."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
-
-
 def write_sample(df: DataFrame, path: str) -> None:
     """Write a sample to a new path, partitioned by draw.
 
@@ -144,7 +135,7 @@ def load_pair(
     left: Side,
     right: Side,
     folder: str,
-    replicates: int,
+    replicates: int | Sequence[int],
     identity: Mapping[str, str],
     rates: RateSource | DataFrame | None = None,
     seed: int | None = None,
@@ -166,13 +157,14 @@ def load_pair(
         found = [Rates(*[r[n] for n in RATE_COLUMNS]) for r in batch.orderBy("preset").collect()]
         rates = found[0] if len(found) == 1 else found
     rates = fixed_rates(rates)
-    absent = missing_replicates(spark, folder, replicates, identity, rates, seed)
+    wanted = list(range(1, replicates + 1)) if isinstance(replicates, int) else list(replicates)
+    absent = sorted(set(missing_replicates(spark, folder, max(wanted), identity, rates, seed)) & set(wanted))
     if absent:
         raise ValueError(f"not stored with these rates and this seed: replicates {absent[:10]}")
     matches = F.lit(False)
     for number, one in enumerate(_presets(rates)):
         matches = matches | _drawn_with(number, one, seed)
-    draws = meta.where(matches & (F.col("replicate") <= replicates)).select("path", *DRAW_KEY).collect()
+    draws = meta.where(matches & F.col("replicate").isin(wanted)).select("path", *DRAW_KEY).collect()
     sides = []
     for name, table in (("left", left.table), ("right", right.table)):
         parts = []
@@ -188,12 +180,21 @@ def load_pair(
         for part in parts[1:]:
             whole = whole.unionByName(part)
         sides.append(whole)
-    return SamplePair(*sides, left.key, right.key, rates, pair_draws(left, right, rates, replicates, seed))
+    return SamplePair(*sides, left.key, right.key, rates, pair_draws(left, right, rates, wanted, seed))
+
+
+def group_sample_table(path: str, group: str) -> CommittedTable:
+    """Left rows of group samples under ``path``; a group of a draw is there once."""
+    return CommittedTable(path, (*DRAW_KEY, group))
 
 
 def append_group_sample(sample: GroupedSample, path: str) -> None:
-    """Append the left rows of all groups, with the key's hash value ``pval``, in one job."""
-    sample.left.hint("rebalance", *[F.col(c) for c in DRAW_KEY]).write.mode("append").partitionBy(*DRAW_KEY).parquet(path)
+    """Append the left rows of all groups, with the key's hash value ``pval``, in one job.
+
+    Groups of a draw that are there already are left as they are, so an append that failed can be repeated.
+    """
+    units = sample.parameters.select(F.col("grp").alias(sample.group), F.inline(sample.draws.identities()).alias(*DRAW_KEY))
+    group_sample_table(path, sample.group).add(sample.left, units)
 
 
 def stored_key_stats(df: DataFrame, key: str, measure: str | None, path: str, by: Sequence[str] = ()) -> DataFrame:
