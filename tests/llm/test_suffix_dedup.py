@@ -56,10 +56,10 @@ def found(spark, rows, schema="doc_id bigint, text string"):
     return sorted((r["row"]["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in result.collect())
 
 
-@pytest.mark.parametrize("group", [1000, 1])
+@pytest.mark.parametrize("group", [1 << 18, 1])
 def test_against_all_windows(spark, monkeypatch, group):
     """Once through the merged transforms, once with every open minimiser counted as a frequent one."""
-    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", group)
     texts = corpus(group)
     want = sorted((i, *w) for i, w in enumerate(brute(texts)))
     assert found(spark, list(enumerate(texts))) == want
@@ -80,6 +80,16 @@ def test_long_text_in_pieces(spark, monkeypatch):
     assert found(spark, list(enumerate(texts))) == sorted((i, *w) for i, w in enumerate(brute(texts)))
 
 
+@pytest.mark.parametrize("group", [1 << 18, 20_000])
+def test_many_long_runs(spark, monkeypatch, group):
+    """Runs of one byte are one domain each; a group's bytes, not its members, decide where it is compared."""
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", group)
+    rng = random.Random(6)
+    texts = ["a" * rng.randrange(10_000, 16_000) + rng.choice("bc") * rng.randrange(250) for _ in range(8)]
+    texts += ["ab" * 6000 + "c", "c" + "ab" * 5500, "d" * 11_000, "x" * 199 + "y" * 12_000]
+    assert found(spark, list(enumerate(texts))) == sorted((i, *w) for i, w in enumerate(brute(texts)))
+
+
 def test_merged_order_is_the_sorted_order():
     rng = np.random.default_rng(3)
     codes = [rng.integers(1, 3, n).astype(np.int64) for n in (130, 90, 61, 55, 200)]

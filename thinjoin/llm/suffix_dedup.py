@@ -13,8 +13,9 @@ windows have equal minimisers, so three steps decide all starts:
    the preceding symbols, without sorting suffixes again. Block borders that appear in pass d have a common prefix of
    d - 1 symbols; blocks that hold two starts after ``LENGTH / STEP`` passes are the repeated intervals.
 
-Minimisers with more than ``GROUP`` open domains (the edge of a passage that stands in a large part of the corpus) are
-decided exactly in another way: their windows are counted by 128-bit hash across the cluster.
+Texts are hashed once; their domains are stored and counted from there. Minimisers whose open domains have more than
+``GROUP_BYTES`` (the edge of a passage that stands in a large part of the corpus, a run of one byte) are decided exactly
+in another way: their windows are counted by 128-bit hash across the cluster. So the bytes that a task merges are bounded.
 
 Defined results: a null text is empty; texts shorter than ``LENGTH`` lose nothing. Rows equal in all columns are two
 documents, so all their windows repeat. Ids may be null or repeated. An empty table gives no rows. Extra columns pass
@@ -41,11 +42,14 @@ GRAM = 100
 SPAN = LENGTH - GRAM + 1
 STEP = 50
 SHARDS = 4
-#: Open domains of one minimiser that a task merges; more are counted across the cluster.
-GROUP = 1000
-#: Bytes of open domains that are merged at once.
+#: Bytes of one minimiser's open domains that a task merges; the windows of more are counted across the cluster.
+GROUP_BYTES = 1 << 18
+#: Bytes of open domains that are merged at once, at some hundred times their size in memory, and that a task is dealt.
 MERGE_BYTES = 1 << 20
+TASK_BYTES = 1 << 21
 SLICE = 1 << 20
+#: Bit of a place, above the size of any domain: the minimiser may stand in the domain twice.
+TWICE = 1 << 23
 
 A = np.uint64(0x9E3779B97F4A7C15)
 B = np.uint64(0xD6E8FEB86659FD93)
@@ -121,20 +125,12 @@ def pieces(text: bytes | None) -> Iterator[tuple[int, bytes]]:
         yield at, text[at : at + SLICE + LENGTH - 1]
 
 
-def minimisers(texts: list[bytes | None]) -> list[pa.Array]:
-    """Per text its domains' minimisers; twice if it may stand in the domain twice."""
-    found = []
-    for text in texts:
-        grams = [np.repeat(g, 1 + t) for _, _, g, _, t in (domains(p) for _, p in pieces(text))]
-        found.append(np.concatenate(grams))
-    return [pa.array(found, pa.list_(pa.int64()))]
-
-
 def described(texts: list[bytes | None]) -> list[pa.Array]:
-    """Per text its domains as three lists: minimiser, content, place (start and size in one number)."""
+    """Per text its domains as three lists: minimiser, content, place (start, ``TWICE`` and size in one number)."""
     lists: list[list] = [[], [], []]
     for text in texts:
-        parts = [(g, c, ((at + s) << 24) + n) for at, (s, n, g, c, _) in ((at, domains(p)) for at, p in pieces(text))]
+        found = ((at, domains(p)) for at, p in pieces(text))
+        parts = [(g, c, ((at + s) << 24) + np.where(t, TWICE, 0) + n) for at, (s, n, g, c, t) in found]
         for kept, some in zip(lists, zip(*parts, strict=True), strict=True):
             kept.append(np.concatenate(some))
     return [pa.array(x, pa.list_(pa.int64())) for x in lists]
@@ -294,19 +290,24 @@ def close(rows: DataFrame, with_text: bool) -> DataFrame:
 def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """(row, n_bytes, n_removed, n_spans, kept_sha256, kept): what stays of each text; ``kept`` only if asked for."""
     keys = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("rid"), "text")
-    grams = map_text(packed(keys), lambda: minimisers, "grams ARRAY<BIGINT>").select(F.explode("grams").alias("gram"))
-    shared = settle(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("gram"), "shared-minimisers")
-    each = map_text(packed(keys), lambda: described, "grams ARRAY<BIGINT>, contents ARRAY<BIGINT>, places ARRAY<BIGINT>")
-    each = each.select("row.id", "row.rid", F.explode(F.arrays_zip("grams", "contents", "places")).alias("d"))
-    each = each.select("id", "rid", F.col("d.grams").alias("gram"), F.col("d.contents").alias("content"), F.col("d.places").alias("place"))
+    held = map_text(packed(keys), lambda: described, "grams ARRAY<BIGINT>, contents ARRAY<BIGINT>, places ARRAY<BIGINT>")
+    held = settle(held.select("row.id", "row.rid", "grams", "contents", "places").where(F.size("grams") > 0), "domains")
+    counted = held.select(F.explode(F.arrays_zip("grams", "places")).alias("d"))
+    weight = 1 + F.shiftright("d.places", 23).bitwiseAND(1)
+    shared = counted.groupBy(F.col("d.grams").alias("gram")).agg(F.sum(weight).alias("n")).where(F.col("n") > 1).select("gram")
+    shared = settle(shared, "shared-minimisers")
+    each = held.select("id", "rid", F.explode(F.arrays_zip("grams", "contents", "places")).alias("d"))
+    place = F.col("d.places").bitwiseAND(F.lit(~TWICE)).alias("place")
+    each = each.select("id", "rid", F.col("d.grams").alias("gram"), F.col("d.contents").alias("content"), place)
     each = settle(each.join(shared.hint("merge"), "gram"), "shared-domains")
     contents = each.groupBy("gram", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "rid", "place")).alias("first"))
     contents = settle(contents, "contents")
     repeated = settle(contents.where(F.col("n") > 1).select("gram", "content"), "repeated-contents")
     ranges = each.join(repeated, ["gram", "content"]).groupBy("id", "rid").agg(F.collect_set("place").alias("ranges"))
-    open_grams = contents.groupBy("gram").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("members"))
-    open_grams = settle(open_grams.where(F.col("least") == 1).select("gram", "members"), "open-minimisers")
-    asked = settle(contents.join(open_grams, "gram").select("gram", "n", "first", "members"), "open-domains")
+    size = F.col("first.place").bitwiseAND(0xFFFFFF) + (LENGTH - 1)
+    open_grams = contents.groupBy("gram").agg(F.min("n").alias("least"), F.sum(size).alias("bytes"))
+    open_grams = settle(open_grams.where(F.col("least") == 1).select("gram", "bytes"), "open-minimisers")
+    asked = settle(contents.join(open_grams, "gram").select("gram", "n", "first"), "open-domains")
     wanted = asked.groupBy(F.col("first.id").alias("id"), F.col("first.rid").alias("rid")).agg(
         F.collect_set(F.struct("gram", F.col("first.place").alias("place"), (F.col("n") > 1).alias("several"))).alias("open")
     )
@@ -334,9 +335,11 @@ def open_starts(still: DataFrame, open_grams: DataFrame) -> DataFrame:
     string = F.substring(F.col("text"), (start + 1).cast("int"), (size + LENGTH - 1).cast("int"))
     strings = asked.select(F.col("o.gram").alias("gram"), "id", "rid", start.alias("start"), size.alias("size"), F.col("o.several").alias("several"), string.alias("string"))
     strings = settle(strings.join(open_grams, "gram"), "open-strings")
-    small = strings.where(F.col("members") <= GROUP).drop("members")
-    merged = small.repartition("gram").sortWithinPartitions("gram").mapInArrow(merge_groups, "id BIGINT, rid BIGINT, starts ARRAY<BIGINT>")
-    large = strings.where(F.col("members") > GROUP).drop("members")
+    small = strings.where(F.col("bytes") <= GROUP_BYTES).drop("bytes")
+    total = small.agg(F.coalesce(F.sum(F.length("string")), F.lit(0))).first()[0]
+    dealt = small.repartition(1 + total // TASK_BYTES, "gram").sortWithinPartitions("gram")
+    merged = dealt.mapInArrow(merge_groups, "id BIGINT, rid BIGINT, starts ARRAY<BIGINT>")
+    large = strings.where(F.col("bytes") > GROUP_BYTES).drop("bytes")
     windows = settle(large.mapInArrow(window_rows, "id BIGINT, rid BIGINT, start BIGINT, several BOOLEAN, w1 BIGINT, w2 BIGINT"), "windows")
     twice = windows.groupBy("w1", "w2").agg(F.sum(F.when(F.col("several"), 2).otherwise(1)).alias("n")).where(F.col("n") > 1)
     twice = settle(twice.select("w1", "w2"), "repeated-windows")
