@@ -42,7 +42,6 @@ def test_odd_texts_as_the_library(model, library):
 def test_random_texts_as_the_library(model, library, monkeypatch):
     monkeypatch.setattr(pieces, "WINDOW", 7)
     monkeypatch.setattr(pieces, "TABLE_CHUNKS", 20)
-    monkeypatch.setattr(pieces, "CHUNK_CHARS", 5)
     rng = random.Random(8)
     alphabet = ["a", "the", " ", "  ", "▁", "ing", "\n", "é", "日", "😀", ".", "1", "\t", "B", "‍"]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(2000)]
@@ -73,7 +72,7 @@ def test_any_ids_decode_as_the_library(model, library):
 def test_chunks_are_segmented_once(model, monkeypatch):
     encoder, seen = pieces.Encoder(model), []
     whole = encoder.segment
-    monkeypatch.setattr(encoder, "segment", lambda chunk: seen.append(chunk) or whole(chunk))
+    monkeypatch.setattr(encoder, "segment", lambda chunks: seen.extend(chunks) or whole(chunks))
     encoder([b"one two one two  two", b"two one"])
     assert sorted(seen) == sorted({"▁one", "▁two", "▁▁two"})
 

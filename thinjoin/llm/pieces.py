@@ -12,7 +12,7 @@ table that is begun anew when it is full.
 Defined results: a null text is encoded as an empty one, whose ids are the end id alone; null ids give a null text. Bytes
 that are not UTF-8 count as U+FFFD each, as in the library. Ids beyond the model raise. Rows are encoded one by one, so
 ties, repeated rows and null ids of documents need no rule. Other columns pass through. Very long texts are encoded
-whole; a chunk of any length (a text without blanks) is segmented whole, and kept in the table up to ``CHUNK_CHARS``.
+whole; a chunk of any length (a text without blanks) is segmented whole.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from __future__ import annotations
 import codecs
 import re
 from array import array
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +37,9 @@ CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 BORDER = re.compile(f"[^{MARK}]{MARK}")
 #: Characters of a text whose chunks are looked up at a time.
 WINDOW = 1 << 20
-#: Distinct chunks, and ids of them, that a task keeps between slices.
+#: Chunks that are looked up together; distinct chunks, and ids of them, beyond which a task begins its table anew.
 TABLE_CHUNKS = 1 << 19
 TABLE_IDS = 1 << 22
-#: Longer chunks are segmented where they occur.
-CHUNK_CHARS = 256
 
 codecs.register_error("each-byte", lambda error: ("�" * (error.end - error.start), error.end))
 
@@ -75,54 +75,71 @@ class Encoder:
         self.numbers: dict[str, int] = {}
         self.starts, self.sizes, self.ids = array("q"), array("q"), array("i")
 
-    def segment(self, chunk: str) -> list[int]:
-        """The library puts a marker before what it gets, so it gets the chunk without its first one."""
-        if len(chunk) > 1:
-            return self.pieces.encode(chunk[1:])
-        both = self.pieces.encode("")
-        alone = self.pieces.piece_to_id(MARK)
-        return both + ([alone] if alone != self.pieces.unk_id() else [self.pieces.piece_to_id(f"<0x{b:02X}>") for b in MARK.encode()])
-
-    def number(self, chunk: str) -> int:
-        found = self.numbers.get(chunk)
-        if found is None:
-            ids = self.segment(chunk)
-            found = len(self.starts)
-            self.starts.append(len(self.ids))
-            self.sizes.append(len(ids))
-            self.ids.extend(ids)
-            if len(chunk) <= CHUNK_CHARS:
-                self.numbers[chunk] = found
+    def segment(self, chunks: list[str]) -> list[list[int]]:
+        """The library puts a marker before what it gets, so it gets the chunks without their first one."""
+        found = self.pieces.encode([chunk[1:] for chunk in chunks], num_threads=1)
+        if MARK in chunks:
+            alone = self.pieces.piece_to_id(MARK)
+            bytes_ = [self.pieces.piece_to_id(f"<0x{b:02X}>") for b in MARK.encode()]
+            found[chunks.index(MARK)] = bytes_ if alone == self.pieces.unk_id() else [alone]
         return found
 
-    def encode(self, text: str) -> list[np.ndarray]:
-        """The ids of one text, window by window."""
-        parts = []
-        if text:
-            marked = MARK + text.replace(" ", MARK)
+    def learn(self, chunks: list[str]) -> None:
+        """Add the chunks that the table does not have."""
+        new = list(set(chunks) - self.numbers.keys())
+        if new:
+            for chunk, ids in zip(new, self.segment(new), strict=True):
+                self.numbers[chunk] = len(self.starts)
+                self.starts.append(len(self.ids))
+                self.sizes.append(len(ids))
+                self.ids.extend(ids)
+
+    def windows(self, texts: list[bytes | None]) -> Iterator[tuple[int, list[str]]]:
+        """(number of the text, chunks) for parts of the texts, in order."""
+        for number, raw in enumerate(texts):
+            marked = MARK + raw.decode("utf-8", "each-byte").replace(" ", MARK) if raw else ""
             at = 0
             while at < len(marked):
                 border = BORDER.search(marked, at + WINDOW)
                 to = border.start() + 1 if border else len(marked)
-                chunks = CHUNK.findall(marked, at, to)
-                parts.append(self.gather(np.fromiter(map(self.number, chunks), np.int64, len(chunks))))
+                yield number, CHUNK.findall(marked, at, to)
                 at = to
-                if len(self.numbers) > TABLE_CHUNKS or len(self.ids) > TABLE_IDS:
-                    self.clear()
-        parts.append(np.array(self.end, np.int32))
-        return parts
-
-    def gather(self, numbers: np.ndarray) -> np.ndarray:
-        """The ids of the chunks with these numbers, one after the other."""
-        starts, sizes, ids = (np.array(a) for a in (self.starts, self.sizes, self.ids))
+
+    def looked_up(self, parts: list[tuple[int, list[str]]]) -> Iterator[tuple[int, np.ndarray]]:
+        """(number of the text, ids) of each part."""
+        chunks = list(chain.from_iterable(part for _, part in parts))
+        self.learn(chunks)
+        numbers = np.fromiter(map(self.numbers.__getitem__, chunks), np.int64, len(chunks))
+        # views of the table, which must not outlive this call: it grows
+        starts, sizes, ids = np.frombuffer(self.starts, np.int64), np.frombuffer(self.sizes, np.int64), np.frombuffer(self.ids, np.int32)
         size = sizes[numbers]
-        before = np.cumsum(size) - size
-        return ids[np.repeat(starts[numbers] - before, size) + np.arange(int(size.sum()))].astype(np.int32)
+        ends = np.cumsum(size)
+        found = ids[np.repeat(starts[numbers] - ends + size, size) + np.arange(int(size.sum()))]
+        at = 0
+        for number, part in parts:
+            to = at + len(part)
+            yield number, found[int(ends[at] - size[at]) : int(ends[to - 1])]
+            at = to
+        if len(self.numbers) > TABLE_CHUNKS or len(self.ids) > TABLE_IDS:
+            del starts, sizes, ids
+            self.clear()
 
     def __call__(self, texts: list[bytes | None]) -> pa.ListArray:
-        rows = [self.encode((t or b"").decode("utf-8", "each-byte")) for t in texts]
-        offsets = np.cumsum([0, *(sum(map(len, parts)) for parts in rows)])
-        ids = np.concatenate([part for parts in rows for part in parts]) if rows else np.zeros(0, np.int32)
+        rows: list[list[np.ndarray]] = [[] for _ in texts]
+        held: list[tuple[int, list[str]]] = []
+        size = 0
+        for number, chunks in chain(self.windows(texts), [(None, None)]):
+            if held and (chunks is None or size + len(chunks) > TABLE_CHUNKS):
+                for of, ids in self.looked_up(held):
+                    rows[of].append(ids)
+                held, size = [], 0
+            if chunks:
+                held.append((number, chunks))
+                size += len(chunks)
+        end = np.array(self.end, np.int32)
+        parts = [[*row, end] for row in rows]
+        offsets = np.cumsum([0, *(sum(map(len, row)) for row in parts)])
+        ids = np.concatenate([part for row in parts for part in row]) if parts else np.zeros(0, np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
 
 
