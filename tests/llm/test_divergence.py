@@ -84,19 +84,25 @@ def test_counts_handed_on_early_are_the_same(monkeypatch):
     assert summed() == whole
 
 
-def test_quadtree_against_the_matrix():
+@pytest.mark.parametrize("leaf", [1, 2, 16])
+def test_quadtree_against_the_matrix(monkeypatch, leaf):
+    monkeypatch.setattr(divergence, "LEAF", leaf)
     rng = np.random.default_rng(3)
-    for height, width, share in [(1, 1, 1.0), (1, 9, 0.3), (7, 1, 0.5), (5, 33, 0.2), (20, 64, 0.02), (4, 16, 0.0), (3, 0, 0.0)]:
-        matrix = rng.integers(1, 9, (height, width)) * (rng.random((height, width)) < share)
+    for height, width, share in [(1, 1, 1.0), (1, 9, 0.3), (7, 1, 0.5), (5, 33, 0.2), (20, 64, 0.02), (40, 300, 0.01), (4, 16, 0.0), (3, 0, 0.0)]:
+        matrix = rng.integers(100, 900, (height, width)) * (rng.random((height, width)) < share)
         rows, columns = np.nonzero(matrix)
-        tree = divergence.Quadtree(rows, columns, matrix[rows, columns], height, width)
+        zero = rng.integers(1, 99, height)
+        tree = divergence.Quadtree(rows, columns, matrix[rows, columns], zero, width)
+        full = np.where(matrix > 0, matrix, zero[:, None])
         one, two = (a.ravel() for a in np.meshgrid(np.arange(height), np.arange(height)))
-        zeros, pair, column, x, y = tree.together(one, two)
+        zeros, pair, first, x, y = tree.together(one, two)
+        p, q = tree.row(x, one[pair]), tree.row(y, two[pair])
         for k, (g, h) in enumerate(zip(one, two, strict=True)):
-            both = (matrix[g] == 0) & (matrix[h] == 0)
-            assert zeros[k] == both.sum()
-            here = pair == k
-            assert sorted(zip(column[here], x[here], y[here], strict=True)) == [(c, matrix[g, c], matrix[h, c]) for c in np.flatnonzero(~both)]
+            met = [c for f in first[pair == k] for c in range(f, min(f + leaf, width))]
+            rest = np.setdiff1d(np.arange(width), met)
+            assert zeros[k] == len(rest) and not matrix[g, rest].any() and not matrix[h, rest].any()
+            cells = [(a, b) for f, i in zip(first[pair == k], np.flatnonzero(pair == k), strict=True) for a, b in zip(p[i][: width - f], q[i][: width - f], strict=True)]
+            assert cells == [(full[g, c], full[h, c]) for c in met]
 
 
 def test_frequencies_are_exact():

@@ -3,9 +3,9 @@
 A group is a (language, source); its row of the matrix counts the terms that the language keeps. A smoothed frequency
 is ``p = 1 + floor(SCALE * (count + 2) / (N + 2 V))`` and two of them differ by ``floor((p - q)^2 / (p + q))``. Most cells are
 zero, and two groups differ by the same amount wherever both have zero. So the matrix is cut into quadrants, quadrants
-into quadrants, down to cells, and only those that hold something are kept, as one bit per child and ranks over the bits. Pairs of
-groups go down the tree together: where neither has anything in a quadrant, its columns are priced at once, by their
-number; cells are compared where one of the two has a leaf.
+into quadrants, down to leaves of ``LEAF`` cells a side, and only those that hold something are kept, as one bit per child
+and ranks over the bits. Pairs of groups go down the tree together: where a quadrant is all zero for both, its columns
+are priced at once, by their number; cells are compared where one of the two has a leaf.
 
 The matrix is dealt to tasks as tiles of about ``TILE`` groups by blocks of about ``BLOCK`` terms; a task builds the
 tree of two tiles and a block and adds up the pairs between them. What it holds is bounded by those numbers, whatever
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +37,8 @@ LEAST_DOCUMENTS = 10
 TOP_TERMS = 10
 TILE = 128
 BLOCK = 4096
+#: Cells on a side of the tree's leaves.
+LEAF = 16
 #: Distinct (group, term) counts that a task holds before it hands them on.
 HELD_COUNTS = 200_000
 #: Cells that pairs going down the tree may reach at a time.
@@ -91,18 +94,28 @@ def group_terms(docs: DataFrame) -> DataFrame:
 
 
 class Quadtree:
-    """Nonzero quadrants of a matrix, level by level, as child bits with ranks; values at the leaves."""
+    """Nonzero quadrants of a matrix, level by level, as child bits with ranks; quadrants of ``LEAF`` cells a side at the end.
 
-    def __init__(self, rows: np.ndarray, columns: np.ndarray, values: np.ndarray, height: int, width: int):
-        self.width = width
-        self.levels = max(1, int(max(height, width, 1) - 1).bit_length())
+    A cell is (row, column, p); cells that are not given are zeros, whose p is that of their row in ``zero``. A leaf
+    holds the p of all its cells.
+    """
+
+    def __init__(self, rows: np.ndarray, columns: np.ndarray, p: np.ndarray, zero: np.ndarray, width: int):
+        self.width, self.zero = width, zero
+        side = -(-max(len(zero), width, 1) // LEAF)
+        self.levels = int(side - 1).bit_length()
         place = np.zeros(len(rows), np.int64)
         for bit in range(self.levels):
-            place |= ((rows >> bit & 1) << (2 * bit + 1)) | ((columns >> bit & 1) << (2 * bit))
-        order = np.argsort(place)
-        self.values = values[order]
+            place |= ((rows // LEAF >> bit & 1) << (2 * bit + 1)) | ((columns // LEAF >> bit & 1) << (2 * bit))
+        below, leaf = np.unique(place, return_inverse=True)
+        first = np.zeros((len(below), 2), np.int64)  # the leaves' first rows and columns
+        first[leaf, 0], first[leaf, 1] = rows // LEAF * LEAF, columns // LEAF * LEAF
+        own = first[:, :1] + np.arange(LEAF)
+        self.p = np.repeat(np.append(zero, 1)[np.minimum(own, len(zero))][:, :, None], LEAF, axis=2)
+        self.p[leaf, rows % LEAF, columns % LEAF] = p
+        self.held = np.zeros(self.p.shape, bool)
+        self.held[leaf, rows % LEAF, columns % LEAF] = True
         self.bits: list[np.ndarray] = []
-        below = place[order]
         for _ in range(self.levels):
             nodes, parent = np.unique(below >> 2, return_inverse=True)
             bits = np.zeros(4 * len(nodes), bool)
@@ -119,27 +132,33 @@ class Quadtree:
         at = 4 * np.maximum(node, 0) + digit
         return np.where((node >= 0) & self.bits[level][at], self.ranks[level][at], -1)
 
+    def row(self, leaf: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """p of the ``LEAF`` cells that a row has in a leaf; of as many zeros without one."""
+        if self.empty:
+            return np.repeat(self.zero[row][:, None], LEAF, axis=1)
+        return np.where((leaf >= 0)[:, None], self.p[leaf, row % LEAF], self.zero[row][:, None])
+
     def together(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Rows ``one`` and ``two`` go down together, pair by pair.
 
-        Returns the columns of each pair where both are zero (a number), and for the cells where one is not: the number
-        of the pair, the column and the value of either row.
+        Returns the columns of each pair in quadrants that are all zero for both (a number), and for the leaves where
+        one is not: the number of the pair, the first column and the leaf of either row (-1 for none).
         """
         zeros = np.zeros(len(one), np.int64)
         pair, column = np.arange(len(one)), np.zeros(len(one), np.int64)
         left = right = np.full(len(one), -1 if self.empty else 0, np.int64)
-        for level in range(self.levels - 1, -1, -1):
-            pair, column = np.repeat(pair, 2), np.repeat(column * 2, 2)
-            column[1::2] += 1
-            side = column & 1
-            left = self.child(level, np.repeat(left, 2), (one[pair] >> level & 1) * 2 + side)
-            right = self.child(level, np.repeat(right, 2), (two[pair] >> level & 1) * 2 + side)
+        for level in range(self.levels, -1, -1):
+            if level < self.levels:
+                pair, column = np.repeat(pair, 2), np.repeat(column * 2, 2)
+                column[1::2] += 1
+                side = column & 1
+                left = self.child(level, np.repeat(left, 2), (one[pair] // LEAF >> level & 1) * 2 + side)
+                right = self.child(level, np.repeat(right, 2), (two[pair] // LEAF >> level & 1) * 2 + side)
             uniform = (left < 0) & (right < 0)
-            first = column[uniform] << level
-            np.add.at(zeros, pair[uniform], np.clip(self.width - first, 0, 1 << level))
+            first = column[uniform] * LEAF << level
+            np.add.at(zeros, pair[uniform], np.clip(self.width - first, 0, LEAF << level))
             pair, column, left, right = (a[~uniform] for a in (pair, column, left, right))
-        values = np.append(self.values, 0)
-        return zeros, pair, column, values[left], values[right]
+        return zeros, pair, column * LEAF, left, right
 
 
 def frequency(count: np.ndarray, whole: np.ndarray) -> np.ndarray:
@@ -165,24 +184,26 @@ def compare_tiles(key: tuple, unit: pa.Table) -> pa.Table:
     number of those terms and what they differ by where both are zero; the terms of a group, as many as may be ranked.
     """
     lang, low, high, _ = (k.as_py() for k in key)
-    source, term = unit.column("source").to_pylist(), unit.column("term").to_pylist()
-    n = unit.column("n").to_numpy().astype(np.int64)
-    heads = [i for i, t in enumerate(term) if t is None]
-    terms = max(unit.column("terms")[heads[0]].as_py(), 0)
-    names = [source[i] for i in heads]
-    row_of = {name: r for r, name in enumerate(names)}
-    tile = unit.column("tile").to_numpy()[heads]
-    totals = n[heads]
-    cells = [i for i, t in enumerate(term) if t is not None]
-    by_bytes = sorted({term[i] for i in cells}, key=str.encode)
-    weight = Counter()
-    for i in cells:
-        weight[term[i]] += int(n[i])
-    column_of = {t: c for c, t in enumerate(sorted(by_bytes, key=lambda t: -weight[t]))}
-    rows = np.array([row_of[source[i]] for i in cells], np.int64)
-    columns = np.array([column_of[term[i]] for i in cells], np.int64)
-    tree = Quadtree(rows, columns, n[cells], len(names), len(column_of))
-    whole = totals + 2 * terms
+    unit = unit.combine_chunks()
+    is_head = pc.is_null(unit.column("term"))
+    heads, cells = unit.filter(is_head), unit.filter(pc.invert(is_head))
+    names, terms = heads.column("source").to_pylist(), heads.column("terms")[0].as_py()
+    tile = heads.column("tile").to_numpy()
+    whole = heads.column("n").to_numpy() + 2 * terms
+    rows = pc.index_in(cells.column("source"), heads.column("source").combine_chunks()).to_numpy().astype(np.int64)
+    counts = cells.column("n").to_numpy()
+    coded = pc.dictionary_encode(cells.column("term").combine_chunks().cast(pa.binary()))
+    seen, columns = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+    # frequent terms first: zeros then lie together
+    often = np.zeros(len(seen), np.int64)
+    np.add.at(often, columns, counts)
+    order = np.argsort(-often, kind="stable")
+    place = np.empty(len(seen), np.int64)
+    place[order] = np.arange(len(seen))
+    columns, seen = place[columns], [seen[i] for i in order]
+    width = len(seen)
+    zero = frequency(np.zeros(len(names), np.int64), whole) if terms else np.ones(len(names), np.int64)
+    tree = Quadtree(rows, columns, frequency(counts, whole[rows]), zero, width)
 
     groups = np.array([r for r, name in enumerate(names) if name is not None], np.int64)
     if low == high:
@@ -191,32 +212,33 @@ def compare_tiles(key: tuple, unit: pa.Table) -> pa.Table:
     else:
         left, right = groups[tile[groups] == low], groups[tile[groups] == high]
         one, two = np.repeat(left, len(right)), np.tile(right, len(left))
-    zero = gap(frequency(0 * one, whole[one]), frequency(0 * two, whole[two])) if terms else 0 * one
+    apart = gap(zero[one], zero[two]) if terms else 0 * one
+    inside = np.arange(LEAF)
     found: list[tuple] = []
-    step = max(1, FRONTIER // max(1, len(column_of)))
+    step = max(1, FRONTIER // max(1, width))
     for at in range(0, len(one), step):
-        g, h, z = one[at : at + step], two[at : at + step], zero[at : at + step]
-        zeros, pair, _, x, y = tree.together(g, h)
+        g, h, z = one[at : at + step], two[at : at + step], apart[at : at + step]
+        zeros, pair, first, x, y = tree.together(g, h)
         value = zeros * z
-        np.add.at(value, pair, gap(frequency(x, whole[g[pair]]), frequency(y, whole[h[pair]])))
-        found += [("pair", lang, names[i], names[j], int(v), len(column_of), int(u), terms) for i, j, v, u in zip(g, h, value, z, strict=True)]
-    if low == high and None in row_of:
-        bytes_rank = np.zeros(len(by_bytes), np.int64)
-        for rank, t in enumerate(by_bytes):
-            bytes_rank[column_of[t]] = rank
+        cell = gap(tree.row(x, g[pair]), tree.row(y, h[pair])) * (first[:, None] + inside < width)
+        np.add.at(value, pair, cell.sum(axis=1))
+        found += [("pair", lang, names[i], names[j], int(v), width, int(u), terms) for i, j, v, u in zip(g, h, value, z, strict=True)]
+    if low == high and None in names and width:
+        by_bytes = np.empty(width, np.int64)
+        by_bytes[sorted(range(width), key=seen.__getitem__)] = np.arange(width)
         for at in range(0, len(groups), step):
             g = groups[at : at + step]
-            own = np.full(len(g), row_of[None], np.int64)
-            _, pair, column, x, y = tree.together(g, own)
-            pair, column, x, y = (v[x > 0] for v in (pair, column, x, y))
-            p, q = frequency(x, whole[g[pair]]), frequency(y, whole[own[pair]])
-            more = p > q
-            pair, column, value = pair[more], column[more], gap(p[more], q[more])
-            order = np.lexsort((bytes_rank[column], -value, pair))
+            own = np.full(len(g), names.index(None), np.int64)
+            _, pair, first, x, y = tree.together(g, own)
+            p, q = tree.row(x, g[pair]), tree.row(y, own[pair])
+            more = (x >= 0)[:, None] & tree.held[x, g[pair] % LEAF] & (p > q)
+            at_leaf, at_cell = np.nonzero(more)
+            pair, column, value = pair[at_leaf], first[at_leaf] + at_cell, gap(p[more], q[more])
+            order = np.lexsort((by_bytes[column], -value, pair))
             pair, column, value = pair[order], column[order], value[order]
             rank = np.arange(len(pair)) - np.searchsorted(pair, pair)
             for i in np.flatnonzero(rank < TOP_TERMS):
-                found.append(("term", lang, names[g[pair[i]]], by_bytes[bytes_rank[column[i]]], int(value[i]), 0, 0, terms))
+                found.append(("term", lang, names[g[pair[i]]], seen[column[i]].decode(), int(value[i]), 0, 0, terms))
     types = [pa.string()] * 4 + [pa.int64()] * 4
     columns = zip(*found, strict=True) if found else [()] * 8
     fields = [f.split()[0] for f in FOUND.split(", ")]
