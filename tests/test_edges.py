@@ -495,7 +495,8 @@ def test_joins_of_more_rows_than_a_double_can_count(spark):
     from thinjoin.operators.exact import joined_sums
 
     one, two = 100_000_019, 100_000_007
-    shared = spark.createDataFrame([(one, one, one * 3 + 1, two), (1, 1, 1, 1)], "a long, x long, s decimal(29,0), b long")
+    shared = spark.createDataFrame([(one, one, one * 3 + 1, two), (1, 1, 1, 1)], "a long, x long, s long, b long")
+    shared = shared.withColumn("s", F.col("s").cast("decimal(29,0)"))
     row = shared.agg(*joined_sums(shared)).first()
     assert one * two + 1 > 2**53 and (int(row["n_join"]), int(row["s_join"])) == (one * two + 1, (one * 3 + 1) * two + 1)
     left = spark.range(60).select((F.col("id") % 3).alias("k"), F.lit(2**61 + 1).alias("x"))

@@ -89,8 +89,8 @@ def dying(monkeypatch, at):
     return steps
 
 
-@pytest.mark.parametrize("kind", RUNS)
-def test_a_run_that_died_anywhere_is_continued(spark, sides, monkeypatch, kind):
+@pytest.mark.parametrize(("kind", "places"), [("plain", (0.1, 0.5, 0.95)), ("presets", (0.4,)), ("where", (0.6, 0.9)), ("groups", (0.55, 0.95))])
+def test_a_run_that_died_is_continued(spark, sides, monkeypatch, kind, places):
     monkeypatch.setattr(experiments, "REPLICATES_PER_JOB", 3)
     monkeypatch.setattr(catalog, "REPLICATES_PER_JOB", 3)
     run = RUNS[kind]
@@ -99,7 +99,7 @@ def test_a_run_that_died_anywhere_is_continued(spark, sides, monkeypatch, kind):
         steps = dying(patch, -1)
         run(make(spark, sides), sides)
     folder = new_path(spark, "experiment")
-    for at in range(1, steps["n"] + 1, 3 if steps["n"] > 24 else 2):
+    for at in (1 + int(place * steps["n"]) for place in places):
         broken = make(spark, sides, f"{folder}/{at}")
         with monkeypatch.context() as patch:
             dying(patch, at)
