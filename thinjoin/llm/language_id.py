@@ -20,6 +20,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +38,8 @@ LANDMARKS = 256
 RIDGE = 1e-2
 #: Turns differences of regression outputs (about -1 to 1) into shares.
 SHARPNESS = 4.0
-LETTER = re.compile(r"[^\W\d_]")
+#: Category L: numerals such as those for a half or the Roman eight are none.
+LETTER = regex.compile(r"\p{L}")
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 MIX = np.uint32(2654435761)
 
