@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -128,6 +129,11 @@ def test_documents_that_lose_too_much_go(spark):
 # ---------------------------------------------------------------- classifiers
 
 
+def test_numerals_are_no_letters():
+    for text in ("½ ²", "Ⅷ 12", "12 ①", "一二 3", "é", "12 a"):
+        assert language_id.has_letter(text.encode()) == any(unicodedata.category(c).startswith("L") for c in text), text
+
+
 def accuracy(found, docs, labels, score, label):
     rows = found.join(labels, "doc_id").where("held_out").select(score, label).collect()
     return np.mean([r[0] == r[1] for r in rows]), len(rows)
@@ -389,6 +395,24 @@ def test_sampled_tokens_follow_the_probabilities(spark):
     assert packed(table(spark, "/root/testdata/sf0.01", "documents")).columns == ["row", "text"]
 
 
+def test_factors_and_joins_rake_alike(spark, monkeypatch):
+    rng = random.Random(12)
+    rows = [(f"s{i}", rng.choice("abc"), rng.choice("xyz"), rng.randrange(400)) for i in range(30) for _ in range(4)]
+    held = {r[:3]: r for r in rows}
+    cells = spark.createDataFrame(list(held.values()), "source string, lang string, topic string, tokens bigint")
+    targets = {m: mixing.tempered(cells, m, 0.5) for m in mixing.MARGINS}
+    weights = lambda: {(r["source"], r["lang"], r["topic"], r["tokens"]): r["weight"] for r in mixing.rake(cells, targets).collect()}
+    by_factors = weights()
+    monkeypatch.setattr(mixing, "PAIRS", 0)
+    by_joins = weights()
+    assert by_factors == pytest.approx(by_joins, abs=1e-9) and len(by_factors) == len(held)
+
+
+def test_texts_without_words_are_not_sampled(spark):
+    docs = spark.createDataFrame([(1, "", "a", "en"), (2, None, None, None)], "doc_id bigint, text string, source string, lang string")
+    assert [(r["probability"], r["sampled"]) for r in mixing.mix(docs).collect()] == [(0.0, False)] * 2
+
+
 @pytest.mark.parametrize("name", ["op5_mixing", "op7_decontamination", "op8_line_dedup"])
 def test_sql(spark, folder, name):
     assert difference(QUERIES[name](spark, folder), connect(folder), ORACLES[name]) is None

@@ -1,10 +1,10 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Token counts are aggregated into the cells of source, language and topic. Raking scales the cells to the target shares
-of one margin after the other until all margins agree, or the weights no longer get closer. A cell's fitted weight over its tokens, relative to the largest
-such ratio, is the probability with which its documents are sampled: expected tokens then stand in the fitted
-proportions, and no probability exceeds one. Only DataFrame functions are used. The cells, not the documents, take part
-in the iterations; each iteration is settled, so plans don't grow. A document is drawn by a hash of its id.
+of one margin after the other until all margins agree, or the weights no longer get closer. A cell's fitted weight over
+its tokens, relative to the largest such ratio, is the probability with which its documents are sampled: expected tokens
+then stand in the fitted proportions, and no probability exceeds one. Only DataFrame functions are used. The cells, not
+the documents, take part in the iterations; plans don't grow with them. A document is drawn by a hash of its id.
 
 Defined results: a null source, language or topic is the category ``(none)``. Documents without a word carry no weight;
 they have probability 0. A category without a given target has the share 0, targets without documents are ignored and
@@ -33,6 +33,8 @@ ITERATIONS = 40
 TOLERANCE = 1e-10
 #: After ``ITERATIONS`` rounds raking goes on while a round's change is at most this share of the last one's.
 SHRINKS = 0.99
+#: Pairs of language and topic up to which a source's cells stand in one row.
+PAIRS = 1 << 14
 #: Gap between margins and targets above which raking warns.
 MARGIN_GAP = 1e-6
 WORD = r"[^\x20\x09-\x0D]+"
@@ -68,6 +70,17 @@ def tempered(cells: DataFrame, margin: str, power: float) -> DataFrame:
     return cells.groupBy(F.col(margin).alias("category")).agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("target"))
 
 
+def scaled_targets(cells: DataFrame, targets: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+    """(category, target) for the categories that occur, scaled to 1."""
+    scaled = {}
+    for m in MARGINS:
+        there = cells.select(F.col(m).alias("category")).distinct().join(targets[m], "category", "left").fillna(0.0, ["target"])
+        there = settle(there, f"target-{m}")
+        whole = there.agg(F.sum("target")).first()[0] or 1.0
+        scaled[m] = there.select("category", (F.col("target") / F.lit(whole)).alias("target"))
+    return scaled
+
+
 def rake(cells: DataFrame, targets: Mapping[str, DataFrame], iterations: int = ITERATIONS, tolerance: float = TOLERANCE) -> DataFrame:
     """``cells`` (MARGINS, tokens) with ``weight``: token shares fitted to the target shares of every margin.
 
@@ -75,14 +88,90 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], iterations: int = I
     ``iterations`` rounds are run, unless the weights stand still before, and more as long as the change shrinks.
     ``margin_gap``, the same in all rows, is what the margins then lack.
     """
-    scaled = {}
-    for m in MARGINS:
-        there = cells.select(F.col(m).alias("category")).distinct().join(targets[m], "category", "left")
-        there = settle(there.fillna(0.0, ["target"]), f"target-{m}")
-        whole = there.agg(F.sum("target")).scalar()
-        scaled[m] = settle(there.select("category", (F.col("target") / whole).alias("target")), f"target-{m}")
-    whole = cells.agg(F.sum("tokens")).scalar()
-    now = settle(cells.select(*MARGINS, "tokens", (F.col("tokens") / whole).alias("weight")), "cells")
+    scaled = scaled_targets(cells, targets)
+    pairs = cells.select(*MARGINS[1:]).distinct().count()
+    fit = rake_by_factors if 0 < pairs <= PAIRS else rake_by_joins
+    now, done = fit(cells, scaled, iterations, tolerance)
+    gap = margin_gap(now, scaled)
+    if gap > MARGIN_GAP:
+        warnings.warn(f"targets not met: a margin is {gap:.3g} off its target after {done} rounds", stacklevel=2)
+    return now.withColumn("margin_gap", F.lit(gap))
+
+
+def goes_on(done: int, iterations: int, change: float | None, last: float | None, tolerance: float) -> bool:
+    if change is None or change <= tolerance:
+        return False
+    return done < iterations or last is None or change <= SHRINKS * last
+
+
+def rake_by_factors(cells: DataFrame, scaled: Mapping[str, DataFrame], iterations: int, tolerance: float) -> tuple[DataFrame, int]:
+    """Raked cells, and the rounds it took, where languages and topics are few.
+
+    A cell's weight is its tokens times a factor of its source, its language and its topic, and the source's factor follows from the other
+    two. So a round is one aggregate: each source finds its factor from its own cells, the cells are summed by
+    language and topic, and the one row of these sums gives the next factors. Sources may be many; only the few factors
+    of languages and topics pass from one round to the next.
+    """
+    long, first, second = MARGINS
+    names, wanted = {}, {}
+    for m in (first, second):
+        rows = scaled[m].orderBy("category").collect()
+        names[m] = F.array(*[F.lit(r["category"]) for r in rows])
+        wanted[m] = F.array(*[F.lit(r["target"]) for r in rows])
+    whole = cells.agg(F.sum("tokens")).first()[0] or 1
+    cell = F.struct(
+        F.array_position(names[first], F.col(first)).cast("int").alias("a"),
+        F.array_position(names[second], F.col(second)).cast("int").alias("b"),
+        "tokens",
+        (F.col("tokens") / F.lit(whole)).alias("w"),
+    )
+    targets = scaled[long].select(F.col("category").alias(long), "target")
+    # a source's cells: as many as there are pairs of language and topic, at most
+    held = cells.join(targets, long).groupBy(long, "target").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
+    held = settle(held, "cells")
+
+    def ratio(of: Column, to: Column) -> Column:
+        return F.when(to > 0, of / to).otherwise(0.0)
+
+    def total(entries: Column, value) -> Column:
+        return F.aggregate(entries, F.lit(0.0), lambda so_far, e: so_far + value(e))
+
+    def factors_of(margin: str, own: str, other: str, others: Column) -> Column:
+        """Targets of a margin's categories over the sums of their cells."""
+        to = lambda i: total(F.filter("sums", lambda e: e[own] == i), lambda e: e["m"] * F.element_at(others, e[other]))
+        return F.transform(F.sequence(F.lit(1), F.size(wanted[margin])), lambda i: ratio(F.element_at(wanted[margin], i), to(i)))
+
+    def of_source(one: Column, two: Column) -> Column:
+        mass = total(F.col("cells"), lambda e: e["w"] * F.element_at(one, e["a"]) * F.element_at(two, e["b"]))
+        return ratio(F.col("target"), mass)
+
+    state = {m: [1.0] * len(scaled[m].collect()) for m in (first, second)}
+    last, done = None, 0
+    while True:
+        one, two = (F.array(*[F.lit(x) for x in state[m]]) for m in (first, second))
+        rows = held.select(of_source(one, two).alias("f"), F.explode("cells").alias("c"))
+        sums = rows.groupBy("c.a", "c.b").agg(F.sum(F.col("c.w") * F.col("f")).alias("m"))
+        sums = sums.agg(F.sort_array(F.collect_list(F.struct("a", "b", "m"))).alias("sums"))
+        step = sums.withColumn(first, factors_of(first, "a", "b", two))
+        found = step.withColumn(second, factors_of(second, "b", "a", F.col(first))).select(first, second).first()
+        before, state, done = state, {m: list(found[m]) for m in (first, second)}, done + 1
+        change = max((abs(x - y) / max(x, y) for m in state for x, y in zip(state[m], before[m], strict=True) if max(x, y) > 0), default=None)
+        if not goes_on(done, iterations, change, last, tolerance):
+            break
+        last = change
+    one, two = (F.array(*[F.lit(x) for x in before[m]]) for m in (first, second))
+    rows = held.select(long, of_source(one, two).alias("f"), F.explode("cells").alias("c"))
+    after = [F.element_at(F.array(*[F.lit(x) for x in state[m]]), F.col(f"c.{k}")) for m, k in ((first, "a"), (second, "b"))]
+    categories = [F.element_at(names[m], F.col(f"c.{k}")).alias(m) for m, k in ((first, "a"), (second, "b"))]
+    weight = (F.col("c.w") * F.col("f") * after[0] * after[1]).alias("weight")
+    return settle(rows.select(long, *categories, F.col("c.tokens").alias("tokens"), weight), "cells"), done
+
+
+def rake_by_joins(cells: DataFrame, scaled: Mapping[str, DataFrame], iterations: int, tolerance: float) -> tuple[DataFrame, int]:
+    """Raked cells, and the rounds it took, for any number of categories: the cells themselves take part in every round."""
+    scaled = {m: settle(t, f"target-{m}") for m, t in scaled.items()}
+    whole = cells.agg(F.sum("tokens")).first()[0] or 1
+    now = settle(cells.select(*MARGINS, "tokens", (F.col("tokens") / F.lit(whole)).alias("weight")), "cells")
     last, done = None, 0
     while True:
         step = now.withColumn("before", F.col("weight"))
@@ -94,13 +183,9 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], iterations: int = I
         fitted = settle(step, "cells")
         change = fitted.agg(F.max(F.abs(F.col("weight") - F.col("before")))).first()[0]
         now, done = fitted.drop("before"), done + 1
-        if change is None or change <= tolerance or (done >= iterations and last is not None and change > SHRINKS * last):
-            break
+        if not goes_on(done, iterations, change, last, tolerance):
+            return now, done
         last = change
-    gap = margin_gap(now, scaled)
-    if gap > MARGIN_GAP:
-        warnings.warn(f"targets not met: a margin is {gap:.3g} off its target after {done} rounds", stacklevel=2)
-    return now.withColumn("margin_gap", F.lit(gap))
 
 
 def margin_gap(fitted: DataFrame, targets: Mapping[str, DataFrame]) -> float:
