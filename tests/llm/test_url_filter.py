@@ -28,6 +28,9 @@ PAGES = [
     page(14, "http://mirror.com/de/1"),
     page(15, "", ""),
     page(16, "http://f.net/", CANON.format("http://f.net/")),
+    page(17, "http://good.net/a", CANON.format("/login?next=http://shop.com/de/x")),
+    page(18, "http://h.net/", CANON.format("http://k.net/?a=1&amp;b=2")),
+    page(19, "http://k.net/?a=1&b=2", CANON.format("http://mirror.com/de/9")),
     page(None, "http://b.net/1"),
 ]
 
@@ -52,6 +55,8 @@ def test_rules_and_classes(spark):
     assert found[11] == found[12] == found[15] == ("", "", None, "allow", "none")
     assert found[13][2:4] == ("com/fr/", "allow")
     assert found[14][2:4] == ("com/de/", "block")
+    assert found[17][3:] == ("allow", "none")  # a url in the query is not where the link leads
+    assert found[18][3:] == found[19][3:] == ("block", "class")
 
 
 def test_long_chain_and_hub(spark):

@@ -27,6 +27,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 CANONICAL = r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
 REFRESH = r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
 HREF = r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
+#: A scheme and its separator; one further on, in a query, makes no absolute url.
+ABSOLUTE = r"^[A-Za-z][A-Za-z0-9+.-]*://"
 TARGET = r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)"
 
 
@@ -79,7 +81,7 @@ def absolute(target: Column, base: Column) -> Column:
     site = F.regexp_extract(base, "^([^:]*://[^/?#]*)", 1)
     folder = F.regexp_extract(base, "^([^:]*://[^?#]*/)", 1)
     return (
-        F.when(target.contains("://"), target)
+        F.when(target.rlike(ABSOLUTE), target)
         .when(target.startswith("//"), F.concat(F.regexp_extract(base, "^([^:]*:)", 1), target))
         .when(target.startswith("/"), F.concat(site, target))
         .otherwise(F.concat(F.when(folder.rlike("://.*/"), folder).otherwise(F.concat(site, F.lit("/"))), target))
@@ -95,7 +97,8 @@ def alias_edges(pages: DataFrame) -> DataFrame:
     stated = pages.where(F.col("url").isNotNull() & F.col("html").isNotNull()).select(
         F.col("url").alias("source"), F.explode(tags).alias("named")
     )
-    return stated.where(F.col("named") != "").select("source", absolute(F.col("named"), F.col("source")).alias("target"))
+    named = F.replace("named", F.lit("&amp;"), F.lit("&"))
+    return stated.where(F.col("named") != "").select("source", absolute(named, F.col("source")).alias("target"))
 
 
 def blocked_nodes(edges: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -162,13 +165,14 @@ def _sql() -> str:
     )
     return f"""
 WITH RECURSIVE edges AS (
-  SELECT url AS source, CASE WHEN contains(t, '://') THEN t
+  SELECT url AS source, CASE WHEN regexp_matches(t, '{ABSOLUTE}') THEN t
     WHEN starts_with(t, '//') THEN regexp_extract(url, '^([^:]*:)', 1) || t
     WHEN starts_with(t, '/') THEN regexp_extract(url, '^([^:]*://[^/?#]*)', 1) || t
     WHEN regexp_matches(regexp_extract(url, '^([^:]*://[^?#]*/)', 1), '://.*/') THEN regexp_extract(url, '^([^:]*://[^?#]*/)', 1) || t
     ELSE regexp_extract(url, '^([^:]*://[^/?#]*)', 1) || '/' || t END AS target
-  FROM (SELECT url, regexp_extract(unnest(regexp_extract_all(html, '{q(CANONICAL)}')), '{q(HREF)}', 1) AS t FROM pages
-        UNION ALL SELECT url, regexp_extract(unnest(regexp_extract_all(html, '{q(REFRESH)}')), '{q(TARGET)}', 1) FROM pages)
+  FROM (SELECT url, replace(t, '&amp;', '&') AS t FROM (
+        SELECT url, regexp_extract(unnest(regexp_extract_all(html, '{q(CANONICAL)}')), '{q(HREF)}', 1) AS t FROM pages
+        UNION ALL SELECT url, regexp_extract(unnest(regexp_extract_all(html, '{q(REFRESH)}')), '{q(TARGET)}', 1) FROM pages))
   WHERE t <> '' AND url IS NOT NULL
 ), nodes AS ({nodes}), pairs AS (
   SELECT {ends['source'][2]} AS a, {ends['target'][2]} AS b FROM edges
