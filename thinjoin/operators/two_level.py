@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thinjoin.functions.hashing import BITS, DRAW_KEY, Draws, coefficients_needed, hash_parts, polynomial_hash
+from thinjoin.functions.hashing import DRAW_KEY, Draws, coefficients_needed, fine_hash
 from thinjoin.operators.keystats import key_counts
 from thinjoin.operators.sampling import Side, hash_below
 from thinjoin.operators.skew import fits_broadcast, hot_keys, join_by_key
@@ -117,7 +117,6 @@ def two_level_sample(left: Side, right: Side, rates: DataFrame, replicates: int
     for side, name in ((left, "left"), (right, "right")):
         roles[name] = coefficients_needed(len(side.row_id))
         roles[f"{name}_first"] = coefficients_needed(len(side.row_id))
-        roles[f"{name}_second"] = coefficients_needed(len(side.row_id))
     draws = Draws(seed, tuple(range(1, replicates + 1)), roles)
     fanned, draw = draws.attach(rates.select("key", "p", "q"))
     kept = fanned.where(hash_below(rates, ["key"], "key", draw, F.col("p")))
@@ -140,9 +139,7 @@ def _two_level_side(side: Side, role: str, kept_keys: DataFrame, draws: Draws) -
     """
     table = side.table.where(F.col(side.key).isNotNull())
     draw = draws.coefficient
-    parts = hash_parts(table, side.row_id)
-    first, second = (polynomial_hash(parts, lambda i, n=n: draw(f"{role}_{n}_{i}")) for n in ("first", "second"))
-    place = first * F.lit(2**BITS) + second
+    place = fine_hash(table, side.row_id, f"{role}_first", draw)
     hot = None if fits_broadcast(kept_keys) else hot_keys(table, side.key)
     identity = table.select(side.key, *[c for c in side.row_id if c != side.key])
     members = join_by_key(identity, side.key, kept_keys, "_key", hot)
