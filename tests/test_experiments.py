@@ -89,15 +89,14 @@ def dying(monkeypatch, at):
     return steps
 
 
-@pytest.mark.parametrize(("kind", "places"), [("plain", (0.1, 0.5, 0.95)), ("presets", (0.4,)), ("where", (0.6, 0.9)), ("groups", (0.55, 0.95))])
+@pytest.mark.parametrize(("kind", "places"), [("plain", (0.5,)), ("presets", (0.9,)), ("where", (0.75,)), ("groups", (0.6,))])
 def test_a_run_that_died_is_continued(spark, sides, monkeypatch, kind, places):
     monkeypatch.setattr(experiments, "REPLICATES_PER_JOB", 3)
     monkeypatch.setattr(catalog, "REPLICATES_PER_JOB", 3)
     run = RUNS[kind]
-    want = content(run(make(spark, sides), sides))
     with monkeypatch.context() as patch:
         steps = dying(patch, -1)
-        run(make(spark, sides), sides)
+        want = content(run(make(spark, sides), sides))
     folder = new_path(spark, "experiment")
     for at in (1 + int(place * steps["n"]) for place in places):
         broken = make(spark, sides, f"{folder}/{at}")
